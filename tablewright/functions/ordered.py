@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from tablewright.functions.columns import ref
 
 MAX_BUCKETS = 2_000
@@ -29,6 +31,21 @@ def cut_points(df: DataFrame, value: Column, buckets: int) -> Column:
     return df.agg(F.percentile_approx(value, probs, 10_000).alias("cuts")).scalar()
 
 
+def ordinal(df: DataFrame, column: str) -> Column:
+    """An order column as a double that increases with it."""
+    kind = df.schema[column].dataType
+    c = ref(column)
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.datediff(c, F.lit("1970-01-01")).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        days = F.datediff(c, F.lit("1970-01-01")).cast("double")
+        clock = F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")
+        return days * 86_400 + clock
+    raise ValueError(f"order column {column} must be a number, a date or a timestamp")
+
+
 def bucket_of(value: Column, cuts: Column) -> Column:
     return F.size(F.filter(cuts, lambda b: b < value))
 
@@ -84,12 +101,12 @@ def order_bucket(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     by a large share of all rows does not end up in one task.
     """
     buckets = bucket_count(df)
-    first = ref(order_by[0]).cast("double")
+    first = ordinal(df, order_by[0])
     cuts = cut_points(df, first, buckets)
     at = bucket_of(first, cuts)
     on_cut = F.array_contains(cuts, first)
     if len(order_by) > 1:
-        second = ref(order_by[1]).cast("double")
+        second = ordinal(df, order_by[1])
         minor = F.when(on_cut, bucket_of(second, cut_points(df, second, buckets))).otherwise(0)
     else:
         minor = F.lit(0)
