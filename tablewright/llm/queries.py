@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.llm import mixing, sharding
+from tablewright.llm import minhash, mixing, sharding
 from tablewright.llm.common import documents
 from tablewright.plans.registry import Registry
 
@@ -68,3 +68,8 @@ FROM docs d JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source
 def op9_mixing(spark, folder):
     mixed = mixing.mix(documents(spark, folder))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+
+
+@QUERIES.add("op8_minhash")
+def op8_minhash(spark, folder):
+    return minhash.near_duplicates(documents(spark, folder))
