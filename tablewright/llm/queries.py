@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.llm import minhash, mixing, sharding
+from tablewright.llm import minhash, mixing, quality, sharding, token_orc
 from tablewright.llm.common import documents
 from tablewright.plans.registry import Registry
 
@@ -73,3 +73,16 @@ def op9_mixing(spark, folder):
 @QUERIES.add("op8_minhash")
 def op8_minhash(spark, folder):
     return minhash.near_duplicates(documents(spark, folder))
+
+
+@QUERIES.add("op6_quality")
+def op6_quality(spark, folder):
+    found = quality.judged(documents(spark, folder))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@QUERIES.add("op3_token_orc")
+def op3_token_orc(spark, folder):
+    return token_orc.round_trip(documents(spark, folder))
