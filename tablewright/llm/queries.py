@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.llm import minhash, mixing, quality, sharding, token_orc
+from tablewright.llm import minhash, mixing, quality, sentencepieces, sharding, token_orc
 from tablewright.llm.common import documents
 from tablewright.plans.registry import Registry
 
@@ -86,3 +86,12 @@ def op6_quality(spark, folder):
 @QUERIES.add("op3_token_orc")
 def op3_token_orc(spark, folder):
     return token_orc.round_trip(documents(spark, folder))
+
+
+@QUERIES.add("op4_sentencepieces")
+def op4_sentencepieces(spark, folder):
+    """Every text encoded and decoded again; sizes and digests of both."""
+    back = sentencepieces.decoded(sentencepieces.encoded(documents(spark, folder)))
+    return back.select(
+        "doc_id", "n_ids", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5")
+    )
