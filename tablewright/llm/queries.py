@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.llm import minhash, mixing, quality, sentencepieces, sharding, token_orc
+from tablewright.llm import minhash, mixing, quality, sentencepieces, sharding, token_orc, warc
 from tablewright.llm.common import documents
 from tablewright.plans.registry import Registry
 
@@ -95,3 +95,19 @@ def op4_sentencepieces(spark, folder):
     return back.select(
         "doc_id", "n_ids", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5")
     )
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n < 100 OR page_id = min(page_id) OVER (PARTITION BY d) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n >= 100 AND page_id > min(page_id) OVER (PARTITION BY d) THEN min(page_id) OVER (PARTITION BY d) END AS refers_to,
+  true AS digest_ok
+FROM p
+"""
+
+
+@QUERIES.add("op5_warc", WARC_SQL)
+def op5_warc(spark, folder):
+    return warc.captures(documents(spark, folder, "pages"))
