@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.llm import minhash, mixing, quality, sentencepieces, sharding, token_orc, warc
+from tablewright.llm import html, minhash, mixing, quality, sentencepieces, sharding, token_orc, warc
 from tablewright.llm.common import documents
 from tablewright.plans.registry import Registry
 
@@ -111,3 +111,8 @@ FROM p
 @QUERIES.add("op5_warc", WARC_SQL)
 def op5_warc(spark, folder):
     return warc.captures(documents(spark, folder, "pages"))
+
+
+@QUERIES.add("op1_html")
+def op1_html(spark, folder):
+    return html.main_texts(documents(spark, folder, "pages"))
