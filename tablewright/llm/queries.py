@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.llm import html, minhash, mixing, quality, sentencepieces, sharding, token_orc, warc
+from tablewright.llm import caps, html, minhash, mixing, quality, sentencepieces, sharding, token_orc, warc
 from tablewright.llm.common import documents
 from tablewright.plans.registry import Registry
 
@@ -116,3 +116,8 @@ def op5_warc(spark, folder):
 @QUERIES.add("op1_html")
 def op1_html(spark, folder):
     return html.main_texts(documents(spark, folder, "pages"))
+
+
+@QUERIES.add("op10_caps")
+def op10_caps(spark, folder):
+    return caps.near_vectors(documents(spark, folder, "embeddings"))
