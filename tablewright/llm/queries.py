@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.llm import caps, html, minhash, mixing, quality, sentencepieces, sharding, token_orc, warc
+from tablewright.llm import caps, chat, html, minhash, mixing, quality, sentencepieces, sharding, token_orc, warc
 from tablewright.llm.common import documents
 from tablewright.plans.registry import Registry
 
@@ -121,3 +121,42 @@ def op1_html(spark, folder):
 @QUERIES.add("op10_caps")
 def op10_caps(spark, folder):
     return caps.near_vectors(documents(spark, folder, "embeddings"))
+
+
+CHAT_SQL = """
+WITH calls AS (
+  SELECT conv_id, turn, text, 'c' || turn AS call_id, CASE WHEN turn % 4 < 2 THEN 'ask' ELSE 'brief' END AS name,
+    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM conversations WHERE role = 'user'),
+results AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'),
+chains AS (
+  SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS chain FROM calls),
+placed AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, chain ORDER BY turn) - 1 AS level FROM chains)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn AS position,
+  CAST(p.level AS INT) AS level,
+  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  CASE WHEN c.call_id IS NULL THEN 0 WHEN c.name = 'ask' THEN CAST(length(c.text) < 1 AS INT) + CAST(c.words < 3 AS INT)
+    ELSE CAST(length(c.text) > 400 AS INT) + CAST(c.words < 1 AS INT) END AS n_errors,
+  md5('{"arguments":' || coalesce('{"text":' || to_json(c.text)::VARCHAR || ',"words":' || c.words || '}', 'null')
+    || ',"id":"' || coalesce(c.call_id, r.call_id) || '","name":' || coalesce('"' || c.name || '"', 'null')
+    || ',"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}') AS json_md5
+FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+LEFT JOIN placed p ON p.conv_id = c.conv_id AND p.turn = c.turn
+"""
+
+
+@QUERIES.add("op2_tool_calls", CHAT_SQL)
+def op2_tool_calls(spark, folder):
+    """Turns of conversations read as calls and results, linked, ordered and written."""
+    calls, results = chat.turns_as_calls(documents(spark, folder, "conversations"))
+    rows = chat.transcript(calls, results, chat.TURN_TOOLS)
+    return rows.select(
+        "conv_id",
+        "call_id",
+        "position",
+        "level",
+        "status",
+        F.size("errors").alias("n_errors"),
+        F.md5(F.col("json").cast("binary")).alias("json_md5"),
+    )
