@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import stored
+from tablewright.llm.common import in_groups, stored
 from tablewright.llm.components import components
 
 SIMILARITY = 0.95
@@ -146,11 +146,11 @@ def _caught(codes: int, kind: str):
     return run
 
 
-def _close_pairs(reps: np.ndarray, blocks: np.ndarray, first: int, second: int, units: np.ndarray, least: float):
+def _close_pairs(reps: np.ndarray, blocks: np.ndarray, crossing: bool, units: np.ndarray, least: float):
     """(a, b) with a < b: pairs of the group's vectors at ``least`` or more that this group owns."""
     cosine = units @ units.T
     i, j = np.nonzero(np.triu(cosine >= least, 1))
-    if first != second:  # pairs inside one block belong to the group of that block alone
+    if crossing:  # pairs inside one block belong to the group of that block alone
         own = blocks[i] != blocks[j]
         i, j = i[own], j[own]
     a, b = np.minimum(reps[i], reps[j]), np.maximum(reps[i], reps[j])
@@ -158,42 +158,27 @@ def _close_pairs(reps: np.ndarray, blocks: np.ndarray, first: int, second: int,
 
 
 def _met(least: float, kind: str):
-    columns = ["dimension", "filter", "first", "second"]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def compare(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            if not len(pdf):
-                return
-            key = pdf[columns].to_numpy()
-            new = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            edges = np.concatenate([[0], new, [len(pdf)]])
-            reps, blocks = pdf["rep"].to_numpy(), pdf["block"].to_numpy()
-            data, found = pdf["raw"].to_numpy(), []
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if e - s > 1:
-                    units = unit_rows(list(data[s:e]), kind)
-                    found.append(_close_pairs(reps[s:e], blocks[s:e], key[s][2], key[s][3], units, least))
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                if len(a):
-                    yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-
-        # rows come sorted by group; the last group of a batch may go on in the next
-        held: pd.DataFrame | None = None
-        for pdf in batches:
-            pdf = pdf if held is None or not len(held) else pd.concat([held, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            last = (pdf[columns] == pdf[columns].iloc[-1]).all(axis=1).to_numpy()
-            start = len(pdf) - int(np.argmin(last[::-1])) if not last.all() else 0
-            yield from compare(pdf.iloc[:start])
-            held = pdf.iloc[start:]
-        if held is not None:
-            yield from compare(held)
+        found, size = [], 0
+        for group in in_groups(batches, ["dimension", "filter", "first", "second"]):
+            units = unit_rows(group["raw"].tolist(), kind)
+            crossing = group["first"].iat[0] != group["second"].iat[0]
+            found.append(_close_pairs(group["rep"].to_numpy(), group["block"].to_numpy(), crossing, units, least))
+            size += len(found[-1][0])
+            if size > 50_000:
+                yield _distinct_pairs(found)
+                found, size = [], 0
+        if size:
+            yield _distinct_pairs(found)
 
     return run
 
 
+def _distinct_pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+
 def links(classes: DataFrame, kind: str, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b), a < b: linked classes of (rep, dimension, raw), each pair once."""
     spark = classes.sparkSession

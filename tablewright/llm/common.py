@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +38,23 @@ def same(a: Column, b: Column) -> Column:
 
 def documents(spark, folder: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def in_groups(batches: Iterator[pd.DataFrame], columns: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows that agree in ``columns``, which arrive sorted by them.
+
+    A group may span batches; only the last one of a batch is held back.
+    """
+    held: pd.DataFrame | None = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        key = pdf[list(columns)].to_numpy()
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(pdf)]
+        for start, end in zip(edges[:-2], edges[1:-1], strict=True):
+            if end - start > 1:
+                yield pdf.iloc[start:end]
+        held = pdf.iloc[edges[-2] :]
+    if held is not None and len(held) > 1:
+        yield held
