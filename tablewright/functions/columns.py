@@ -78,17 +78,6 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
 
 
-def approx_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int]]:
-    """{column: (non-null rows, sketched distinct count)}; one row reaches the driver."""
-    if not columns:
-        return {}
-    parts = []
-    for i, c in enumerate(columns):
-        parts += [F.count(ref(c)).alias(f"n{i}"), F.approx_count_distinct(ref(c)).alias(f"d{i}")]
-    row = df.agg(*parts).first()
-    return {c: (row[f"n{i}"], row[f"d{i}"]) for i, c in enumerate(columns)}
-
-
 def share(part: Column, whole: Column) -> Column:
     """part / whole, 0 when the whole is 0."""
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))

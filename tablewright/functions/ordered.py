@@ -1,142 +1,104 @@
 """Ordering a whole table without one task that sees all of it.
 
-Rows are put into buckets by cut points of the order column. The bucket is a
-pure function of the value, so it is the same however often and wherever it is
-computed; per-bucket totals are few rows, and running values are then windows
-inside a bucket plus an offset.
+Rows are dealt by ranges of the order columns; the range a row is in is stored with
+it, so every later step sees the same ranges. Totals per range are few rows, and
+running values are windows inside a range plus what earlier ranges hand on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyspark.sql import types as T
+from tablewright.functions.columns import ref, value_counts
+from tablewright.session import stored
 
-from tablewright.functions.columns import ref
+ROWS_IN_RANGE = 1_000_000
 
-MAX_BUCKETS = 2_000
 
+def ranged(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the number of its range in ``name``; ranges ascend with ``order_by``.
 
-def bucket_count(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, min(MAX_BUCKETS, partitions))
-
-
-def cut_points(df: DataFrame, value: Column, buckets: int) -> Column:
-    """About ``buckets`` increasing values that split the rows evenly (scalar subquery)."""
-    probs = [i / buckets for i in range(1, buckets)]
-    return df.agg(F.percentile_approx(value, probs, 10_000).alias("cuts")).scalar()
-
-
-def ordinal(df: DataFrame, column: str) -> Column:
-    """An order column as a double that increases with it."""
-    kind = df.schema[column].dataType
-    c = ref(column)
-    if isinstance(kind, T.NumericType):
-        return c.cast("double")
-    if isinstance(kind, T.DateType):
-        return F.datediff(c, F.lit("1970-01-01")).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        days = F.datediff(c, F.lit("1970-01-01")).cast("double")
-        clock = F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")
-        return days * 86_400 + clock
-    raise ValueError(f"order column {column} must be a number, a date or a timestamp")
-
-
-def bucket_of(value: Column, cuts: Column) -> Column:
-    return F.size(F.filter(cuts, lambda b: b < value))
+    The number of ranges follows the number of rows. ``order_by`` should identify a row:
+    equal rows are in one range.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = max(least, df.count() // ROWS_IN_RANGE + 1)
+    dealt = df.repartitionByRange(parts, *[ref(o) for o in order_by])
+    return stored(dealt.withColumn(name, F.spark_partition_id()), "ranges")
 
 
-def cumulative_counts(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, before, total) per distinct value; ``before`` counts smaller rows.
+def cumulative_counts(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., column, value, n, before, total) per distinct value of each column.
 
-    The first grouping collapses a hot value to one row, and the cut points split
-    the distinct values evenly, so no bucket depends on the skew of the data.
+    ``before`` counts the column's smaller values. Values are doubles; null and NaN are
+    left out. Counting first makes a hot value one row, so ranges are even.
     """
-    counts = (
-        df.select(ref(column).cast("double").alias("value"))
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    cuts = cut_points(counts, F.col("value"), bucket_count(df))
-    placed = counts.withColumn("bucket", bucket_of(F.col("value"), cuts))
-    # one row per bucket, at most MAX_BUCKETS of them
-    totals = placed.groupBy("bucket").agg(F.sum("n").alias("bucket_n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
+    counts = value_counts(df, columns, "double", keep).where(~F.isnan("value"))
+    placed = ranged(counts, [*keep, "column", "value"], "_range")
+    groups = [*keep, "column"]
+    totals = placed.groupBy(*groups, "_range").agg(F.sum("n").alias("_n"))
+    # one row per range and group
+    by_group = Window.partitionBy(*groups)
     starts = totals.select(
-        "bucket",
-        F.coalesce(F.sum("bucket_n").over(before), F.lit(0)).alias("start"),
-        F.sum("bucket_n").over(everything).alias("total"),
-    )
-    inside = (
-        Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        *[ref(g).alias(f"_{g}") for g in groups],
+        F.col("_range").alias("_r"),
+        F.coalesce(
+            F.sum("_n").over(by_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("_start"),
+        F.sum("_n").over(by_group).alias("total"),
     )
-    return placed.join(F.broadcast(starts), "bucket").select(
-        "value",
-        "n",
-        (F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before"),
-        "total",
+    match = F.col("_range") == F.col("_r")
+    for g in groups:
+        match = match & ref(g).eqNullSafe(ref(f"_{g}"))
+    inside = Window.partitionBy("_range", *groups).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    counted = placed.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return counted.join(starts, match).select(
+        *groups, "value", "n", (F.col("_start") + F.col("_inside")).alias("before"), "total"
     )
 
 
-def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, rank, total): the mean rank of each distinct value, from 1."""
-    return cumulative_counts(df, column).select(
-        "value", "n", (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"), "total"
+def average_ranks(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., column, value, n, rank, total): the mean rank of each distinct value, from 1."""
+    return cumulative_counts(df, columns, keep).select(
+        *keep, "column", "value", "n", (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"), "total"
     )
 
 
-def order_bucket(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Add ``bucket``: an ordered pair of integers that never splits the order.
+def carry(
+    df: DataFrame, column: str, order_by: Sequence[str], partition_by: Sequence[str] = (), backward: bool = False
+) -> DataFrame:
+    """Fill nulls of ``column`` from the previous (or next) non-null row in order.
 
-    A value of the first order column that is itself a cut point gets a bucket of
-    its own, which is split further by the second order column; so a value held
-    by a large share of all rows does not end up in one task.
+    With ``partition_by`` values are not carried from one key to another; a key of any
+    size is spread over ranges like the table itself.
     """
-    buckets = bucket_count(df)
-    first = ordinal(df, order_by[0])
-    cuts = cut_points(df, first, buckets)
-    at = bucket_of(first, cuts)
-    on_cut = F.array_contains(cuts, first)
-    if len(order_by) > 1:
-        second = ordinal(df, order_by[1])
-        minor = F.when(on_cut, bucket_of(second, cut_points(df, second, buckets))).otherwise(0)
-    else:
-        minor = F.lit(0)
-    major = F.coalesce(at * 2 + F.when(on_cut, 1).otherwise(0), F.lit(-1))
-    return df.withColumn(
-        "bucket", F.struct(major.alias("major"), F.coalesce(minor, F.lit(-1)).alias("minor"))
-    )
-
-
-def carry(df: DataFrame, column: str, order_by: Sequence[str], backward: bool = False) -> DataFrame:
-    """Fill nulls of ``column`` from the previous (or next) non-null row in order."""
-    direction = (lambda c: F.col(c).desc()) if backward else (lambda c: F.col(c).asc())
-    placed = order_bucket(df, order_by)
+    at = "_range"
+    while at in df.columns:
+        at = "_" + at
+    placed = ranged(df, [*partition_by, *order_by], at)
+    keys = [ref(k) for k in partition_by]
     position = F.struct(*[ref(o) for o in order_by])
+    known = F.when(ref(column).isNotNull(), position)
     pick = F.min_by if backward else F.max_by
-    # the nearest known value each bucket can hand on: one row per bucket
-    ends = placed.groupBy("bucket").agg(
-        pick(ref(column), F.when(ref(column).isNotNull(), position)).alias("end")
-    )
-    earlier = (
-        Window.orderBy(direction("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    handed = ends.select("bucket", F.last("end", ignorenulls=True).over(earlier).alias("handed"))
-    inside = (
-        Window.partitionBy("bucket")
-        .orderBy(*[direction(o) for o in order_by])
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    filled = F.coalesce(F.last(ref(column), ignorenulls=True).over(inside), F.col("handed"))
-    keep = [ref(c) if c != column else F.col("_filled").alias(column) for c in df.columns]
-    return (
-        placed.join(F.broadcast(handed), "bucket").withColumn("_filled", filled).select(*keep)
+    ends = placed.groupBy(*[k.alias(f"{at}k{i}") for i, k in enumerate(keys)], ref(at).alias(f"{at}r")).agg(
+        pick(ref(column), known).alias(f"{at}end"), F.count(F.lit(1)).alias(f"{at}n")
     )
+    # one row per key and range; only keys that go over a range border have several
+    names = [f"{at}k{i}" for i in range(len(keys))]
+    across = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
+    turn = ref(f"{at}r").desc() if backward else ref(f"{at}r").asc()
+    handed = ends.withColumn(
+        f"{at}handed",
+        F.last(f"{at}end", ignorenulls=True).over(across.orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)),
+    ).where(ref(f"{at}handed").isNotNull())
+    match = ref(at) == ref(f"{at}r")
+    for k, n in zip(keys, names, strict=True):
+        match = match & k.eqNullSafe(ref(n))
+    order = [(ref(o).desc_nulls_last() if backward else ref(o).asc_nulls_first()) for o in order_by]
+    inside = Window.partitionBy(ref(at), *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.coalesce(F.last(ref(column), ignorenulls=True).over(inside), ref(f"{at}handed"))
+    own = [ref(c) if c != column else filled.alias(column) for c in df.columns]
+    return placed.join(handed, match, "left").select(*own)

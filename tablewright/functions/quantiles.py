@@ -1,146 +1,41 @@
-"""Exact linear-interpolated quantiles whose last step is bounded.
+"""Exact quantiles, linearly interpolated, of columns of any size.
 
-``percentile`` keeps every distinct value of a column in one task. That is fine
-for a column of few distinct values and impossible for a measure of a very large
-table. So columns are split by a sketched distinct count: small ones go through
-``percentile`` over value counts; for the others the bracket that holds the
-wanted rank is narrowed with ``percentile_approx`` until few distinct values are
-left in it, and only that bracket is ranked exactly.
+Distinct values are counted, ordered by ranges with running counts, and the one or two
+values at a wanted rank are picked from them. No task holds a column.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import approx_distinct, ref, value_counts
-
-DISTINCT_LIMIT = 1_000_000
-SKETCH_ACCURACY = 2_000
+from tablewright.functions.ordered import cumulative_counts
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int = DISTINCT_LIMIT
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], keep: Sequence[str] = ()
 ) -> DataFrame:
-    """(column, q array<double>) with one entry of ``q`` per probability."""
-    columns = list(dict.fromkeys(columns))
-    sketched = approx_distinct(df, columns)
-    small = [c for c in columns if sketched[c][1] <= limit]
-    large = [c for c in columns if sketched[c][1] > limit]
-    parts = []
-    if small:
-        counts = value_counts(df, small, "double").where(~F.isnan("value"))
-        parts.append(
-            counts.groupBy("column").agg(
-                F.percentile("value", [float(p) for p in probs], F.col("n")).alias("q")
-            )
-        )
-    if large:
-        rows = [(c, _narrowed(df, c, probs, sketched[c][0], limit)) for c in large]
-        parts.append(df.sparkSession.createDataFrame(rows, "column string, q array<double>"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(keep..., column, q array<double>) with one entry of ``q`` per probability.
 
-
-def quantile_row(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int = DISTINCT_LIMIT
-) -> DataFrame:
+    A column without values has no row.
+    """
+    runs = cumulative_counts(df, list(dict.fromkeys(columns)), keep)
+    parts = []
+    for p in probs:
+        rank = (F.col("total") - 1) * F.lit(float(p))
+        low, high = F.floor(rank), F.ceil(rank)
+        upto = F.col("before") + F.col("n")
+        at_low = F.max(F.when((F.col("before") <= low) & (low < upto), F.col("value")))
+        at_high = F.max(F.when((F.col("before") <= high) & (high < upto), F.col("value")))
+        share = F.max(rank - low)
+        parts.append(at_low + (at_high - at_low) * share)
+    return runs.groupBy(*keep, "column").agg(F.array(*parts).alias("q"))
+
+
+def quantile_row(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """One row with a map column -> quantiles; use with ``scalar()`` or ``with_scalar``."""
-    return exact_quantiles(df, columns, probs, limit).agg(
+    return exact_quantiles(df, columns, probs).agg(
         F.map_from_entries(F.collect_list(F.struct("column", "q"))).alias("q")
     )
-
-
-def quantile_lookup(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int = DISTINCT_LIMIT
-) -> Column:
-    """The map of :func:`quantile_row` as a scalar subquery column."""
-    return quantile_row(df, columns, probs, limit).scalar()
-
-
-def _inside(value: Column, low: float | None, high: float | None) -> Column:
-    cond = F.lit(True)
-    if low is not None:
-        cond = cond & (value >= F.lit(low))
-    if high is not None:
-        cond = cond & (value <= F.lit(high))
-    return cond
-
-
-def _narrowed(
-    df: DataFrame, column: str, probs: Sequence[float], rows: int, limit: int
-) -> list[float]:
-    """Quantiles of one column; per pass only one short row reaches the driver."""
-    value = ref(column).cast("double")
-    data = df.select(value.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    v = F.col("v")
-    n = data.count() if rows else 0
-    if n == 0:
-        return [None for _ in probs]
-    rank = {p: (n - 1) * p for p in probs}
-    bracket = {p: (None, None, 0, n, math.inf) for p in probs}
-    while True:
-        wide = [p for p in probs if bracket[p][4] > limit]
-        if not wide:
-            break
-        marks = []
-        for i, p in enumerate(wide):
-            low, high, below, inside, _ = bracket[p]
-            at = (rank[p] - below) / max(inside - 1, 1)
-            slack = 3.0 / SKETCH_ACCURACY + 2.0 / inside
-            marks.append(
-                F.percentile_approx(
-                    F.when(_inside(v, low, high), v),
-                    [max(0.0, at - slack), min(1.0, at + slack)],
-                    SKETCH_ACCURACY,
-                ).alias(f"m{i}")
-            )
-        found = data.agg(*marks).first()
-        checks = []
-        for i, p in enumerate(wide):
-            low, high = found[f"m{i}"]
-            checks += [
-                F.count_if(v < F.lit(low)).alias(f"b{i}"),
-                F.count_if(_inside(v, low, high)).alias(f"n{i}"),
-                F.approx_count_distinct(F.when(_inside(v, low, high), v)).alias(f"d{i}"),
-            ]
-        seen = data.agg(*checks).first()
-        moved = False
-        for i, p in enumerate(wide):
-            low, high = found[f"m{i}"]
-            below, inside, distinct = seen[f"b{i}"], seen[f"n{i}"], seen[f"d{i}"]
-            holds = below <= math.floor(rank[p]) and math.ceil(rank[p]) < below + inside
-            if holds and inside < bracket[p][3]:
-                bracket[p] = (low, high, below, inside, distinct)
-                moved = True
-            elif holds:
-                bracket[p] = (low, high, below, inside, 0)
-        if not moved:
-            break
-    # what is left per target is ranked exactly, over value counts
-    targets = F.array(
-        *[
-            F.struct(F.lit(i).alias("t"), F.when(_inside(v, b[0], b[1]), v).alias("value"))
-            for i, b in enumerate(bracket[p] for p in probs)
-        ]
-    )
-    counts = (
-        data.select(F.inline(targets))
-        .where(F.col("value").isNotNull())
-        .groupBy("t", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    exact = []
-    for i, p in enumerate(probs):
-        _, _, below, inside, _ = bracket[p]
-        at = min(1.0, max(0.0, (rank[p] - below) / max(inside - 1, 1)))
-        exact.append(
-            F.percentile(F.when(F.col("t") == i, F.col("value")), float(at), F.col("n")).alias(f"q{i}")
-        )
-    row = counts.agg(*exact).first()
-    return [row[f"q{i}"] for i in range(len(probs))]

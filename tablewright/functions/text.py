@@ -10,18 +10,24 @@ TRUE_TOKENS = ["1", "1.0", "true", "t", "y", "yes", "enabled", "active"]
 FALSE_TOKENS = ["0", "0.0", "false", "f", "n", "no", "disabled", "inactive"]
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 PLAIN_NUMBER = r"^[+-]?\d+(\.\d+)?$"
-DATE_FORMATS = [
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd/MM/yyyy",
-    "MM-dd-yyyy",
-    "dd-MM-yyyy",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "dd MMM yyyy",
-    "MMM dd yyyy",
+ANY_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+SIGNED_NUMBER = r"^-?\d+(\.\d+)?$"
+ISO_OR_DAY_FIRST = r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4})"
+UNIT_TEXT = r"^\s*([0-9.]+)\s*([a-z\s]+)\s*$"
+# shape of the text, and the formats it can have, in order of precedence
+DATE_SHAPES = [
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM yyyy"]),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", ["d-MMM-yyyy"]),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", ["MMM d, yyyy"]),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", ["MMM d yyyy"]),
+    (r"^[A-Za-z]{4,} \d{1,2}, \d{4}$", ["MMMM d, yyyy"]),
+    (r"^[A-Za-z]{4,} \d{1,2} \d{4}$", ["MMMM d yyyy"]),
 ]
+ISO_TIME = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?(Z|[+-]\d{2}:?\d{2}))?$"
 WEIGHT_NAMES = ["weight", "mass", "load"]
 LENGTH_NAMES = ["length", "height", "width", "size", "distance"]
 WEIGHT_UNITS = {
@@ -37,8 +43,14 @@ LENGTH_UNITS = {
 
 
 def tidy_spaces(c: Column) -> Column:
-    """Runs of white space become one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Runs of white space, no-break spaces too, become one blank, none at the ends."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
+def guarded_double(c: Column) -> Column:
+    """A double if the text is written as a number; not for NaN, 12D or 3f, which a cast would take."""
+    text = tidy_spaces(c)
+    return F.when(text.rlike(ANY_NUMBER), text.try_cast("double"))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -53,9 +65,16 @@ def as_boolean(c: Column) -> Column:
 
 
 def as_timestamp(c: Column) -> Column:
-    """First format that fits; text in none of them becomes null."""
+    """The first format that fits; text in none of them becomes null.
+
+    A value is parsed only in the formats of its shape, mostly one.
+    """
     text = tidy_spaces(c)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+    out = F.when(text.rlike(ISO_TIME), text.try_cast("timestamp"))
+    for shape, formats in DATE_SHAPES:
+        named = F.initcap(text) if "A-Z" in shape and " " in formats[0] else text
+        out = out.when(text.rlike(shape), F.coalesce(*[F.try_to_timestamp(named, F.lit(f)) for f in formats]))
+    return out
 
 
 def title_case(c: Column) -> Column:
@@ -70,30 +89,30 @@ def to_case(c: Column, style: str) -> Column:
 
 def as_currency(c: Column) -> Column:
     """Signs, commas, blanks and % removed; any minus in the text makes it negative."""
-    digits = F.regexp_replace(c, r"[$,€£%\s+\-]", "").try_cast("double")
+    digits = guarded_double(F.regexp_replace(c, r"(?U)[$,€£%\s+\-]", ""))
     return F.when(c.contains("-"), -digits).otherwise(digits)
 
 
 def as_percent(c: Column) -> Column:
     text = tidy_spaces(c)
-    number = F.trim(F.regexp_replace(text, "[,%]", "")).try_cast("double")
+    number = guarded_double(F.regexp_replace(text, "[,%]", ""))
     return F.when(text.rlike(r"^[^%]*%$"), number / 100)
 
 
 def as_number(c: Column) -> Column:
     """Plain numbers, with or without thousands commas; everything else null."""
-    text = F.regexp_replace(F.trim(c), ",", "")
+    text = F.regexp_replace(tidy_spaces(c), ",", "")
     return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
 
 
 def as_money(c: Column) -> Column:
     """A plain number after removing one or more currency signs and commas."""
-    text = F.trim(F.regexp_replace(F.trim(c), "[$£€¥₹,]", ""))
+    text = F.trim(F.regexp_replace(tidy_spaces(c), "[$£€¥₹,]", ""))
     return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
 
 
 def as_email(c: Column) -> Column:
-    text = F.lower(F.trim(c))
+    text = F.lower(tidy_spaces(c))
     return F.when(text.rlike(EMAIL), text)
 
 
@@ -122,10 +141,9 @@ def unit_scale(name: str) -> dict | None:
 
 def in_base_unit(c: Column, units: dict) -> Column:
     """``number unit`` text in kilograms or metres; anything else null."""
-    text = F.lower(F.trim(c.cast("string")))
-    shape = r"^\s*([0-9.]+)\s*([a-z\s]+)\s*$"
-    number = F.regexp_extract(text, shape, 1).try_cast("double")
-    unit = F.trim(F.regexp_extract(text, shape, 2))
+    text = F.lower(tidy_spaces(c.cast("string")))
+    number = guarded_double(F.regexp_extract(text, UNIT_TEXT, 1))
+    unit = F.trim(F.regexp_extract(text, UNIT_TEXT, 2))
     out = None
     for names, factor in units.items():
         hit = unit.isin(list(names))

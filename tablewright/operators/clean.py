@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,25 +24,40 @@ from tablewright.functions.ordered import carry
 from tablewright.functions.quantiles import quantile_row
 from tablewright.operators.validate import duplicate_rows
 
-ISO_OR_DAY_FIRST = r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4})"
-SIGNED_NUMBER = r"^-?\d+(\.\d+)?$"
-
 
 def audit(df: DataFrame, action: str, changes: dict[str, Column]) -> DataFrame:
-    """(action, column, rows_affected): how many values a step would change."""
+    """(action, column, rows_affected): how many values a step changes.
+
+    A step that gives another type changes every value that it can read; a value it
+    cannot read is kept beside the result and is no change.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    made = {f.name: f.dataType for f in df.select(*[v.alias(c) for c, v in changes.items()]).schema}
+
+    def changed(c: str, new: Column) -> Column:
+        if made[c] != kinds[c]:
+            return new.isNotNull()
+        return ~ref(c).eqNullSafe(new)
+
     rows = [
         F.struct(
             F.lit(action).alias("action"),
             F.lit(c).alias("column"),
-            count_if(~ref(c).cast("string").eqNullSafe(new.cast("string"))).alias("rows_affected"),
+            count_if(changed(c, new)).alias("rows_affected"),
         )
         for c, new in changes.items()
     ]
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-def replace(df: DataFrame, changes: dict[str, Column]) -> DataFrame:
-    return df.withColumns(changes)
+def audit_rows(before: DataFrame, after: DataFrame, action: str) -> DataFrame:
+    """The audit row of a step that removes rows."""
+    count = F.count(F.lit(1)).alias("n")
+    return before.agg(count).select(
+        F.lit(action).alias("action"),
+        F.lit(None).cast("string").alias("column"),
+        (F.col("n") - after.agg(count).scalar()).alias("rows_affected"),
+    )
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
@@ -55,13 +69,16 @@ def clean_name(name: str) -> str:
 
 
 def normalize_headers(df: DataFrame) -> DataFrame:
-    """Plain column names; a name that would repeat gets a numbered suffix."""
-    taken: dict[str, int] = {}
+    """Plain column names; a name that is taken, in whatever case, gets a numbered suffix."""
+    taken: set[str] = set()
     names = []
     for c in df.columns:
         base = clean_name(c) or "column"
-        taken[base] = taken.get(base, 0) + 1
-        name = base if taken[base] == 1 else f"{base}_{taken[base]}"
+        name, n = base, 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{base}_{n}"
+        taken.add(name.lower())
         names.append(name)
     return df.toDF(*names)
 
@@ -78,7 +95,7 @@ def _match_shares(df: DataFrame, columns: Sequence[str], match: Callable[[Column
 
 def infer_cast_datetime(df: DataFrame, min_share: float = 0.5) -> DataFrame:
     """Text columns that look like dates become timestamps; what does not parse is null."""
-    shares = _match_shares(df, string_columns(df), lambda c: c.rlike(ISO_OR_DAY_FIRST))
+    shares = _match_shares(df, string_columns(df), lambda c: c.rlike(text.ISO_OR_DAY_FIRST))
     casts = {c: text.as_timestamp(ref(c)) for c, s in shares.items() if s > min_share}
     return df.withColumns(casts) if casts else df
 
@@ -87,19 +104,23 @@ def infer_cast_numeric(df: DataFrame, min_share: float = 0.75) -> DataFrame:
     """Text columns of numbers with $, % or commas become doubles."""
 
     def bare(c: Column) -> Column:
-        return F.trim(F.regexp_replace(c, "[$%,]", ""))
+        return text.tidy_spaces(F.regexp_replace(c, "[$%,]", ""))
 
-    shares = _match_shares(df, string_columns(df), lambda c: bare(c).rlike(SIGNED_NUMBER))
-    casts = {c: bare(ref(c)).try_cast("double") for c, s in shares.items() if s > min_share}
+    shares = _match_shares(df, string_columns(df), lambda c: bare(c).rlike(text.SIGNED_NUMBER))
+    casts = {c: text.guarded_double(bare(ref(c))) for c, s in shares.items() if s > min_share}
     return df.withColumns(casts) if casts else df
 
 
+def _known(c: str) -> Column:
+    """The column as double, NaN as null."""
+    x = ref(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls become the column's median, or 0 when the column is all null."""
     marked = with_scalar(df, quantile_row(df, columns, [0.5]), "_mid")
-    fills = {
-        c: F.coalesce(ref(c).cast("double"), F.col("_mid.q")[c][0], F.lit(0.0)) for c in columns
-    }
+    fills = {c: F.coalesce(_known(c), F.col("_mid.q")[c][0], F.lit(0.0)) for c in columns}
     return marked.withColumns(fills).drop("_mid")
 
 
@@ -110,45 +131,40 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls become the column's most frequent value, or Unknown."""
+    """Nulls become the column's most frequent value, or Unknown in a text column without any."""
     modes = column_modes(df, columns).agg(
         F.map_from_entries(F.collect_list(F.struct("column", "mode"))).alias("m")
     )
     marked = with_scalar(df, modes, "_mode")
-    fills = {c: F.coalesce(ref(c), F.col("_mode.m")[c], F.lit("Unknown")) for c in columns}
+    texts = set(string_columns(df))
+    fills = {}
+    for c in columns:
+        mode = F.col("_mode.m")[c].cast(df.schema[c].dataType)
+        fills[c] = F.coalesce(ref(c), mode, *([F.lit("Unknown")] if c in texts else []))
     return marked.withColumns(fills).drop("_mode")
 
 
 def impute_ffill_bfill(
     df: DataFrame, column: str, order_by: Sequence[str], partition_by: Sequence[str] = ()
 ) -> DataFrame:
-    """Nulls take the previous value in order, then the next one.
+    """Nulls take the previous value in order, then the next one, within a key if one is given.
 
-    Without a partition key the table is ordered as a whole by buckets
-    (``functions.ordered``); ``order_by`` should identify a row.
+    ``order_by`` should identify a row (of its key).
     """
-    if not partition_by:
-        return carry(carry(df, column, order_by), column, order_by, backward=True)
-    keys = [ref(k) for k in partition_by]
-    order = [ref(o) for o in order_by]
-    back = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    filled = F.coalesce(
-        F.last(ref(column), ignorenulls=True).over(back),
-        F.first(ref(column), ignorenulls=True).over(ahead),
+    return carry(
+        carry(df, column, order_by, partition_by), column, order_by, partition_by, backward=True
     )
-    return df.withColumn(column, filled)
 
 
 def clip_iqr(df: DataFrame, columns: Sequence[str], width: float = 1.5) -> DataFrame:
-    """Values are limited to [Q1 - width IQR, Q3 + width IQR]; nulls stay null."""
+    """Values are limited to [Q1 - width IQR, Q3 + width IQR]; nulls stay null, NaN becomes null."""
     marked = with_scalar(df, quantile_row(df, columns, [0.25, 0.75]), "_iqr")
     clipped = {}
     for c in columns:
         q = F.col("_iqr.q")[c]
         reach = (q[1] - q[0]) * width
         clipped[c] = F.when(
-            ref(c).isNotNull(), F.least(F.greatest(ref(c).cast("double"), q[0] - reach), q[1] + reach)
+            _known(c).isNotNull(), F.least(F.greatest(_known(c), q[0] - reach), q[1] + reach)
         )
     return marked.withColumns(clipped).drop("_iqr")
 
@@ -180,7 +196,8 @@ def normalize_boolean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def normalize_date(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _each(df, columns, text.as_timestamp)
+    """Timestamps; text that is no date is kept in ``<column>_unparsed``."""
+    return _parsed(df, columns, text.as_timestamp)
 
 
 def date_changes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -209,7 +226,7 @@ def standardize_case(df: DataFrame, styles: dict[str, str]) -> DataFrame:
 
 
 def parse_currency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _each(df, columns, text.as_currency)
+    return _parsed(df, columns, text.as_currency)
 
 
 def parse_percent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -223,8 +240,8 @@ def parse_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # in order of precedence: a value counts for the first kind it fits
 CONVERSIONS: dict[str, Callable[[Column], Column]] = {
     "boolean": lambda c: F.when(
-        F.lower(F.trim(c)).isin("true", "t", "yes", "y", "1"), F.lit(True)
-    ).when(F.lower(F.trim(c)).isin("false", "f", "no", "n", "0"), F.lit(False)),
+        F.lower(text.tidy_spaces(c)).isin("true", "t", "yes", "y", "1"), F.lit(True)
+    ).when(F.lower(text.tidy_spaces(c)).isin("false", "f", "no", "n", "0"), F.lit(False)),
     "percent": text.as_percent,
     "currency": text.as_money,
     "date": text.as_timestamp,
@@ -241,35 +258,37 @@ def conversion_kind(c: Column) -> Column:
 
 
 def conversion_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, kind, n, present): how many values of each column fit each kind."""
-    kinds = list(CONVERSIONS)
-    measures = {"present": lambda c: F.count(F.when(F.trim(c) != "", c))}
-    for k in kinds:
-        measures[k] = lambda c, k=k: count_if(conversion_kind(c) == k)
-    wide = per_column(df, columns, measures)
-    return wide.unpivot(["column", "present"], kinds, "kind", "n")
+    """(column, kind, n, present): how many values of each column fit each kind; kind null for none."""
+    kinds = df.select(
+        *[F.when(text.blank_to_null(ref(c)).isNotNull(), F.coalesce(conversion_kind(ref(c)), F.lit(""))).alias(c) for c in columns]
+    )
+    counts = value_counts(kinds, columns)
+    total = Window.partitionBy("column")
+    return counts.select(
+        "column", F.when(F.col("value") != "", F.col("value")).alias("kind"), "n", F.sum("n").over(total).alias("present")
+    )
 
 
 def convert_type(df: DataFrame, columns: Sequence[str], min_share: float = 0.30) -> DataFrame:
     """Text columns become the kind most of their convertible values have.
 
-    A column is converted when at least two values and ``min_share`` of them fit.
-    The kinds decide the schema, so a few counts per column are fetched first.
+    A column is converted when at least two values and ``min_share`` of them fit. Text
+    that does not fit the kind is kept in ``<column>_unparsed``. The kinds decide the
+    schema, so a few counts per column are fetched first.
     """
     order = list(CONVERSIONS)
-    best: dict[str, tuple[int, str]] = {}
-    total: dict[str, tuple[int, int]] = {}
+    fits: dict[str, list[tuple[int, int, str]]] = {c: [] for c in columns}
+    present: dict[str, int] = {}
     for r in conversion_shares(df, columns).collect():
-        have = best.get(r["column"], (0, "number"))
-        if r["n"] > have[0] or (r["n"] == have[0] and order.index(r["kind"]) < order.index(have[1])):
-            best[r["column"]] = (r["n"], r["kind"])
-        done = total.get(r["column"], (0, 0))
-        total[r["column"]] = (done[0] + r["n"], r["present"])
-    casts = {}
-    for c, (fit, present) in total.items():
-        if fit >= max(2, min_share * present):
-            casts[c] = CONVERSIONS[best[c][1]](ref(c))
-    return df.withColumns(casts) if casts else df
+        present[r["column"]] = r["present"]
+        if r["kind"] is not None:
+            fits[r["column"]].append((-r["n"], order.index(r["kind"]), r["kind"]))
+    out = df
+    for c in columns:
+        n = -sum(f[0] for f in fits[c])
+        if fits[c] and n >= max(2, min_share * present[c]):
+            out = _parsed(out, [c], CONVERSIONS[min(fits[c])[2]])
+    return out
 
 
 def standardize_units(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -307,100 +326,111 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _case_variants(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, affected): texts that another text equals but for case and outer blanks."""
-    folded = long_values(df, columns).groupBy("column", F.lower(F.trim("value")).alias("key")).agg(
-        (F.min("value") != F.max("value")).alias("varied")
-    )
+    filled = long_values(df, columns).where(text.tidy_spaces(F.col("value")) != "")
+    key = F.lower(text.tidy_spaces(F.col("value")))
+    folded = filled.groupBy("column", key.alias("key")).agg((F.min("value") != F.max("value")).alias("varied"))
     return folded.groupBy("column").agg(count_if(F.col("varied")).alias("affected"))
 
 
 def detect_cleaning_issues(df: DataFrame) -> DataFrame:
-    """Issue rows (id, column, severity, action, affected) judged on every value."""
-    texts, numbers = string_columns(df), numeric_columns(df)
+    """Issue rows (id, column, severity, action, affected) judged on every value.
 
-    def issue(found: DataFrame, kind: str, severity: str, action: str) -> DataFrame:
-        return found.where("affected > 0").select(
-            F.concat(F.lit(kind + "_"), F.col("column")).alias("id"),
-            "column",
-            F.lit(severity).alias("severity"),
-            F.lit(action).alias("action"),
-            F.col("affected").cast("long").alias("affected"),
+    Blank text is missing. One aggregate counts everything that a value shows by itself;
+    copies, spellings and outliers take a pass each.
+    """
+    texts, numbers = string_columns(df), numeric_columns(df)
+    none = F.lit(0).cast("long")
+
+    def of(c: str) -> Column:
+        x = ref(c)
+        is_text = c in texts
+        there = text.blank_to_null(x) if is_text else x
+        kind = conversion_kind(there) if is_text else None
+        phone = (
+            there.rlike(r"^[\s+()\d.-]+$")
+            & F.length(F.regexp_replace(there, "[^0-9]", "")).between(7, 15)
+            & (text.as_phone(there) != there)
+            & kind.isNull()
+        ) if is_text else None
+        return F.struct(
+            F.lit(c).alias("column"),
+            F.count(F.lit(1)).alias("rows"),
+            count_if(there.isNull()).alias("missing"),
+            (F.count(there) if is_text else none).alias("present"),
+            (count_if(x != text.tidy_spaces(x)) if is_text else none).alias("padded"),
+            (count_if(x.isNotNull() & there.isNull()) if is_text else none).alias("empty"),
+            (count_if(kind.isNotNull()) if is_text else none).alias("fit"),
+            (count_if(there.contains("@") & text.as_email(there).isNull()) if is_text else none).alias("bad_mail"),
+            (count_if(phone) if is_text else none).alias("phone"),
         )
 
-    copies = duplicate_rows(df)
-    parts = [
-        copies.where("surplus > 0").select(
-            F.lit("duplicate_rows").alias("id"),
-            F.lit(None).cast("string").alias("column"),
-            F.when(share(F.col("surplus"), F.col("rows")) > 0.05, "warning").otherwise("info").alias("severity"),
-            F.lit("drop_duplicates").alias("action"),
-            F.col("surplus").cast("long").alias("affected"),
-        )
-    ]
-    nulls = per_column(
-        df,
-        df.columns,
-        {"affected": lambda c: count_if(c.isNull()), "rows": lambda c: F.count(F.lit(1))},
-    ).where(share(F.col("affected"), F.col("rows")) >= 0.10)
-    parts.append(issue(nulls, "nulls", "warning", "impute_or_flag"))
+    counts = df.agg(F.array(*[of(c) for c in df.columns]).alias("rows")).select(F.inline("rows"))
+    found = F.array(
+        F.struct(
+            F.lit("nulls").alias("kind"), F.lit("warning").alias("severity"), F.lit("missingness_indicator").alias("action"),
+            F.when(F.col("missing") >= F.col("rows") * 0.10, F.col("missing")).otherwise(0).alias("affected"),
+        ),
+        *[
+            F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.lit(a).alias("action"), n.alias("affected"))
+            for k, s, a, n in [
+                ("whitespace", "info", "strip_whitespace", F.col("padded")),
+                ("empty", "info", "empty_to_null", F.col("empty")),
+                ("convert", "info", "convert_type",
+                 F.when(F.col("fit") >= F.greatest(F.lit(2.0), F.col("present") * 0.3), F.col("fit")).otherwise(0)),
+                ("email", "warning", "validate_email", F.col("bad_mail")),
+                ("phone", "info", "normalize_phone", F.col("phone")),
+            ]
+        ],
+    )
+    shape = ["id", "column", "severity", "action", "affected"]
+    own = counts.select("column", F.inline(found)).where("affected > 0").select(
+        F.concat("kind", F.lit("_"), "column").alias("id"), "column", "severity", "action", F.col("affected").cast("long")
+    )
+    copies = duplicate_rows(df).where("surplus > 0").select(
+        F.lit("duplicate_rows").alias("id"),
+        F.lit(None).cast("string").alias("column"),
+        F.when(share(F.col("surplus"), F.col("rows")) > 0.05, "warning").otherwise("info").alias("severity"),
+        F.lit("drop_duplicates").alias("action"),
+        F.col("surplus").cast("long").alias("affected"),
+    )
+    out = own.select(*shape).unionByName(copies)
+    if texts:
+        varied = _case_variants(df, texts).where("affected > 0")
+        out = out.unionByName(
+            varied.select(
+                F.concat(F.lit("case_"), "column").alias("id"), "column", F.lit("info").alias("severity"),
+                F.lit("standardize_case").alias("action"), F.col("affected").cast("long"),
+            )
+        )
     if numbers:
-        marked = with_scalar(
-            df.select(*[ref(c).cast("double").alias(c) for c in numbers]),
-            quantile_row(df, numbers, [0.25, 0.75]),
-            "_iqr",
-        )
+        far = outside_fences(df, numbers).where((F.col("affected") > 0) & (share(F.col("affected"), F.col("rows")) < 0.10))
+        out = out.unionByName(
+            far.select(
+                F.concat(F.lit("outliers_"), "column").alias("id"), "column", F.lit("info").alias("severity"),
+                F.lit("flag_only").alias("action"), F.col("affected").cast("long"),
+            )
+        )
+    return out
 
-        def outside(c: str) -> Column:
-            q = F.col("_iqr.q")[c]
-            reach = (q[1] - q[0]) * 1.5
-            return (ref(c) < q[0] - reach) | (ref(c) > q[1] + reach)
 
-        rows = [
+def outside_fences(df: DataFrame, columns: Sequence[str], width: float = 1.5) -> DataFrame:
+    """(column, rows, present, low, high, affected): values beyond ``width`` IQR of the quartiles."""
+    marked = with_scalar(df.select(*[_known(c).alias(c) for c in columns]), quantile_row(df, columns, [0.25, 0.75]), "_iqr")
+    rows = []
+    for c in columns:
+        q = F.col("_iqr.q")[c]
+        low, high = q[0] - (q[1] - q[0]) * width, q[1] + (q[1] - q[0]) * width
+        rows.append(
             F.struct(
                 F.lit(c).alias("column"),
-                count_if(outside(c)).alias("affected"),
                 F.count(F.lit(1)).alias("rows"),
+                F.count(ref(c)).alias("present"),
+                F.max(low).alias("low"),
+                F.max(high).alias("high"),
+                count_if((ref(c) < low) | (ref(c) > high)).alias("affected"),
             )
-            for c in numbers
-        ]
-        far = marked.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
-        far = far.where(share(F.col("affected"), F.col("rows")) < 0.10)
-        parts.append(issue(far, "outliers", "info", "flag_only"))
-    if texts:
-        checks = per_column(
-            df,
-            texts,
-            {
-                "present": lambda c: F.count(c),
-                "padded": lambda c: count_if(c != F.trim(c)),
-                "empty": lambda c: count_if(F.trim(c) == ""),
-                "fit": lambda c: count_if(conversion_kind(c).isNotNull()),
-                "bad_mail": lambda c: count_if(c.contains("@") & text.as_email(c).isNull()),
-                "phone": lambda c: count_if(
-                    c.rlike(r"^[\s+()\d.-]+$")
-                    & (F.length(F.regexp_replace(c, "[^0-9]", "")).between(7, 15))
-                    & (text.as_phone(c) != c)
-                ),
-            },
         )
-
-        def pick(name: str, keep: Column | None = None) -> DataFrame:
-            found = checks if keep is None else checks.where(keep)
-            return found.select("column", F.col(name).alias("affected"))
-
-        parts += [
-            issue(pick("padded"), "whitespace", "info", "strip_whitespace"),
-            issue(pick("empty"), "empty", "info", "empty_to_null"),
-            issue(_case_variants(df, texts), "case", "info", "standardize_case"),
-            issue(
-                pick("fit", F.col("fit") >= F.greatest(F.lit(2.0), F.col("present") * 0.3)),
-                "convert",
-                "info",
-                "convert_type",
-            ),
-            issue(pick("bad_mail"), "email", "warning", "validate_email"),
-            issue(pick("phone"), "phone", "info", "normalize_phone"),
-        ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return marked.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 ACTIONS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
@@ -412,7 +442,7 @@ ACTIONS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
     "missingness_indicator": missingness_indicator,
     "strip_whitespace": trim_collapse_whitespace,
     "empty_to_null": empty_to_null,
-    "standardize_case": lambda df, cols: _each(df, cols, lambda c: F.lower(F.trim(c))),
+    "standardize_case": lambda df, cols: _each(df, cols, lambda c: F.lower(text.tidy_spaces(c))),
     "convert_type": convert_type,
     "validate_email": validate_email,
     "normalize_phone": normalize_phone,

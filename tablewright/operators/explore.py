@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations, combinations_with_replacement
@@ -20,6 +19,7 @@ from tablewright.functions.columns import (
     share,
     value_counts,
 )
+from tablewright.functions.text import blank_to_null, guarded_double
 
 DOMINANT_SHARE = 0.40
 STRONG, MODERATE = 0.7, 0.4
@@ -42,6 +42,12 @@ def missingness_table(df: DataFrame) -> DataFrame:
     return stats.select("column", "nulls", share(F.col("nulls"), F.col("rows")).alias("null_share"))
 
 
+def number(c: str) -> Column:
+    """The column as double, NaN as null."""
+    x = ref(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def strength(r: Column) -> Column:
     return (
         F.when(F.abs(r) > STRONG, "strong").when(F.abs(r) > MODERATE, "moderate").otherwise("weak")
@@ -53,16 +59,19 @@ def correlation_matrix(
 ) -> DataFrame:
     """(a, b, n, r, strength) over the rows where both are known, in one pass."""
     columns = list(columns or numeric_columns(df))
+    if len(columns) < 2:
+        empty = "a string, b string, n long, r double, strength string"
+        return df.sparkSession.createDataFrame([], empty)
     pairs = []
     for a, b in combinations(columns, 2):
-        x, y = ref(a).cast("double"), ref(b).cast("double")
+        x, y = number(a), number(b)
         both = x.isNotNull() & y.isNotNull()
         pairs.append(
             F.struct(
                 F.lit(a).alias("a"),
                 F.lit(b).alias("b"),
                 count_if(both).alias("n"),
-                F.corr(x, y).alias("r"),
+                F.corr(F.when(both, x), F.when(both, y)).alias("r"),
             )
         )
     out = df.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs"))
@@ -73,12 +82,14 @@ def correlation_matrix(
 def covariance_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Sample covariances over the rows where every column is known."""
     columns = list(columns or numeric_columns(df))
-    complete = df.dropna(subset=columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "a string, b string, covariance double")
+    complete = df.select(*[number(c).alias(c) for c in columns]).dropna()
     pairs = [
         F.struct(
             F.lit(a).alias("a"),
             F.lit(b).alias("b"),
-            F.covar_samp(ref(a).cast("double"), ref(b).cast("double")).alias("covariance"),
+            F.covar_samp(ref(a), ref(b)).alias("covariance"),
         )
         for a, b in combinations_with_replacement(columns, 2)
     ]
@@ -99,9 +110,15 @@ def top_bottom_groups(df: DataFrame, dimension: str, measure: str, k: int = 3) -
         .agg(F.avg(ref(measure)).alias("mean"))
         .where(F.col("mean").isNotNull())
     )
-    top = means.orderBy(F.desc("mean"), F.asc("value")).limit(k).withColumn("side", F.lit("top"))
-    low = means.orderBy(F.asc("mean"), F.asc("value")).limit(k).withColumn("side", F.lit("bottom"))
-    return top.unionByName(low)
+    # both ends from one grouping: each group is sent to either side, and each side keeps k
+    sides = means.select(
+        "value", "mean", F.inline(F.array(
+            F.struct(F.lit("top").alias("side"), (-F.col("mean")).alias("_by")),
+            F.struct(F.lit("bottom").alias("side"), F.col("mean").alias("_by")),
+        ))
+    )
+    best = Window.partitionBy("side").orderBy("_by", "value")
+    return sides.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= k).select("value", "mean", "side")
 
 
 def distribution_observations(summary: DataFrame) -> DataFrame:
@@ -134,16 +151,12 @@ def period_start(date: Column, unit: str) -> Column:
     return F.trunc(date, unit) if unit != "day" else date.cast("date")
 
 
-def period_mean_trend(
-    df: DataFrame, date: str, measure: str, unit: str = "month", first: int = 30
-) -> DataFrame:
-    """Mean per period for the first periods, and the change over them in per cent."""
+def period_mean_trend(df: DataFrame, date: str, measure: str, unit: str = "month") -> DataFrame:
+    """Mean per period, and the change from the first to the last in per cent."""
     means = (
         df.where(ref(date).isNotNull())
         .groupBy(period_start(ref(date), unit).alias("period"))
         .agg(F.avg(ref(measure)).alias("mean"))
-        .orderBy("period")
-        .limit(first)
     )
     ends = means.agg(
         F.min_by("mean", "period").alias("first"), F.max_by("mean", "period").alias("last")
@@ -171,36 +184,21 @@ def measure_by_dimension(df: DataFrame, dimension: str, measure: str | None, k:
     return top.withColumn("share_of_shown", share(F.col("total"), whole))
 
 
-def match_column(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
-    """First candidate that equals, contains or is contained in a column name."""
-
-    def plain(name: str) -> str:
-        return re.sub(r"[_\-\s]+", "", name.lower())
-
-    for candidate in candidates:
-        want = plain(candidate)
-        for c in columns:
-            have = plain(c)
-            if want in have or have in want:
-                return c
-    return None
-
-
 def _number(df: DataFrame, column: str) -> Column:
     """The column as double; texts lose currency signs, commas and per cent signs."""
     kind = df.schema[column].dataType
     if isinstance(kind, T.StringType):
-        value = F.trim(F.regexp_replace(ref(column), "[$£€¥₹%,]", "")).try_cast("double")
+        value = guarded_double(F.regexp_replace(ref(column), "[$£€¥₹%,]", ""))
     else:
         value = ref(column).cast("double")
     return F.when(~F.isnan(value), value)
 
 
 def kpi_aggregate(df: DataFrame, catalog: Sequence[dict]) -> DataFrame:
-    """KPIs of a catalog whose entries have name, columns, aggregation and unit.
+    """KPIs of a catalog whose entries have name, column, aggregation and unit.
 
-    Aggregations: sum, avg, count (distinct for columns named like ids) and rate
-    (share of ones in per cent, or the mean).
+    Aggregations: sum, avg, count (filled values), distinct, and rate (share of ones in
+    per cent, or the mean). Entries name their column; those the table lacks are left out.
     """
     rows, ids = [F.struct(
         F.lit("Total Records").alias("kpi"),
@@ -210,16 +208,15 @@ def kpi_aggregate(df: DataFrame, catalog: Sequence[dict]) -> DataFrame:
         F.lit(None).cast("string").alias("unit"),
     )], []
     for entry in catalog:
-        column = match_column(df.columns, entry["columns"])
-        if column is None:
+        column, how = entry["column"], entry["aggregation"]
+        if column not in df.columns:
             continue
-        how = entry["aggregation"]
-        x = _number(df, column)
-        if how == "count" and re.search("id|number|code", column.lower()):
-            ids.append((entry, column))
+        if how == "distinct":
+            ids.append(entry)
             continue
+        x = _number(df, column)
         if how == "count":
-            value = F.count(ref(column)).cast("double")
+            value = F.count(_filled(df, column)).cast("double")
         elif how == "rate":
             flags = F.bool_and(x.isin(0.0, 1.0))
             mean = F.avg(x)
@@ -237,73 +234,72 @@ def kpi_aggregate(df: DataFrame, catalog: Sequence[dict]) -> DataFrame:
         )
     out = df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
     if ids:
-        counts = distinct_counts(df, sorted({c for _, c in ids}))
-        named = F.array(
-            *[
-                F.struct(
-                    F.lit(e["name"]).alias("kpi"),
-                    F.lit(c).alias("on"),
-                    F.lit(e.get("unit")).cast("string").alias("unit"),
-                )
-                for e, c in ids
-            ]
-        )
-        found = counts.select("column", "distinct", F.inline(named)).where("on = column")
-        out = out.unionByName(
-            found.select(
-                "kpi",
-                "column",
-                F.lit("count").alias("aggregation"),
-                F.col("distinct").cast("double").alias("value"),
-                "unit",
+        columns = sorted({e["column"] for e in ids})
+        filled = df.select(*[_filled(df, c).alias(c) for c in columns])
+        counts = {
+            e["name"]: distinct_counts(filled, [e["column"]]).agg(F.coalesce(F.max("distinct"), F.lit(0)).cast("double")).scalar()
+            for e in ids
+        }
+        extra = [
+            F.struct(
+                F.lit(e["name"]).alias("kpi"),
+                F.lit(e["column"]).alias("column"),
+                F.lit("distinct").alias("aggregation"),
+                counts[e["name"]].alias("value"),
+                F.lit(e.get("unit")).cast("string").alias("unit"),
             )
-        )
+            for e in ids
+        ]
+        one = df.sparkSession.range(1)
+        out = out.unionByName(one.select(F.array(*extra).alias("rows")).select(F.inline("rows")))
     return out
 
 
-# The KPIs of each domain as (label, aggregation, words in the column name).
+def _filled(df: DataFrame, column: str) -> Column:
+    """The column with blank texts as null."""
+    return blank_to_null(ref(column)) if isinstance(df.schema[column].dataType, T.StringType) else ref(column)
+
+
+# The KPIs of each domain as (label, aggregation); a null is zero in a rate.
 DOMAIN_KPIS = {
-    "Retail": [
-        ("Total Revenue", "sum", ["revenue", "sales", "price", "amount"]),
-        ("Total Orders", "rows", []),
-    ],
-    "HR": [
-        ("Average Salary", "avg", ["salary", "pay", "compensation"]),
-        ("Total Headcount", "rows", []),
-    ],
-    "Healthcare": [
-        ("Average Length of Stay", "avg", ["stay", "los", "duration"]),
-        ("Patient Volume", "rows", []),
-    ],
-    "Manufacturing": [("Defect Rate", "avg_zero", ["defect", "reject", "scrap"])],
+    "Retail": [("Total Revenue", "sum"), ("Total Orders", "rows")],
+    "HR": [("Average Salary", "avg"), ("Total Headcount", "rows")],
+    "Healthcare": [("Average Length of Stay", "avg"), ("Patient Volume", "rows")],
+    "Manufacturing": [("Defect Rate", "avg_zero")],
 }
 
 
-def domain_kpis(df: DataFrame, domain: str) -> DataFrame:
-    """The domain's KPIs whose column the table has; nulls are zero in a defect rate."""
+def domain_kpis(df: DataFrame, domain: str, column: str | None = None) -> DataFrame:
+    """(kpi, column, value) of a domain, over the measure the caller names.
+
+    Without a column, or with one the table lacks, only the row counts are given.
+    """
+    known = column is not None and column in df.columns
+    x = ref(column).cast("double") if known else F.lit(None).cast("double")
     rows = []
-    for label, how, words in DOMAIN_KPIS[domain]:
-        column = next((c for c in numeric_columns(df) if any(w in c.lower() for w in words)), None)
-        if how != "rows" and column is None:
+    for label, how in DOMAIN_KPIS[domain]:
+        if how != "rows" and not known:
             continue
         value = {
-            "rows": lambda: F.count(F.lit(1)).cast("double"),
-            "sum": lambda: F.sum(ref(column)).cast("double"),
-            "avg": lambda: F.avg(ref(column)),
-            "avg_zero": lambda: F.avg(F.coalesce(ref(column).cast("double"), F.lit(0.0))),
-        }[how]()
+            "rows": F.count(F.lit(1)).cast("double"),
+            "sum": F.sum(x),
+            "avg": F.avg(x),
+            "avg_zero": F.avg(F.coalesce(x, F.lit(0.0))),
+        }[how]
         rows.append(
             F.struct(
                 F.lit(label).alias("kpi"),
-                F.lit(column).cast("string").alias("column"),
+                F.lit(column if how != "rows" else None).cast("string").alias("column"),
                 value.alias("value"),
             )
         )
+    if not rows:
+        return df.sparkSession.createDataFrame([], "kpi string, column string, value double")
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def basic_kpis(df: DataFrame, measures: Sequence[str]) -> DataFrame:
-    """Records, attributes, completeness, and sum and mean of up to four measures."""
+    """Records, attributes, completeness, and sum and mean of every measure."""
     cells = F.count(F.lit(1)) * len(df.columns)
     filled = reduce(lambda a, b: a + b, [F.count(ref(c)) for c in df.columns])
     entries = [
@@ -311,7 +307,7 @@ def basic_kpis(df: DataFrame, measures: Sequence[str]) -> DataFrame:
         ("attributes", F.lit(float(len(df.columns)))),
         ("completeness_pct", F.coalesce(F.try_divide(filled, cells) * 100, F.lit(100.0))),
     ]
-    for m in list(measures)[:4]:
+    for m in measures:
         entries += [(f"sum_{m}", F.sum(ref(m)).cast("double")), (f"avg_{m}", F.avg(ref(m)))]
     rows = [F.struct(F.lit(k).alias("kpi"), v.alias("value")) for k, v in entries]
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))

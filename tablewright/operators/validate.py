@@ -10,15 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import (
-    approx_distinct,
     count_if,
-    distinct_counts,
     float_columns,
     per_column,
     ref,
     share,
     string_columns,
+    value_counts,
 )
+from tablewright.functions.text import guarded_double, tidy_spaces
 
 NULL_SHARE = 0.40
 MANY_VALUES = 100
@@ -90,13 +90,23 @@ def check_headers(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     ]
     counted = df.agg(F.count(F.lit(1)).alias("rows"))
     if not rows:
-        return check_empty(df).limit(0)
+        return _issues(
+            counted.where(F.lit(False)).select(F.lit(0).alias("affected"), F.lit(0.0).alias("share")),
+            "headers", "low", "%s %d %.0f", "none", F.lit(None),
+        ).withColumn("rows", F.lit(0).cast("long"))
     return counted.select(F.inline(F.array(*rows)))
 
 
+def digest(text: Column) -> Column:
+    """Stands for a text as a key in a shuffle: SHA-256, null for null."""
+    return F.sha2(text.cast("binary"), 256)
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(rows, surplus): surplus is the number of exact copies beyond the first."""
-    groups = df.groupBy(*[ref(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    texts = set(string_columns(df))
+    keys = [digest(ref(c)).alias(f"_{i}") if c in texts else ref(c).alias(f"_{i}") for i, c in enumerate(df.columns)]
+    groups = df.select(*keys).groupBy(*[f"_{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("surplus"),
@@ -151,29 +161,19 @@ def check_constant(df: DataFrame) -> DataFrame:
 
 
 def check_high_cardinality(df: DataFrame) -> DataFrame:
-    """Text columns of mostly different values; a sketch rules most columns out first."""
-    sketched = approx_distinct(df, string_columns(df))
-    likely = [
-        c
-        for c, (n, d) in sketched.items()
-        if d > 0.8 * MANY_VALUES and d > 0.8 * MANY_VALUES_SHARE * n
-    ]
-    if not likely:
+    """Text columns of mostly different values, by exact counts of all of them."""
+    columns = string_columns(df)
+    if not columns:
         return check_empty(df).limit(0)
-    present = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.lit(sketched[c][0]).alias("present")) for c in likely]
+    digests = df.select(*[digest(ref(c)).alias(c) for c in columns])
+    counts = value_counts(digests, columns).groupBy("column").agg(
+        F.count(F.lit(1)).alias("affected"), F.sum("n").alias("present")
     )
-    exact = distinct_counts(df, likely)
-    known = F.filter(present, lambda p: p["column"] == F.col("column"))[0]["present"]
-    found = exact.withColumn("share", share(F.col("distinct"), known)).where(
-        (F.col("distinct") > MANY_VALUES) & (F.col("share") > MANY_VALUES_SHARE)
+    found = counts.withColumn("share", share(F.col("affected"), F.col("present"))).where(
+        (F.col("affected") > MANY_VALUES) & (F.col("share") > MANY_VALUES_SHARE)
     )
     return _issues(
-        found.withColumnRenamed("distinct", "affected"),
-        "high_cardinality",
-        "low",
-        "%s has %d distinct texts (%.1f%% of its values)",
-        "flag_high_cardinality",
+        found, "high_cardinality", "low", "%s has %d distinct texts (%.1f%% of its values)", "flag_high_cardinality"
     )
 
 
@@ -195,7 +195,7 @@ def check_mixed_types(df: DataFrame) -> DataFrame:
         columns,
         {
             "present": lambda c: F.count(c),
-            "affected": lambda c: F.count(c.try_cast("double")),
+            "affected": lambda c: F.count(guarded_double(c)),
         },
     ).withColumn("share", share(F.col("affected"), F.col("present")))
     found = stats.where((F.col("share") > 0) & (F.col("share") < 1))
@@ -206,7 +206,7 @@ def check_metadata_rows(df: DataFrame, order_by: list[str]) -> DataFrame:
     """Leading rows that are mostly empty look like report headers."""
     empties = reduce(
         lambda a, b: a + b,
-        [F.coalesce(F.trim(ref(c).cast("string")) == "", F.lit(True)).cast("int") for c in df.columns],
+        [F.coalesce(tidy_spaces(ref(c).cast("string")) == "", F.lit(True)).cast("int") for c in df.columns],
     )
     first = df.orderBy(*[ref(o) for o in order_by]).limit(3)
     found = first.agg(
@@ -224,17 +224,52 @@ def check_metadata_rows(df: DataFrame, order_by: list[str]) -> DataFrame:
 
 
 def validate(df: DataFrame) -> DataFrame:
-    """All data checks as one issue table."""
-    checks = [
-        check_empty,
-        check_duplicate_rows,
-        check_excessive_nulls,
-        check_constant,
-        check_infinite,
-        check_mixed_types,
-        check_high_cardinality,
-    ]
-    return reduce(lambda a, b: a.unionByName(b), [check(df) for check in checks])
+    """All data checks as one issue table.
+
+    What a value shows by itself is counted for all columns in one aggregate; copies of
+    rows and distinct texts take a pass each.
+    """
+    floats, texts = set(float_columns(df)), set(string_columns(df))
+
+    def of(c: str) -> Column:
+        x = ref(c)
+        none = F.lit(0).cast("long")
+        return F.struct(
+            F.lit(c).alias("column"),
+            F.count(F.lit(1)).alias("rows"),
+            F.count(x).alias("present"),
+            (F.min(x) == F.max(x)).alias("same"),
+            (count_if(F.abs(x) == F.lit(float("inf"))) if c in floats else none).alias("infinite"),
+            (F.count(guarded_double(x)) if c in texts else none).alias("numbers"),
+        )
+
+    stats = df.agg(F.array(*[of(c) for c in df.columns]).alias("s")).select(F.inline("s"))
+    nulls = F.col("rows") - F.col("present")
+    rules = [
+        ("excessive_nulls", "high", "drop_or_impute", nulls, F.col("rows"), share(nulls, F.col("rows")) > NULL_SHARE),
+        ("constant", "low", "drop_column", F.col("present"), F.col("rows"), F.col("same")),
+        ("infinite", "high", "replace_infinite", F.col("infinite"), F.col("rows"), F.col("infinite") > 0),
+        ("mixed_types", "medium", "cast_types", F.col("numbers"), F.col("present"),
+         (F.col("numbers") > 0) & (F.col("numbers") < F.col("present"))),
+    ]
+    found = F.array(
+        *[
+            F.struct(
+                F.concat(F.lit(f"{kind}_"), "column").alias("id"),
+                F.col("column"),
+                F.lit(severity).alias("severity"),
+                part.cast("long").alias("affected"),
+                share(part, whole).alias("share"),
+                F.concat("column", F.lit(f": {kind}, "), part.cast("string"), F.lit(" values")).alias("description"),
+                F.lit(action).alias("action"),
+                F.coalesce(hit, F.lit(False)).alias("hit"),
+            )
+            for kind, severity, action, part, whole, hit in rules
+        ]
+    )
+    by_column = stats.select(F.inline(found)).where("hit").drop("hit")
+    checks = [check_empty(df), by_column, check_duplicate_rows(df), check_high_cardinality(df)]
+    return reduce(lambda a, b: a.unionByName(b), checks)
 
 
 def dataset_status(issues: DataFrame) -> DataFrame:

@@ -79,10 +79,10 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
             " substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4)"
             " WHEN 1 THEN replace(CAST(CAST(o_orderdate AS DATE) AS STRING), '-', '/')"
             " WHEN 2 THEN 'invalid' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS order_date",
-            "CASE WHEN o_orderkey % 6 = 0 THEN '-$' || CAST(CAST(o_totalprice AS BIGINT) AS STRING) || '.50'"
-            " WHEN o_orderkey % 6 = 1 THEN '€' || CAST(CAST(o_totalprice / 1000 AS BIGINT) AS STRING) || ',250.75'"
+            "CASE WHEN o_orderkey % 6 = 0 THEN '-$' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) || '.50'"
+            " WHEN o_orderkey % 6 = 1 THEN '€' || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING) || ',250.75'"
             " WHEN o_orderkey % 6 = 2 THEN 'n/a'"
-            " ELSE CAST(CAST(o_totalprice AS BIGINT) AS STRING) END AS amount_text",
+            " ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) END AS amount_text",
             "CASE WHEN o_orderkey % 4 = 0 THEN 'n/a' ELSE CAST(o_orderkey % 101 AS STRING) || '%' END AS discount_text",
             "CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_custkey AS STRING) || ',000'"
             " WHEN o_orderkey % 4 = 1 THEN '+' || CAST(o_custkey AS STRING) || '.5'"

@@ -8,40 +8,62 @@ from pyspark.sql import types as T
 
 from tablewright.functions.columns import float_columns, ref
 
-REPLACEMENT = "�"
-
-
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a folder; filters and projections reach the scan."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+#: First bytes of a file that name its encoding.
+MARKS = [(b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")]
+
+
+def mark_encoding(spark: SparkSession, path: str) -> str:
+    """The encoding a byte order mark names, else UTF-8; the first bytes of one file are read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(hadoop)
+    if found and found[0].isDirectory():
+        found = [f for f in files.listStatus(found[0].getPath()) if not f.getPath().getName().startswith(("_", "."))]
+    if not found:
+        return "UTF-8"
+    stream = files.open(found[0].getPath())
+    try:
+        head = bytes(b for b in (stream.read() for _ in range(3)) if b >= 0)
+    finally:
+        stream.close()
+    return next((name for mark, name in MARKS if head.startswith(mark)), "UTF-8")
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType | str | None = None,
     sep: str | None = None,
     encoding: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Delimited text with a header row.
+    """Delimited text with a header row; quotes inside quotes are doubled.
 
     Without a schema the types are inferred, which costs a scan; pass the stored
-    schema on reruns. Without an encoding UTF-8 is used unless the bytes are not
-    valid UTF-8, then Latin-1. Blank lines are skipped and an empty file is an
-    error.
+    schema on reruns. Without an encoding the byte order mark decides, else UTF-8.
+    ``multi_line`` allows line breaks inside quotes, at the price that a file is
+    not split. Blank lines are skipped and an empty file is an error.
     """
     if sep is None:
         sep = "\t" if path.rstrip("/").endswith((".tsv", ".txt")) else ","
-    lines = spark.read.text(path)
-    if lines.where(F.trim("value") != "").isEmpty():
+    encoding = encoding or mark_encoding(spark, path)
+    reader = (
+        spark.read.option("header", True)
+        .option("sep", sep)
+        .option("encoding", encoding)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line or encoding.startswith("UTF-16"))
+    )
+    found = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
+    if not found.columns:
         raise ValueError(f"no rows in {path}")
-    if encoding is None:
-        broken = lines.where(F.col("value").contains(REPLACEMENT))
-        encoding = "UTF-8" if broken.isEmpty() else "ISO-8859-1"
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", True).csv(path)
+    return found
 
 
 def header_names(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
@@ -75,10 +97,10 @@ def finite_or_null(df: DataFrame) -> DataFrame:
 
 
 def write_result(df: DataFrame, path: str, dataset_id: str) -> None:
-    """Add a result to the table at ``path``, one partition per dataset."""
-    df.withColumn("dataset_id", F.lit(dataset_id)).write.mode("append").partitionBy(
-        "dataset_id"
-    ).parquet(path)
+    """Put a result into the table at ``path``: one partition per dataset, replaced on a rerun."""
+    df.withColumn("dataset_id", F.lit(dataset_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("dataset_id").parquet(path)
 
 
 def read_result(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:
