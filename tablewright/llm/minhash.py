@@ -3,18 +3,17 @@
 Documents with the same shingle set are one class and are represented by their
 smallest id. A class has 160 universal hash minima in 32 bands of 5; a pair with
 similarity 0.8 shares no band with probability 3e-6. Classes that share a band key
-form a bucket. In a bucket every class is compared with the bucket's smallest one
-(a star), and a pair is verified on the full shingle sets if at least 0.6 of the
+form a bucket. A pair is verified on the full shingle sets if at least 0.6 of the
 minima agree, which a pair at 0.8 misses with a probability below 1e-9.
 
-A star is not all pairs. So the classes that pairs with an estimate of 0.9 or more
-connect are looked at together, and in a bucket that holds several such groups
-every class outside the largest group is compared with the classes of the other
-groups. A pair inside a group needs no test: its ends are connected already. If
-the verification refuses a pair that a group rests on, and its ends end up in
-different components, the second step is repeated with the verified components.
-After that every pair of a bucket is either verified or inside one component, so
-no link of a bucket is lost, and no group of near copies is expanded to pairs.
+Pairs come in two steps. First every class is compared with the smallest one of its
+bucket (a star) in the first 8 bands, and the verified pairs give components; near
+copies, however many, mostly fall together here. Then, in every bucket of all bands
+that holds several components, each class outside the bucket's largest component is
+compared with the classes of the other components: in small buckets as rows of pairs, in
+large ones block by block with the sets at hand, so that only links leave a task. After that every pair of a bucket
+has either been compared or lies inside one component, so no link of a bucket is lost,
+and no group of near copies is expanded to pairs.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing;
 with fewer words than a shingle the whole sequence is the one shingle; rows that
@@ -34,13 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import stored
+from tablewright.llm.common import in_groups, stored
 from tablewright.llm.components import components
 
 BANDS, ROWS = 32, 5
 SHINGLE = 4
 SIMILARITY = 80  # per cent
-LEAST_ESTIMATE, SURE_ESTIMATE = 0.6, 0.9
+LEAST_ESTIMATE = 0.6
+#: Bands whose buckets give the first components.
+FIRST_BANDS = 8
+#: Larger buckets are compared in blocks of BLOCK classes, smaller ones by rows of pairs.
+SMALL_BUCKET, BLOCK = 16, 256
 CHUNK = 1 << 20
 
 _SEEDS = np.random.Generator(np.random.PCG64(811))
@@ -146,13 +149,11 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, estimate) of the pairs worth verifying."""
+    """The pairs worth verifying."""
     left = classes.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
     right = classes.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
     known = pairs.join(left, "a").join(right, "b")
-    return known.select("a", "b", agreement("sa", "sb").alias("estimate")).where(
-        F.col("estimate") >= LEAST_ESTIMATE
-    )
+    return known.where(agreement("sa", "sb") >= LEAST_ESTIMATE).select("a", "b")
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -162,40 +163,103 @@ def _stars(members: DataFrame) -> DataFrame:
     return pairs.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _across(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): pairs of a bucket's classes that lie in different groups.
+def _open_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(band, key, rep, group, major, n) of the buckets that hold several groups.
 
-    A class that is in no group is one by itself. Classes of the bucket's largest
-    group are not paired with each other by definition, and with the others from
-    the others' side.
+    A class that is in no group is one by itself; ``major`` is the bucket's largest group.
     """
-    busy = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    busy = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     named = (
-        members.join(busy.select(F.col("key").alias("k")), F.col("key") == F.col("k"))
+        members.join(busy.select(F.col("key").alias("k"), "n"), F.col("key") == F.col("k"))
         .join(groups, F.col("rep") == F.col("node"), "left")
-        .select("key", "rep", F.coalesce("component", "rep").alias("group"))
+        .select("band", "key", "rep", F.coalesce("component", "rep").alias("group"), "n")
     )
-    sizes = named.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
+    sizes = named.groupBy("key", "group").agg(F.count(F.lit(1)).alias("m"))
     mixed = (
         sizes.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "group"))["group"].alias("major"))
+        .agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("m", "group"))["group"].alias("major"))
         .where("groups > 1")
         .select(F.col("key").alias("k"), "major")
     )
-    open_ = stored(
-        named.join(mixed, F.col("key") == F.col("k")).select("key", "rep", "group", "major"), "open"
-    )
-    minor = open_.where(F.col("group") != F.col("major")).select(
+    return named.join(mixed, F.col("key") == F.col("k")).select("band", "key", "rep", "group", "major", "n")
+
+
+def _across(narrow: DataFrame) -> DataFrame:
+    """(a, b): pairs of small open buckets whose ends lie in different groups."""
+    minor = narrow.where(F.col("group") != F.col("major")).select(
         F.col("key").alias("k"), F.col("rep").alias("a"), F.col("group").alias("ga")
     )
     return (
-        open_.join(minor, F.col("key") == F.col("k"))
+        narrow.join(minor, F.col("key") == F.col("k"))
         .where((F.col("group") != F.col("ga")) & ((F.col("group") == F.col("major")) | (F.col("a") < F.col("rep"))))
         .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
         .distinct()
     )
 
 
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for part in _chunks(pdf, "text"):
+            sets = [x.tobytes() for x in shingle_sets(part["text"].tolist())]
+            yield pd.DataFrame({"rep": part["doc_id"].to_numpy(), "shingles": sets})
+
+
+def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between different groups of large buckets, block by block.
+
+    A pair belongs to the first band in which its ends share a key, so it is compared once.
+    """
+    for rows in in_groups(batches, ["key", "first", "second"]):
+        band, crossing = int(rows["band"].iat[0]), rows["first"].iat[0] != rows["second"].iat[0]
+        reps, groups, blocks = (rows[c].to_numpy() for c in ("rep", "group", "block"))
+        keys = np.stack(rows["keys"].to_list())[:, :band]
+        low = np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(len(rows), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        found = []
+        for i in np.flatnonzero(groups != rows["major"].iat[0]):
+            other = groups != groups[i]
+            # of two outside the largest group, one asks
+            other &= (groups == rows["major"].iat[0]) | (reps > reps[i])
+            if crossing:
+                other &= blocks != blocks[i]
+            other &= 100 * np.minimum(sizes, sizes[i]) >= SIMILARITY * np.maximum(sizes, sizes[i])
+            j = np.flatnonzero(other)
+            j = j[(low[j] == low[i]).mean(axis=1) >= LEAST_ESTIMATE]
+            j = j[~(keys[j] == keys[i]).any(axis=1)]
+            for k in j:
+                common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if 100 * common >= SIMILARITY * (sizes[i] + sizes[k] - common):
+                    found.append((min(reps[i], reps[k]), max(reps[i], reps[k])))
+        if found:
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+
+def _wide_links(wide: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): the links between groups of the buckets that are too large for rows of pairs."""
+    parts = int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ends = wide.select(F.col("rep").alias("r")).distinct()
+    sets = docs.join(ends, F.col("doc_id") == F.col("r")).select("doc_id", "text").mapInPandas(
+        _sets, "rep long, shingles binary"
+    )
+    known = classes.select("rep", "keys", "signature").join(sets, "rep")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = (
+        wide.withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("first", F.least("block", "other"))
+        .withColumn("second", F.greatest("block", "other"))
+        .drop("n", "blocks", "other")
+    )
+    rows = (
+        placed.join(known, "rep")
+        .repartition(parts, "key", "first", "second")
+        .sortWithinPartitions("key", "first", "second")
+    )
+    return rows.mapInPandas(_compared, "a long, b long")
+
+
 def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for part in _chunks(pdf, "ta"):
@@ -230,28 +294,20 @@ def linked_classes(docs: DataFrame, seen: DataFrame) -> DataFrame:
         .where("rep IS NOT NULL"),
         "classes",
     )
-    members = classes.select("rep", F.explode("keys").alias("key"))
+    members = classes.select("rep", F.posexplode("keys").alias("band", "key"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    near = stored(_estimated(_stars(members), classes), "star-pairs")
-    groups = stored(components(near.where(F.col("estimate") >= SURE_ESTIMATE)), "groups")
-    more = stored(
-        _estimated(_across(members, groups).join(near, ["a", "b"], "left_anti"), classes), "cross-pairs"
-    )
-    tested = near.unionByName(more)
-    links = stored(_verified(tested.select("a", "b"), texts), "links")
-    found = stored(components(links), "components")
-    sure = near.where(F.col("estimate") >= SURE_ESTIMATE).select("a", "b")
-    refused = sure.join(links, ["a", "b"], "left_anti")
-    ca = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    cb = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    apart = refused.join(ca, "a", "left").join(cb, "b", "left").where(
-        F.coalesce("ca", "a") != F.coalesce("cb", "b")
-    )
-    if apart.isEmpty():
-        return found
-    rest = _across(members, found).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    late = stored(_verified(_estimated(rest, classes).select("a", "b"), texts), "late-links")
-    return stored(components(links.unionByName(late)), "components")
+    near = stored(_estimated(_stars(members.where(F.col("band") < FIRST_BANDS)), classes), "star-pairs")
+    first = stored(components(stored(_verified(near, texts), "links")), "components")
+    open_ = stored(_open_buckets(members, first), "open-buckets")
+    rest = _across(open_.where(F.col("n") <= SMALL_BUCKET)).join(near, ["a", "b"], "left_anti")
+    more = stored(_estimated(rest, classes), "cross-pairs")
+    wide = open_.where(F.col("n") > SMALL_BUCKET)
+    found = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if not more.isEmpty():
+        found = found.unionByName(_verified(more, texts))
+    if not wide.isEmpty():
+        found = found.unionByName(_wide_links(wide, classes, texts))
+    return stored(components(found), "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -270,3 +326,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The documents that stay, whole: one id of each component.
+
+    Rows without a doc_id stay if their text is in no component. The ids that go are
+    few, so they are what the texts are joined with.
+    """
+    gone = stored(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
