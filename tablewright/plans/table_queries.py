@@ -32,7 +32,22 @@ def read_csv(spark, folder):
     columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
     orders = table(spark, folder, "orders").select(*columns)
     orders.write.option("header", True).csv(path)
-    return tables.read_csv(spark, path, schema=orders.schema)
+    back = tables.read_csv(spark, path)
+    return back.withColumns({c: F.col(c).cast("long") for c in ("o_orderkey", "o_custkey")})
+
+
+QUOTED = "o_orderpriority || ' \"' || o_orderstatus || '\", ' || o_custkey"
+
+
+@QUERIES.add("read_csv_quoted", f"SELECT o_orderkey, {QUOTED} AS remark FROM orders")
+def read_csv_quoted(spark, folder):
+    """Quotes, commas and line breaks inside values."""
+    path = new_path(spark, "orders-quoted")
+    rows = table(spark, folder, "orders").selectExpr("o_orderkey", f"{QUOTED} AS remark")
+    broken = rows.withColumn("remark", F.concat("remark", F.lit("\n.")))
+    broken.write.option("header", True).option("escape", '"').csv(path)
+    back = tables.read_csv(spark, path, multi_line=True)
+    return back.select(F.col("o_orderkey").cast("long"), F.expr("substring(remark, 1, length(remark) - 2)").alias("remark"))
 
 
 @QUERIES.add(
@@ -115,15 +130,23 @@ def check_empty(spark, folder):
     union_all(
         [
             "SELECT 'missing_headers' AS id, 'Unnamed: 0' AS \"column\", 'medium' AS severity,"
-            " CAST(1 AS BIGINT) AS affected, 'rename_headers' AS action, count(*) AS rows FROM lineitem",
-            "SELECT 'duplicate_headers', 'qty', 'critical', 1, 'reject', count(*) FROM lineitem",
-            "SELECT 'invalid_names', 'tax %', 'low', 1, 'normalize_names', count(*) FROM lineitem",
+            " CAST(1 AS BIGINT) AS affected, 'rename_headers' AS action, count(*) AS rows FROM supplier",
+            "SELECT 'duplicate_headers', 'name', 'critical', 1, 'reject', count(*) FROM supplier",
+            "SELECT 'invalid_names', 'balance %', 'low', 1, 'normalize_names', count(*) FROM supplier",
         ]
     ),
 )
 def check_headers(spark, folder):
-    names = ["Unnamed: 0", "part", "supp", "line", "qty", " qty ", "discount", "tax %", "flag", "status", "date"]
-    found = validate.check_headers(table(spark, folder, "lineitem"), names)
+    """The headers of a file as written: they are the first line of what Spark reads back."""
+    path = new_path(spark, "supplier-csv")
+    supplier = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("Unnamed: 0"), F.col("s_name").alias("name"), F.col("s_nationkey").alias(" name "),
+        F.col("s_acctbal").alias("balance %"),
+    )
+    supplier.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(path)
+    found = validate.check_headers(tables.read_csv(spark, path, schema=supplier.schema), tables.header_names(spark, path))
     return found.select("id", "column", "severity", "affected", "action", "rows")
 
 
