@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.session import new_path
@@ -58,3 +59,26 @@ def in_groups(batches: Iterator[pd.DataFrame], columns: Sequence[str]) -> Iterat
         held = pdf.iloc[edges[-2] :]
     if held is not None and len(held) > 1:
         yield held
+
+
+BLOOM = "spark.sql.optimizer.runtime.bloomFilter"
+
+
+@contextmanager
+def bloom_filtered_joins(spark: SparkSession) -> Iterator[None]:
+    """Joins that run inside filter their large side by a Bloom filter of the other side's keys.
+
+    Spark does this by itself from certain sizes on. Its filter has 8 MB at most, whatever
+    the number of keys; too many keys only make it let more rows through. It asks for a
+    comparison on the side that gives the keys, and takes that side for the small one; so
+    the comparison must not be on the key itself.
+    """
+    wanted = {f"{BLOOM}.enabled": "true", f"{BLOOM}.applicationSideScanSizeThreshold": "0", f"{BLOOM}.creationSideThreshold": "1t"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

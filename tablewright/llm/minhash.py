@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import in_groups, stored
+from tablewright.llm.common import bloom_filtered_joins, in_groups, stored
 from tablewright.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -238,7 +238,7 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _wide_links(wide: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): the links between groups of the buckets that are too large for rows of pairs."""
     parts = int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ends = wide.select(F.col("rep").alias("r")).distinct()
+    ends = stored(wide.select(F.col("rep").alias("r")).distinct().withColumn("asked", F.lit(1)), "wide-ends").where("asked > 0")
     sets = docs.join(ends, F.col("doc_id") == F.col("r")).select("doc_id", "text").mapInPandas(
         _sets, "rep long, shingles binary"
     )
@@ -271,13 +271,17 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough. ``docs``: doc_id, text of representatives.
+    """The stored pairs whose full sets are similar enough. ``docs``: doc_id, text of representatives.
 
-    Texts are shuffled once to meet the ends of the pairs and only those of ends go on.
+    Inside ``bloom_filtered_joins`` only texts of ends (and few others) are shuffled.
     """
-    ends = pairs.select(F.inline(F.array(
-        F.struct("a", "b", F.col("a").alias("end")), F.struct("a", "b", F.col("b").alias("end"))
-    )))
+    ends = stored(
+        pairs.select(F.inline(F.array(
+            F.struct("a", "b", F.col("a").alias("end"), F.lit(1).alias("asked")),
+            F.struct("a", "b", F.col("b").alias("end"), F.lit(1).alias("asked")),
+        ))),
+        "pair-ends",
+    ).where("asked > 0")
     texts = ends.join(docs, F.col("end") == F.col("doc_id")).select("a", "b", "end", "text")
     first = texts.where("end = a").select("a", "b", F.col("text").alias("ta"))
     second = texts.where("end = b").select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("text").alias("tb"))
@@ -297,16 +301,19 @@ def linked_classes(docs: DataFrame, seen: DataFrame) -> DataFrame:
     members = classes.select("rep", F.posexplode("keys").alias("band", "key"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     near = stored(_estimated(_stars(members.where(F.col("band") < FIRST_BANDS)), classes), "star-pairs")
-    first = stored(components(stored(_verified(near, texts), "links")), "components")
+    with bloom_filtered_joins(docs.sparkSession):
+        links = stored(_verified(near, texts), "links")
+    first = stored(components(links), "components")
     open_ = stored(_open_buckets(members, first), "open-buckets")
     rest = _across(open_.where(F.col("n") <= SMALL_BUCKET)).join(near, ["a", "b"], "left_anti")
     more = stored(_estimated(rest, classes), "cross-pairs")
     wide = open_.where(F.col("n") > SMALL_BUCKET)
     found = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    if not more.isEmpty():
-        found = found.unionByName(_verified(more, texts))
-    if not wide.isEmpty():
-        found = found.unionByName(_wide_links(wide, classes, texts))
+    with bloom_filtered_joins(docs.sparkSession):
+        if not more.isEmpty():
+            found = found.unionByName(stored(_verified(more, texts), "links"))
+        if not wide.isEmpty():
+            found = found.unionByName(stored(_wide_links(wide, classes, texts), "links"))
     return stored(components(found), "components")
 
 

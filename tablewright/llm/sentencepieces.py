@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
+END = 0
 UNKNOWN_PENALTY = 10.0
 CACHED_SEGMENTS = 300_000
 #: A segment of at most so many characters is searched in one window.
@@ -51,8 +52,9 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
-        # prefix -> (score, id), or None for a prefix that is no piece
-        self.prefixes: dict[str, tuple[float, int] | None] = {}
+        self.scores: dict[str, tuple[float, int]] = {}
+        # nested by character; a piece ends where END is a key
+        self.trie: dict = {}
         self.bytes_of: list[bytes] = [b""] * size
         self.byte_ids: dict[int, int] = {}
         worst, normal = 0.0, []
@@ -65,9 +67,11 @@ class Pieces:
                 normal.append(piece)
                 worst = min(worst, model.get_score(i))
                 self.bytes_of[i] = piece.replace(MARK, " ").encode("utf-8")
-                for n in range(1, len(piece)):
-                    self.prefixes.setdefault(piece[:n], None)
-                self.prefixes[piece] = (model.get_score(i), i)
+                self.scores[piece] = (model.get_score(i), i)
+                node = self.trie
+                for char in piece:
+                    node = node.setdefault(char, {})
+                node[END] = self.scores[piece]
         self.longest = max(map(len, normal))
         self.unknown = worst - UNKNOWN_PENALTY
         self.unknown_id = model.unk_id()
@@ -104,25 +108,25 @@ class Viterbi:
         return out
 
     def _run(self, last: int) -> list[int]:
-        prefixes, unknown, out = self.pieces.prefixes, self.pieces.unknown, []
+        trie, unknown, out = self.pieces.trie, self.pieces.unknown, []
         text, end = self.text, len(self.text)
         best, back, s = self.best, self.back, self.at
         due = s + self.pieces.longest
         while s <= last:
             here = best.pop(s, None)
             if here is not None:
-                single = False
-                e = s + 1
-                while e <= end:
-                    found = prefixes.get(text[s:e], 0)
-                    if found == 0:
+                single, node, e = False, trie, s
+                while e < end:
+                    node = node.get(text[e])
+                    if node is None:
                         break
+                    e += 1
+                    found = node.get(END)
                     if found is not None:
                         single = single or e == s + 1
                         score = here + found[0]
                         if e not in best or score >= best[e]:
                             best[e], back[e] = score, (s, found[1])
-                    e += 1
                 if not single and (s + 1 not in best or here + unknown > best[s + 1]):
                     best[s + 1], back[s + 1] = here + unknown, (s, -1)
             s += 1
@@ -175,22 +179,24 @@ class Encoder:
 
     def _short(self, text: str) -> list[int]:
         """The same search over a text that fits one window: nothing to commit before its end."""
-        find, unknown, n = self.pieces.prefixes.get, self.pieces.unknown, len(text)
+        trie, unknown, n = self.pieces.trie, self.pieces.unknown, len(text)
         best: list[float | None] = [0.0] + [None] * n
         back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
         for s in range(n):
             here = best[s]
             if here is None:
                 continue
-            single = False
-            for e in range(s + 1, n + 1):
-                found = find(text[s:e], 0)
-                if found == 0:
+            single, node, e = False, trie, s
+            while e < n:
+                node = node.get(text[e])
+                if node is None:
                     break
+                e += 1
+                found = node.get(END)
                 if found is not None:
                     single = single or e == s + 1
-                    score = here + found[0]
-                    if best[e] is None or score >= best[e]:
+                    score, other = here + found[0], best[e]
+                    if other is None or score >= other:
                         best[e], back[e] = score, (s, found[1])
             if not single and (best[s + 1] is None or here + unknown > best[s + 1]):
                 best[s + 1], back[s + 1] = here + unknown, (s, -1)
