@@ -522,7 +522,7 @@ def monthly(spark, folder):
 
 @QUERIES.add(
     "seasonality_index",
-    f"SELECT month(period) AS part, round(avg(total) / (SELECT avg(total) FROM {MONTHLY}), 6) AS index, avg(total) / (SELECT avg(total) FROM {MONTHLY}) > 1.3 AS peak FROM {MONTHLY} GROUP BY 1",
+    f"SELECT CAST(month(period) AS INT) AS part, round(avg(total) / (SELECT avg(total) FROM {MONTHLY}), 6) AS index, avg(total) / (SELECT avg(total) FROM {MONTHLY}) > 1.3 AS peak FROM {MONTHLY} GROUP BY 1",
 )
 def seasonality_index(spark, folder):
     return rounded(series.seasonality_index(monthly(spark, folder), F.month("period")), ["index"], 6)
