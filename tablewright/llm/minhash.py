@@ -338,8 +338,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, whole: one id of each component.
 
-    Rows without a doc_id stay if their text is in no component. The ids that go are
-    few, so they are what the texts are joined with.
+    Rows without a doc_id stay, since nothing tells them apart. The ids that go are few,
+    so they are what the texts are joined with.
     """
-    gone = stored(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
+    gone = stored(gone.distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
