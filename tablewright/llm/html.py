@@ -33,6 +33,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,6 +72,8 @@ STOPS_AT = {"ul", "ol", "dl", "table", "select", "menu"}
 MAIN = {"article", "main"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 SPACE = re.compile(r"\s+")
+#: Blocks nested deeper belong to the path of their ancestor at this depth.
+DEEPEST = 64
 KEEPS_MOST = 0.6
 NEAR_RATIO = 0.5
 
@@ -106,7 +109,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
     linked = 0
 
     def path() -> tuple[str, ...]:
-        return tuple(label for tag, label, _ in stack if tag not in INLINE)
+        return tuple(islice((label for tag, label, _ in stack if tag not in INLINE), DEEPEST))
 
     def close_block() -> None:
         nonlocal parts, linked
@@ -196,24 +199,24 @@ def content(found: list[tuple[tuple[str, ...], str, int]]) -> list[bool]:
         s[2] += 1
         s[3] += linked
     paths = list(stats)
-    ratio = [n / k * (1 + p / k) * (1 - linked / n) for n, p, k, linked in stats.values()]
+    ratio = {q: n / k * (1 + p / k) * (1 - linked / n) for q, (n, p, k, linked) in stats.items()}
     smooth = {}
     for i, path in enumerate(paths):
-        near = [(2, ratio[i])] + [(1, ratio[j]) for j in (i - 1, i + 1) if 0 <= j < len(ratio)]
+        near = [(2, ratio[path])] + [(1, ratio[paths[j]]) for j in (i - 1, i + 1) if 0 <= j < len(paths)]
         smooth[path] = sum(w * r for w, r in near) / sum(w for w, _ in near)
     strength: dict[tuple[str, ...], float] = {}
+    inner: dict[tuple[str, ...], set] = {}
     for path in paths:
-        own = min(ratio[paths.index(path)], smooth[path]) * stats[path][0]
+        own = min(ratio[path], smooth[path]) * stats[path][0]
         for depth in range(len(path) + 1):
             strength[path[:depth]] = strength.get(path[:depth], 0.0) + own
+            if depth:
+                inner.setdefault(path[: depth - 1], set()).add(path[:depth])
     root: tuple[str, ...] = ()
-    while True:
-        inner = [p for p in strength if len(p) == len(root) + 1 and p[: len(root)] == root]
-        best = max(inner, key=lambda p: strength[p], default=None)
-        if best is None or strength[best] < KEEPS_MOST * strength[root]:
-            break
+    while root in inner:
+        best = max(inner[root], key=lambda p: (strength[p], p))
         # a run of paragraphs is not narrowed to one kind of them
-        if best in stats and len(best) > len(root) and not any(len(p) > len(best) and p[: len(best)] == best for p in strength):
+        if strength[best] < KEEPS_MOST * strength[root] or best not in inner:
             break
         root = best
     inside = [p for p in paths if p[: len(root)] == root]
@@ -221,7 +224,7 @@ def content(found: list[tuple[tuple[str, ...], str, int]]) -> list[bool]:
 
     def like_content(p: tuple[str, ...]) -> bool:
         n, marks, k, linked = stats[p]
-        return smooth[p] >= NEAR_RATIO * mean and ratio[paths.index(p)] >= NEAR_RATIO * mean and linked < 0.3 * n
+        return smooth[p] >= NEAR_RATIO * mean and ratio[p] >= NEAR_RATIO * mean and linked < 0.3 * n
 
     keep = {p: p[: len(root)] == root or like_content(p) for p in paths}
     return [keep[path] for path, _, _ in found]
