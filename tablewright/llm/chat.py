@@ -87,7 +87,7 @@ def _number(x: float) -> str:
     if not e:
         return mantissa
     p = int(power)
-    if -7 <= p < 0:
+    if -7 < p < 0:
         digits = mantissa.replace(".", "").lstrip("-")
         return ("-" if x < 0 else "") + "0." + "0" * (-p - 1) + digits
     return f"{mantissa.removesuffix('.0')}e{'+' if p > 0 else '-'}{abs(p)}"

@@ -64,8 +64,8 @@ def pages(spark):
         (6, "http://b/", "short"),
         (7, "x", "é" * 50),
         (8, "x", "é" * 50),
-        (9, "x", "é" * 49 + "\n"),
-        (9, "x", "é" * 49 + "\n"),
+        (9, "x", "é" * 50 + "\n"),
+        (9, "x", "é" * 50 + "\n"),
         (None, "x", PAGE),
         (10, "y", "z" * 300_000),
     ]
