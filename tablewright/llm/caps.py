@@ -44,6 +44,8 @@ PARTS = 3
 LIST = 28
 LEAST_CODES = 8
 BLOCK = 512
+#: In a filter with more members, a pair is left to the smallest filter that its ends share.
+LARGE = 32
 SEED = 77
 
 
@@ -146,10 +148,13 @@ def _caught(codes: int, kind: str):
     return run
 
 
-def _close_pairs(reps: np.ndarray, blocks: np.ndarray, crossing: bool, units: np.ndarray, least: float):
+def _close_pairs(
+    reps: np.ndarray, blocks: np.ndarray, crossing: bool, units: np.ndarray, least: float, before: np.ndarray | None
+):
     """(a, b) with a < b: pairs of the group's vectors at ``least`` or more that this group owns."""
     cosine = units @ units.T
-    i, j = np.nonzero(np.triu(cosine >= least, 1))
+    near = np.triu(cosine >= least, 1)
+    i, j = np.nonzero(near if before is None else near & ~before)
     if crossing:  # pairs inside one block belong to the group of that block alone
         own = blocks[i] != blocks[j]
         i, j = i[own], j[own]
@@ -157,13 +162,32 @@ def _close_pairs(reps: np.ndarray, blocks: np.ndarray, crossing: bool, units: np
     return a[a != b], b[a != b]
 
 
+def _met_before(group: pd.DataFrame) -> np.ndarray | None:
+    """Which pairs of a large group also share a smaller filter; they are found there."""
+    if group["filters"].iat[0] is None:
+        return None
+    own = group["filter"].iat[0]
+    lists = [np.asarray(x) for x in group["filters"]]
+    at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    names = np.concatenate(lists)
+    at, names = at[names < own], names[names < own]
+    known, column = np.unique(names, return_inverse=True)
+    shares = np.zeros((len(lists), len(known)), np.float32)
+    shares[at, column] = 1
+    return shares @ shares.T > 0
+
+
 def _met(least: float, kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, size = [], 0
         for group in in_groups(batches, ["dimension", "filter", "first", "second"]):
             units = unit_rows(group["raw"].tolist(), kind)
             crossing = group["first"].iat[0] != group["second"].iat[0]
-            found.append(_close_pairs(group["rep"].to_numpy(), group["block"].to_numpy(), crossing, units, least))
+            found.append(
+                _close_pairs(
+                    group["rep"].to_numpy(), group["block"].to_numpy(), crossing, units, least, _met_before(group)
+                )
+            )
             size += len(found[-1][0])
             if size > 50_000:
                 yield _distinct_pairs(found)
@@ -202,7 +226,11 @@ def links(classes: DataFrame, kind: str, similarity: float = SIMILARITY) -> Data
         F.greatest("block", "other").alias("second"),
         "block",
         "rep",
+        "n",
     )
+    # a vector's filters, at most a few times LIST; needed where many pairs would be found again
+    lists = caught.groupBy("rep").agg(F.collect_list("filter").alias("filters")).withColumnRenamed("rep", "l")
+    groups = groups.join(lists, (F.col("n") > LARGE) & (F.col("rep") == F.col("l")), "left").drop("l", "n")
     raws = classes.select(F.col("rep").alias("r"), "raw")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     met = (
@@ -211,7 +239,7 @@ def links(classes: DataFrame, kind: str, similarity: float = SIMILARITY) -> Data
         .repartition(parts, "dimension", "filter", "first", "second")
         .sortWithinPartitions("dimension", "filter", "first", "second")
     )
-    pairs = met.select("dimension", "filter", "first", "second", "block", "rep", "raw").mapInPandas(
+    pairs = met.select("dimension", "filter", "first", "second", "block", "rep", "filters", "raw").mapInPandas(
         _met(similarity, kind), "a long, b long"
     )
     return pairs.distinct()

@@ -49,6 +49,7 @@ def brute(rows):
 @pytest.mark.parametrize("kind, block", [("float", 512), ("double", 16)])
 def test_links_and_components(spark, monkeypatch, kind, block):
     monkeypatch.setattr(caps, "BLOCK", block)
+    monkeypatch.setattr(caps, "LARGE", block // 8)
     df = vectors(spark, kind)
     links, label = brute(df.collect())
     got = caps.near_vectors(df).collect()
