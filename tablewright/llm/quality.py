@@ -5,20 +5,25 @@ log mean word length (drawn towards the group's mean by 100 words, since a short
 text says little), log(1 + 10 symbols per word), share of repeated lines and share
 of repeated words. For each language and source the centre and the covariance are
 minimum-covariance-determinant estimates: C-steps from two starts (medians with
-quartile spreads, and plain moments), each step taking the three quarters of the
-group that lie nearest to the last estimate; the start with the smaller determinant
-wins. Documents whose squared Mahalanobis distance exceeds CUTOFF are rejected.
+median deviations, and plain moments), each step taking the half of the group,
+(n + 5) // 2, that lies nearest to the last estimate; the start with the smaller
+determinant wins. A text counts once in the estimate, however many copies of it there
+are, so up to half of a group's distinct texts may be junk. Documents whose squared
+Mahalanobis distance exceeds CUTOFF, a chi-square quantile, are rejected.
 
 Every step runs over all documents of all groups at once. A step sums counts and
 moments by group and distance bin, with partial sums in every task, so a group of
-any size is a few hundred rows; "nearest" is exact up to one bin (1/16 of an octave
-of 1 + d^2). Statistics are integers (1/1024), so the sums do not depend on their
-order and reruns agree. A smallest spread per statistic, FLOORS, keeps a group in
-which a statistic never varies from rejecting the first document in which it does.
+any size is a few hundred rows; the bin that crosses the half (1/16 of an octave of
+1 + d^2) enters with the weight that fills it. Statistics are integers (1/1024), so the
+sums do not depend on their order and reruns agree. The covariance is made that of the
+whole by the consistency factor for as many statistics as vary, and wider in a small
+group (Hardin and Rocke: the limit is then one of F, not of chi-square). Only a
+statistic whose robust spread is below LEAST_SPREADS, mostly one that is zero in most
+documents, gets that spread; there its limit is about 4.8 times that spread.
 
 Defined cases: null or empty text has no words and fails the base rules; a null
-language or source is a group of its own; in a group too small to tell, nothing
-lies beyond the cutoff and documents are kept; repeated rows get the same verdict;
+language or source is a group of its own; in a group too small to tell, statistics that
+vary reject nothing; repeated rows get the same verdict;
 an empty table gives an empty result; other columns of the input are not read.
 """
 
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,25 +45,87 @@ from tablewright.llm.common import stored
 
 LEAST_WORDS, MOST_REPEATED = 10, 20
 STATISTICS = ["t0", "t1", "t2", "t3"]
-FLOORS = (0.06, 0.25, 0.15, 0.08)
 SCALE = 1024
+#: Spread that rounding to 1/SCALE gives each statistic; keeps covariances regular.
+FLOORS = (12**-0.5 / SCALE,) * 4
+#: Taken where a statistic's robust spread is smaller.
+LEAST_SPREADS = (0.005, 0.15, 0.1, 0.035)
 PRIOR_WORDS = 100
-INNER_SHARE = 0.75
 STEPS = 5
-#: chi-square with four degrees of freedom exceeds it with probability 5e-6
-CUTOFF = 30.0
+#: Share of clean documents beyond the cutoff, for normal statistics.
+TAIL = 1e-4
 PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
 KEYS = ["lang", "source"]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
-def consistency(share: float = INNER_SHARE) -> float:
-    """Makes the covariance of the inner share of a normal sample that of the whole (4 statistics)."""
-    low, high = 0.0, 100.0
+def _falling(f, target: float, low: float, high: float) -> float:
+    """Where ``f``, which falls, takes ``target``."""
     for _ in range(100):
         x = (low + high) / 2
-        low, high = (x, high) if 1 - math.exp(-x / 2) * (1 + x / 2) < share else (low, x)
-    return share / (1 - math.exp(-x / 2) * (1 + x / 2 + x * x / 8))
+        low, high = (x, high) if f(x) > target else (low, x)
+    return x
+
+
+def chi2_above(x: float, df: int) -> float:
+    """Probability that chi-square exceeds ``x``; whole degrees of freedom."""
+    above = math.erfc(math.sqrt(x / 2)) if df % 2 else math.exp(-x / 2)
+    for k in range(2 - df % 2, df, 2):
+        above += (x / 2) ** (k / 2) * math.exp(-x / 2) / math.gamma(k / 2 + 1)
+    return above
+
+
+#: The chi-square quantile of four statistics, 23.5.
+CUTOFF = _falling(lambda x: chi2_above(x, 4), TAIL, 0.0, 100.0)
+
+
+@lru_cache(100_000)
+def consistency(share: float, varying: int) -> float:
+    """Makes the covariance of the inner share of a normal sample that of the whole."""
+    if share >= 1 or not varying:
+        return 1.0
+    x = _falling(lambda x: chi2_above(x, varying), 1 - share, 0.0, 200.0)
+    return share / (1 - chi2_above(x, varying + 2))
+
+
+def half(n: float) -> float:
+    """Documents in the fit of a group of n."""
+    return min(n, (n + 5) // 2)
+
+
+def _freedom(n: float, p: int) -> float:
+    """Degrees of freedom of the half sample's covariance (Croux and Haesbroeck's variance)."""
+    outer = 1 - half(n) / n
+    if outer <= 0:
+        return n - 1
+    x = _falling(lambda x: chi2_above(x, p), outer, 0.0, 200.0)
+    inner = 1 - outer
+    c2, c3 = (chi2_above(x, p + k) / 2 - 0.5 for k in (2, 4))
+    factor = consistency(inner, p)
+    b1 = -2 * factor * c3 / inner
+    b2 = 0.5 + factor / inner * (c3 - x / p * (c2 + inner / 2))
+    v1 = inner * b1**2 * (outer * (factor * x / p - 1) ** 2 - 1)
+    v1 -= 2 * c3 * factor**2 * (3 * (b1 - p * b2) ** 2 + (p + 2) * b2 * (2 * b1 - p * b2))
+    v2 = n * (b1 * (b1 - p * b2) * inner) ** 2 * factor**2
+    return 2 * v2 / (factor**2 * v1)
+
+
+@lru_cache(100_000)
+def widening(n: float, varying: int) -> float:
+    """By how much the F limit of a group of n documents exceeds CUTOFF; without limit if it is too small."""
+    if not varying:
+        return 1.0
+    freedom = _freedom(n, varying)
+    if freedom <= 3.1:
+        return 1e9
+    d = freedom - 3
+
+    def above(log_f: float) -> float:
+        rest = d / (d + 4 * math.exp(log_f))
+        return rest ** (d / 2) * (1 + d / 2 * (1 - rest))
+
+    wider = 4 * freedom / d * math.exp(_falling(above, TAIL, -5.0, 200.0)) / CUTOFF
+    return min(max(1.0, wider), 1e9)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,8 +137,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, counts and base_failed of every row."""
-    return counted_rows(docs.select(F.col("doc_id").cast("long"), "lang", "source", "text")).drop("text")
+    """doc_id, lang, source, digest of the text, counts and base_failed of every row."""
+    rows = docs.select(F.col("doc_id").cast("long"), "lang", "source", "text")
+    digest = F.unhex(F.md5(F.col("text").cast("binary")))
+    return counted_rows(rows).select("*", digest.alias("digest")).drop("text")
 
 
 def counted_rows(docs: DataFrame) -> DataFrame:
@@ -111,24 +181,38 @@ def vectors(counted: DataFrame, means: DataFrame) -> DataFrame:
     )
 
 
-def _fit(n: float, sums: Sequence[float], products: Sequence[float], factor: float):
-    """(centre, precision, log determinant) of moments, in units of the statistics."""
+def _fit(n: float, sums: Sequence[float], products: Sequence[float], share: float, widened: float = 0):
+    """(centre, precision, log determinant) of the moments of a group's inner share, in units of the statistics.
+
+    ``widened``: the group's size, if the precision is to be that of the last step.
+    """
     mean = np.array(sums, float) / n
     cov = np.zeros((4, 4))
     for (i, j), v in zip(PAIRS, products, strict=True):
         cov[i, j] = cov[j, i] = v / n - mean[i] * mean[j]
-    cov = factor * cov / SCALE**2 + np.diag(np.square(FLOORS))
-    return list(mean / SCALE), [float(x) for x in np.linalg.inv(cov).ravel()], float(np.linalg.slogdet(cov)[1])
+    cov /= SCALE**2
+    least = np.square(LEAST_SPREADS)
+    varying = int((consistency(share, 4) * np.diag(cov) >= least).sum())
+    cov *= consistency(share, varying)
+
+    def regular(c: np.ndarray) -> np.ndarray:
+        return c + np.diag(np.maximum(least - np.diag(c), 0) + np.square(FLOORS))
+
+    logdet = float(np.linalg.slogdet(regular(cov))[1])
+    if widened:
+        cov = cov * widening(widened, varying)
+    return list(mean / SCALE), [float(x) for x in np.linalg.inv(regular(cov)).ravel()], logdet
 
 
 ESTIMATE = "lang string, source string, start int, centre array<double>, precision array<double>, logdet double"
 
 
-def _fitted(factor: float):
+def _fitted(last: bool = False):
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [
-                (r.lang, r.source, r.start, *_fit(r.n, r.sums, r.products, factor)) for r in pdf.itertuples()
+                (r.lang, r.source, r.start, *_fit(r.n, r.sums, r.products, r.n / r.size, r.size if last else 0))
+                for r in pdf.itertuples()
             ]
             yield pd.DataFrame(rows, columns=["lang", "source", "start", "centre", "precision", "logdet"])
 
@@ -148,36 +232,41 @@ def _as_arrays(sums: DataFrame) -> DataFrame:
         *KEYS,
         "start",
         F.col("n").cast("double").alias("n"),
+        F.col("size").cast("double").alias("size"),
         F.array(*[F.col(f"s{i}").cast("double") for i in range(4)]).alias("sums"),
         F.array(*[F.col(f"p{i}{j}").cast("double") for i, j in PAIRS]).alias("products"),
     )
 
 
 def _middle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Start from medians and quartiles: (lang, source, q) with q[statistic] = three quartiles."""
+    """Start from (lang, source, middles) with middles[statistic] = median, median deviation."""
     for pdf in batches:
         rows = []
         for r in pdf.itertuples():
-            q = np.array([list(x) for x in r.quartiles], float) / SCALE
-            spread = (q[:, 2] - q[:, 0]) / 1.349
-            cov = np.diag(np.square(spread) + np.square(FLOORS))
+            m = np.array([list(x) for x in r.middles], float) / SCALE
+            cov = np.diag(np.square(np.maximum(1.4826 * m[:, 1], LEAST_SPREADS)))
             rows.append(
-                (r.lang, r.source, 0, list(q[:, 1]), [float(x) for x in np.linalg.inv(cov).ravel()],
+                (r.lang, r.source, 0, list(m[:, 0]), [float(x) for x in np.linalg.inv(cov).ravel()],
                  float(np.linalg.slogdet(cov)[1]))
             )
         yield pd.DataFrame(rows, columns=["lang", "source", "start", "centre", "precision", "logdet"])
 
 
-def _quartiles(rows: DataFrame) -> DataFrame:
-    """Exact quartiles by value counts; values are integers, a group has few thousand of them."""
+def _middles(rows: DataFrame) -> DataFrame:
+    """Exact medians by value counts; values are integers, a group has few thousand of them."""
     values = F.array(*[F.struct(F.lit(i).alias("at"), F.col(t).alias("value")) for i, t in enumerate(STATISTICS)])
     counts = rows.select(*KEYS, F.inline(values)).groupBy(*KEYS, "at", "value").agg(F.count(F.lit(1)).alias("n"))
     group = Window.partitionBy(*KEYS, "at")
+
+    def middle(value: str) -> Column:
+        return F.min(F.when(F.col("upto") >= F.col("all") * 0.5, F.col(value)))
+
     run = counts.withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn("all", F.sum("n").over(group))
-    cut = [F.min(F.when(F.col("upto") >= F.col("all") * p, F.col("value"))) for p in (0.25, 0.5, 0.75)]
-    per = run.groupBy(*KEYS, "at").agg(F.array(*cut).alias("q"))
+    off = run.withColumn("median", middle("value").over(group)).withColumn("off", F.abs(F.col("value") - F.col("median")))
+    off = off.withColumn("upto", F.sum("n").over(group.orderBy("off")))
+    per = off.groupBy(*KEYS, "at").agg(F.array(F.first("median"), middle("off")).alias("m"))
     return per.groupBy(*KEYS).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "q"))), lambda x: x["q"]).alias("quartiles")
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda x: x["m"]).alias("middles")
     )
 
 
@@ -191,8 +280,8 @@ def squared_distance() -> Column:
     return out
 
 
-def _c_step(rows: DataFrame, estimates: DataFrame, factor: float) -> DataFrame:
-    """New estimates from the nearest documents of every group and start."""
+def _c_step(rows: DataFrame, estimates: DataFrame, last: bool = False) -> DataFrame:
+    """New estimates from the nearest half of every group, for every start."""
     near = _with(rows, estimates).withColumn(
         "bin", F.floor(16 * F.log2(1 + F.greatest(squared_distance(), F.lit(0.0))))
     )
@@ -200,35 +289,48 @@ def _c_step(rows: DataFrame, estimates: DataFrame, factor: float) -> DataFrame:
     group = Window.partitionBy(*KEYS, "start")
     inner = (
         bins.withColumn("before", F.sum("n").over(group.orderBy("bin")) - F.col("n"))
-        .withColumn("all", F.sum("n").over(group))
-        .where(F.col("before") < F.col("all") * INNER_SHARE)
+        .withColumn("size", F.sum("n").over(group))
+        .withColumn("half", F.least("size", F.floor((F.col("size") + 5) / 2)))
+        .where("before < half")
+        .withColumn("whole", F.col("before") + F.col("n") <= F.col("half"))
     )
     names = ["n", *[f"s{i}" for i in range(4)], *[f"p{i}{j}" for i, j in PAIRS]]
-    summed = inner.groupBy(*KEYS, "start").agg(*[F.sum(x).alias(x) for x in names])
-    return _as_arrays(summed).mapInPandas(_fitted(factor), ESTIMATE)
+    # one bin at most is not whole, so no sum of fractions depends on its order
+    part = (F.col("half") - F.col("before")) / F.col("n")
+
+    def taken(x: str) -> Column:
+        whole = F.coalesce(F.sum(F.when(F.col("whole"), F.col(x))), F.lit(0))
+        return (whole + F.coalesce(F.max(F.when(~F.col("whole"), F.col(x) * part)), F.lit(0.0))).alias(x)
+
+    summed = inner.groupBy(*KEYS, "start").agg(F.max("size").alias("size"), *[taken(x) for x in names])
+    return _as_arrays(summed).mapInPandas(_fitted(last), ESTIMATE)
 
 
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """(lang, source, centre, precision): the robust estimate of every group."""
-    plain = rows.groupBy(*KEYS).agg(*_moments()).withColumn("start", F.lit(1))
-    state = _quartiles(rows).mapInPandas(_middle, ESTIMATE).unionByName(
-        _as_arrays(plain).mapInPandas(_fitted(1.0), ESTIMATE)
+    plain = rows.groupBy(*KEYS).agg(*_moments()).withColumn("start", F.lit(1)).withColumn("size", F.col("n"))
+    state = _middles(rows).mapInPandas(_middle, ESTIMATE).unionByName(
+        _as_arrays(plain).mapInPandas(_fitted(), ESTIMATE)
     )
     state = stored(state, "mcd")
-    factor = consistency()
-    for _ in range(steps):
-        state = stored(_c_step(rows, state, factor), "mcd")
+    for step in range(steps):
+        state = stored(_c_step(rows, state, step == steps - 1), "mcd")
     best = F.min_by(F.struct("centre", "precision"), F.struct("logdet", "start"))
     return state.groupBy(*KEYS).agg(best.alias("best")).select(*KEYS, "best.centre", "best.precision")
 
 
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """The statistics of each group's texts, those of copies once."""
+    return rows.select(*KEYS, *STATISTICS, "digest").distinct().drop("digest")
+
+
 def judged(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``docs``' doc_id, lang, source, counts, base_failed, distance and kept, for every row."""
     counted = stored(text_counts(docs), "quality-counts")
     rows = stored(vectors(counted, group_means(counted)), "quality-vectors")
-    found = stored(estimates(rows), "quality-estimates")
+    found = stored(estimates(stored(distinct_texts(rows), "quality-texts")), "quality-estimates")
     passed = _with(rows, found).withColumn("distance", squared_distance())
-    names = [c for c in counted.columns if c != "base_failed"]
+    names = [c for c in counted.columns if c not in ("base_failed", "digest")]
     good = passed.select(*names, F.lit(False).alias("base_failed"), "distance", (F.col("distance") <= cutoff).alias("kept"))
     bad = counted.where("base_failed").select(
         *names, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")
@@ -245,7 +347,8 @@ def kept_documents(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """
     counted = stored(text_counts(docs), "quality-counts")
     means = stored(group_means(counted), "quality-means")
-    found = stored(estimates(stored(vectors(counted, means), "quality-vectors")), "quality-estimates")
+    texts = stored(distinct_texts(vectors(counted, means)), "quality-texts")
+    found = stored(estimates(texts), "quality-estimates")
     names = {c: f"_doc_{i}" for i, c in enumerate(docs.columns)}
     here = docs.select(*[F.col(c).alias(n) for c, n in names.items()], *KEYS, "text")
     good = _with(vectors(counted_rows(here), means), found).where(squared_distance() <= cutoff)

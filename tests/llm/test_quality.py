@@ -85,3 +85,32 @@ def test_estimate_equals_a_plain_c_step(spark):
     assert np.allclose(centre, t.mean(0) / quality.SCALE)
     found = quality.estimates(rows).collect()
     assert len(found) == 1
+
+
+def junk_verdicts(spark, junk):
+    """(verdicts on clean rows, on junk rows) of a group of 200 varied clean texts and the given junk."""
+    rng = random.Random(9)
+    rows = [(i, words(rng, rng.randint(40, 200)), "en", "a") for i in range(200)]
+    rows += [(1000 + i, text, "en", "a") for i, text in enumerate(junk(rng))]
+    found = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in found)
+    return [r.kept for r in found if r.doc_id < 1000], [r.kept for r in found if r.doc_id >= 1000]
+
+
+def marked(rng, n=80):
+    return " ".join(x + rng.choice(["###", "&&&", "***"]) for x in words(rng, n).split(" "))
+
+
+def test_a_third_of_junk_copies_goes(spark):
+    clean, junk = junk_verdicts(spark, lambda rng: [marked(rng)] * 100)
+    assert all(clean) and not any(junk)
+
+
+def test_a_third_of_junk_of_one_kind_goes(spark):
+    clean, junk = junk_verdicts(spark, lambda rng: [marked(rng, rng.randint(40, 200)) for _ in range(100)])
+    assert all(clean) and not any(junk)
+
+
+def test_most_rows_are_copies_of_a_clean_text(spark):
+    clean, copies = junk_verdicts(spark, lambda rng: [words(rng, 100)] * 500)
+    assert all(clean) and all(copies)
