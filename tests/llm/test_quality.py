@@ -114,3 +114,21 @@ def test_a_third_of_junk_of_one_kind_goes(spark):
 def test_most_rows_are_copies_of_a_clean_text(spark):
     clean, copies = junk_verdicts(spark, lambda rng: [words(rng, 100)] * 500)
     assert all(clean) and all(copies)
+
+
+def test_moderate_outliers_in_each_statistic(spark):
+    """One odd document for each statistic in a group whose documents have no symbols and no repeats."""
+    rng = random.Random(10)
+    fresh = lambda n: words(rng, n).split(" ")
+    long_words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(100)]
+    symbols = [w + "#" if i % 4 == 0 else w for i, w in enumerate(fresh(100))]
+    lines = "\n".join(" ".join(fresh(12)) + "\nabcd\nefghi\ncd\ngabcj" for _ in range(30))
+    passage = fresh(9)
+    repeated = fresh(40) + passage + fresh(40) + passage + fresh(2)
+    odd = [" ".join(long_words), " ".join(symbols), lines, " ".join(repeated)]
+    rows = [(i, words(rng, rng.randint(40, 200)), "en", "a") for i in range(200)]
+    rows += [(1000 + i, text, "en", "a") for i, text in enumerate(odd)]
+    found = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in found)
+    assert all(r.kept for r in found if r.doc_id < 1000)
+    assert not [r.doc_id for r in found if r.doc_id >= 1000 and r.kept]
