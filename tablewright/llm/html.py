@@ -2,7 +2,10 @@
 
 A page is a list of text blocks, each with the path of tags from the root to it
 (elements with their class). What a page never shows, and page furniture that names
-itself by its element or its class, is no candidate. For the rest, path ratios decide:
+itself by its element, is no candidate. A name in a class or id, or a form or aside, may
+as well belong to a wrapper of the article: such a subtree is no candidate only if it
+has no article, main or h1 and holds the minor share of the page's text, or if an
+article or main outside of it weighs more. For the rest, path ratios decide:
 
 1. per path: text length, punctuation and number of text nodes, and the share of the
    length that lies in links; ratio = length / nodes, weighed by 1 + punctuation / nodes
@@ -52,8 +55,10 @@ INLINE = set(
     " span strike strong sub sup time tt u var wbr nobr".split()
 )
 UNSEEN = RAW | set("head object svg math audio video canvas applet map datalist".split())
-FURNITURE = set("nav footer aside form button select dialog menu option fieldset".split())
-FURNITURE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+FURNITURE = set("nav footer button select dialog menu option".split())
+#: Furniture as a rule, but also wrappers of whole pages.
+LIKELY_FURNITURE = set("aside form fieldset".split())
+FURNITURE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class and id names, as whole words, that name page furniture.
 FURNITURE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments"
@@ -75,6 +80,10 @@ SPACE = re.compile(r"\s+")
 #: Blocks nested deeper belong to the path of their ancestor at this depth.
 DEEPEST = 64
 KEEPS_MOST = 0.6
+#: A named subtree with this share of the page's text or more is a wrapper.
+WRAPS = 0.5
+#: Share of a named subtree's text that an article outside of it needs to be the page's own.
+RIVAL = 0.1
 NEAR_RATIO = 0.5
 
 
@@ -89,11 +98,52 @@ def _is_furniture(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
         return True
     if attrs.get("role", "").lower() in FURNITURE_ROLES or HIDDEN_STYLE.search(attrs.get("style", "")):
         return True
+    return False
+
+
+def _is_named(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether the element calls itself furniture, which a wrapper of the article may do too."""
     if tag in ("html", "body") or tag in MAIN:
         return tag == "article" and bool(re.search(r"\bcomments?\b", attrs.get("class", ""), re.I))
+    if tag in LIKELY_FURNITURE or attrs.get("role", "").lower() == "form":
+        return True
     return any(FURNITURE_WORDS.search(attrs.get(k, "")) for k in ("class", "id"))
 
 
+def _left_out(nodes: list[tuple[int, bool, bool, bool]], own: list[int]) -> list[bool]:
+    """Which nodes are furniture or lie in it.
+
+    Nodes are (parent, named, heads, is main), in page order; -1 is the page. ``own`` is
+    the length of the text right inside each, the last one that of the page.
+    """
+    n = len(nodes)
+    size, last, heads = list(own), list(range(n)), [False] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        parent, _, is_head, _ = nodes[i]
+        size[parent] += size[i]
+        heads[parent] |= is_head or heads[i]
+        if parent >= 0:
+            last[parent] = max(last[parent], last[i])
+    # the longest article or main that ends before a node, or starts behind it
+    before, behind = [0] * (n + 1), [0] * (n + 1)
+    for i in range(n):
+        if nodes[i][3]:
+            before[last[i] + 1] = max(before[last[i] + 1], size[i])
+    for i in range(1, n + 1):
+        before[i] = max(before[i], before[i - 1])
+    for i in range(n - 1, -1, -1):
+        behind[i] = max(behind[i + 1], size[i] if nodes[i][3] else 0)
+    out = [False] * (n + 1)
+    for i, (parent, named, _, _) in enumerate(nodes):
+        rival = max(before[i], behind[last[i] + 1])
+        if heads[i]:
+            furniture = rival > size[i]
+        else:
+            furniture = size[i] < WRAPS * size[-1] or rival > RIVAL * size[i]
+        out[i] = parent >= 0 and out[parent] or named and furniture
+    return out
+
+
 class Block:
     __slots__ = ("path", "parts", "linked")
 
@@ -103,23 +153,26 @@ class Block:
 
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters in links) of the candidate blocks, in page order."""
-    stack: list[tuple[str, str, bool]] = []  # tag, path label, whether its text is dropped
+    stack: list[tuple[str, str, bool, int]] = []  # tag, path label, whether its text is dropped, node
     out: list[tuple[tuple[str, ...], str, int]] = []
+    nodes: list[tuple[int, bool, bool, bool]] = []
+    places: list[int] = []
     parts: list[str] = []
     linked = 0
 
     def path() -> tuple[str, ...]:
-        return tuple(islice((label for tag, label, _ in stack if tag not in INLINE), DEEPEST))
+        return tuple(islice((label for tag, label, _, _ in stack if tag not in INLINE), DEEPEST))
 
     def close_block() -> None:
         nonlocal parts, linked
         text = SPACE.sub(" ", unescape("".join(parts))).strip()
         if text:
             out.append((path(), text, min(linked, len(text))))
+            places.append(next((node for tag, _, _, node in reversed(stack) if tag not in INLINE), -1))
         parts, linked = [], 0
 
     def pop_to(i: int) -> None:
-        if any(tag not in INLINE for tag, _, _ in stack[i:]):
+        if any(tag not in INLINE for tag, _, _, _ in stack[i:]):
             close_block()
         del stack[i:]
 
@@ -127,7 +180,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         nonlocal linked
         if raw and not (stack and stack[-1][2]):
             parts.append(raw)
-            if any(tag == "a" for tag, _, _ in stack):
+            if any(tag == "a" for tag, _, _, _ in stack):
                 linked += len(raw)
 
     at, n = 0, len(html)
@@ -143,7 +196,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             tag = end.lower()
             if tag == "br":
                 close_block()
-            elif tag == "p" and not any(t == "p" for t, _, _ in stack):
+            elif tag == "p" and not any(t == "p" for t, _, _, _ in stack):
                 close_block()
             else:
                 for i in range(len(stack) - 1, -1, -1):
@@ -178,13 +231,22 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if closing:
                     at = html.find(">", at) + 1 or n
                 continue
-            inside_main = any(t in MAIN for t, _, _ in stack)
+            inside_main = any(t in MAIN for t, _, _, _ in stack)
             dropped = dropped or tag in UNSEEN or _is_furniture(tag, attrs, inside_main)
             label = tag + ("." + ".".join(sorted(attrs["class"].lower().split())) if attrs.get("class") else "")
             if tag not in ("svg", "math") or not (rest or "").endswith("/"):
-                stack.append((tag, label, dropped))
+                node = stack[-1][3] if stack else -1
+                named, head = _is_named(tag, attrs), tag in MAIN or tag == "h1"
+                if not dropped and (named or head):
+                    nodes.append((node, named, head and not named, tag in MAIN and not named))
+                    node = len(nodes) - 1
+                stack.append((tag, label, dropped, node))
     close_block()
-    return out
+    own = [0] * (len(nodes) + 1)
+    for (_, text_, _), node in zip(out, places, strict=True):
+        own[node] += len(text_)
+    left_out = _left_out(nodes, own)
+    return [block for block, node in zip(out, places, strict=True) if not left_out[node]]
 
 
 def content(found: list[tuple[tuple[str, ...], str, int]]) -> list[bool]:

@@ -117,3 +117,33 @@ def test_transactions_are_whole(spark, tmp_path):
 def test_warc_query_equals_sql(spark, small):
     q = queries.QUERIES["op5_warc"]
     assert assert_same(q.run(spark, small), q.sql, small) > 0
+
+
+ARTICLE = "<p>A first paragraph, long enough, with words.</p><p>A second paragraph, which goes on, and on.</p>"
+ARTICLE_TEXT = "A first paragraph, long enough, with words.\nA second paragraph, which goes on, and on."
+
+
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ("<div class='post has-sidebar'>", "</div>"),
+        ("<div class='layout-no-sidebars'>", "</div>"),
+        ("<div class='content with-sidebar-right'>", "</div>"),
+        ("<div id='page' class='header-fixed'>", "</div>"),
+        ("<form action='x' id='aspnetForm'>", "</form>"),
+        ("<form><div class='has-sidebar'><article>", "</article></div></form>"),
+    ],
+)
+def test_wrappers_named_like_furniture(start, end):
+    ad = "<div class='sidebar'><p>Buy this, now.</p></div>"
+    assert html.main_text(f"<body>{start}{ARTICLE}{ad}{end}<footer>f</footer></body>") == ARTICLE_TEXT
+
+
+def test_a_headline_in_an_entry_header_stays():
+    page = f"<article><div class='entry-header'><h1>Headline</h1></div>{ARTICLE}</article>"
+    assert html.main_text(page) == "Headline\n" + ARTICLE_TEXT
+
+
+def test_long_comments_beside_an_article_go():
+    comment = "<p>A comment, as long as it can be, and on and on, with words.</p>" * 6
+    assert html.main_text(f"<article>{ARTICLE}</article><div class='comments'>{comment}</div>") == ARTICLE_TEXT
