@@ -92,7 +92,7 @@ class WordCache:
             known = self.old.get(word)
             if known is not None:
                 self.young[word] = known
-            elif word[-1] in ".," and word[:-1].isalpha():
+            elif word[-1] in ".," and LETTERS(word[:-1]):
                 cores[word] = word[:-1]
             else:
                 unknown.append(word)

@@ -114,3 +114,11 @@ def test_documents_decode_to_themselves(spark):
 @pytest.mark.parametrize("text", ["a" * 20_000, "the " * 5_000])
 def test_long_texts(text):
     assert PIECES.decode(ENCODER.encode(text).tolist()) == text
+
+
+@pytest.mark.parametrize("core", ["\u09b9\u09df", "\u0939\u095b", "KAD\u0130", "\u05e9\ufb2a", "stra\u00dfe"])
+@pytest.mark.parametrize("sign", [".", ","])
+def test_letters_that_normalise_to_marks(core, sign):
+    text = f"word {core}{sign} {core} {core}{sign}"
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(CACHE.encode([text])[0], np.uint16).tolist() == want
