@@ -73,7 +73,7 @@ def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
     hashes = pd.util.hash_array(np.array(flat, dtype=object), categorize=False)
     n = len(hashes)
     rolled = np.zeros(n, np.uint64)
-    for i in range(k):
+    for i in range(min(k, n)):
         rolled[: n - i] += hashes[i:] * PLACES[i] if i else hashes * PLACES[0]
     rolled = _mixed(rolled)
     out, start = [], 0

@@ -93,3 +93,13 @@ def test_distinct_documents(spark):
     out = minhash.distinct_documents(docs)
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} - {None} == kept - {None}
+
+
+def test_two_words_in_all():
+    """A chunk that holds fewer words than a shingle, alone and before a text of over a megabyte."""
+    import pandas as pd
+
+    assert [len(x) for x in minhash.shingle_sets(["one two"])] == [1]
+    assert minhash.shingle_sets(["one two", "a b c d e"])[0] == minhash.shingle_sets(["one two"])[0]
+    pdf = pd.DataFrame({"doc_id": [1, 2], "text": ["one two", "some words " * 120_000]})
+    assert [n for out in minhash._features(iter([pdf])) for n in out["n_shingles"]] == [1, 2]
