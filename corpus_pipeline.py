@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tablewright.llm import minhash, mixing, quality, sentencepieces
 from tablewright.llm.common import stored
 
+#: Words of a shingle; the query op8_minhash has its own number.
+SHINGLE = 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
@@ -21,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    return minhash.distinct_documents(docs)
+    return minhash.distinct_documents(docs, SHINGLE)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

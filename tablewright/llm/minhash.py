@@ -106,35 +106,38 @@ def _chunks(pdf: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
         yield part
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for part in _chunks(pdf, "text"):
-            rows = []
-            for shingles in shingle_sets(part["text"].tolist()):
-                if not len(shingles):
-                    rows.append((0, None, None, None))
-                    continue
-                low = minima(shingles)
-                keys = np.zeros(BANDS, np.uint64)
-                for r in range(ROWS):
-                    keys = _mixed(keys + low.reshape(BANDS, ROWS)[:, r] * PLACES[r] + np.arange(BANDS, dtype=np.uint64))
-                rows.append(
-                    (
-                        len(shingles),
-                        hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(),
-                        keys.view(np.int64),
-                        (low & np.uint64(0xFFFF)).astype("<u2").tobytes(),
+def _features(k: int = SHINGLE):
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part in _chunks(pdf, "text"):
+                rows = []
+                for shingles in shingle_sets(part["text"].tolist(), k):
+                    if not len(shingles):
+                        rows.append((0, None, None, None))
+                        continue
+                    low = minima(shingles)
+                    keys = np.zeros(BANDS, np.uint64)
+                    for r in range(ROWS):
+                        keys = _mixed(keys + low.reshape(BANDS, ROWS)[:, r] * PLACES[r] + np.arange(BANDS, dtype=np.uint64))
+                    rows.append(
+                        (
+                            len(shingles),
+                            hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(),
+                            keys.view(np.int64),
+                            (low & np.uint64(0xFFFF)).astype("<u2").tobytes(),
+                        )
                     )
-                )
-            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "keys", "signature"], index=part.index)
-            out.insert(0, "doc_id", part["doc_id"])
-            yield out
+                out = pd.DataFrame(rows, columns=["n_shingles", "digest", "keys", "signature"], index=part.index)
+                out.insert(0, "doc_id", part["doc_id"])
+                yield out
 
+    return extract
 
-def features(docs: DataFrame) -> DataFrame:
+
+def features(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, digest, keys, signature) of every row."""
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        _features, "doc_id long, n_shingles long, digest binary, keys array<long>, signature binary"
+        _features(k), "doc_id long, n_shingles long, digest binary, keys array<long>, signature binary"
     )
 
 
@@ -197,11 +200,14 @@ def _across(narrow: DataFrame) -> DataFrame:
     )
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for part in _chunks(pdf, "text"):
-            sets = [x.tobytes() for x in shingle_sets(part["text"].tolist())]
-            yield pd.DataFrame({"rep": part["doc_id"].to_numpy(), "shingles": sets})
+def _sets(k: int = SHINGLE):
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part in _chunks(pdf, "text"):
+                sets = [x.tobytes() for x in shingle_sets(part["text"].tolist(), k)]
+                yield pd.DataFrame({"rep": part["doc_id"].to_numpy(), "shingles": sets})
+
+    return sets_of
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,12 +241,12 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(found, columns=["a", "b"])
 
 
-def _wide_links(wide: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _wide_links(wide: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(a, b): the links between groups of the buckets that are too large for rows of pairs."""
     parts = int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ends = stored(wide.select(F.col("rep").alias("r")).distinct().withColumn("asked", F.lit(1)), "wide-ends").where("asked > 0")
     sets = docs.join(ends, F.col("doc_id") == F.col("r")).select("doc_id", "text").mapInPandas(
-        _sets, "rep long, shingles binary"
+        _sets(k), "rep long, shingles binary"
     )
     known = classes.select("rep", "keys", "signature").join(sets, "rep")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -260,17 +266,20 @@ def _wide_links(wide: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     return rows.mapInPandas(_compared, "a long, b long")
 
 
-def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for part in _chunks(pdf, "ta"):
-            keep = []
-            for x, y in zip(shingle_sets(part["ta"].tolist()), shingle_sets(part["tb"].tolist()), strict=True):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= SIMILARITY * (len(x) + len(y) - common))
-            yield part.loc[keep, ["a", "b"]]
+def _judged(k: int = SHINGLE):
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part in _chunks(pdf, "ta"):
+                keep = []
+                for x, y in zip(shingle_sets(part["ta"].tolist(), k), shingle_sets(part["tb"].tolist(), k), strict=True):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * common >= SIMILARITY * (len(x) + len(y) - common))
+                yield part.loc[keep, ["a", "b"]]
+
+    return judge
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The stored pairs whose full sets are similar enough. ``docs``: doc_id, text of representatives.
 
     Inside ``bloom_filtered_joins`` only texts of ends (and few others) are shuffled.
@@ -286,10 +295,10 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     first = texts.where("end = a").select("a", "b", F.col("text").alias("ta"))
     second = texts.where("end = b").select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("text").alias("tb"))
     met = first.join(second, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")))
-    return met.select("a", "b", "ta", "tb").mapInPandas(_judged, "a long, b long")
+    return met.select("a", "b", "ta", "tb").mapInPandas(_judged(k), "a long, b long")
 
 
-def linked_classes(docs: DataFrame, seen: DataFrame) -> DataFrame:
+def linked_classes(docs: DataFrame, seen: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(node, component) over class representatives; ``seen`` are the stored features."""
     classes = stored(
         seen.where("digest IS NOT NULL")
@@ -302,7 +311,7 @@ def linked_classes(docs: DataFrame, seen: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     near = stored(_estimated(_stars(members.where(F.col("band") < FIRST_BANDS)), classes), "star-pairs")
     with bloom_filtered_joins(docs.sparkSession):
-        links = stored(_verified(near, texts), "links")
+        links = stored(_verified(near, texts, k), "links")
     first = stored(components(links), "components")
     open_ = stored(_open_buckets(members, first), "open-buckets")
     rest = _across(open_.where(F.col("n") <= SMALL_BUCKET)).join(near, ["a", "b"], "left_anti")
@@ -311,16 +320,16 @@ def linked_classes(docs: DataFrame, seen: DataFrame) -> DataFrame:
     found = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     with bloom_filtered_joins(docs.sparkSession):
         if not more.isEmpty():
-            found = found.unionByName(stored(_verified(more, texts), "links"))
+            found = found.unionByName(stored(_verified(more, texts, k), "links"))
         if not wide.isEmpty():
-            found = found.unionByName(stored(_wide_links(wide, classes, texts), "links"))
+            found = found.unionByName(stored(_wide_links(wide, classes, texts, k), "links"))
     return stored(components(found), "components")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    seen = stored(features(docs), "features")
-    found = linked_classes(docs, seen)
+def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``, by shingles of ``k`` words."""
+    seen = stored(features(docs, k), "features")
+    found = linked_classes(docs, seen, k)
     classes = seen.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component")
@@ -335,12 +344,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def distinct_documents(docs: DataFrame) -> DataFrame:
+def distinct_documents(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """The documents that stay, whole: one id of each component.
 
     Rows without a doc_id stay, since nothing tells them apart. The ids that go are few,
     so they are what the texts are joined with.
     """
-    gone = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
+    gone = near_duplicates(docs, k).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
     gone = stored(gone.distinct(), "gone")
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")

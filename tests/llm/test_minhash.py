@@ -102,4 +102,4 @@ def test_two_words_in_all():
     assert [len(x) for x in minhash.shingle_sets(["one two"])] == [1]
     assert minhash.shingle_sets(["one two", "a b c d e"])[0] == minhash.shingle_sets(["one two"])[0]
     pdf = pd.DataFrame({"doc_id": [1, 2], "text": ["one two", "some words " * 120_000]})
-    assert [n for out in minhash._features(iter([pdf])) for n in out["n_shingles"]] == [1, 2]
+    assert [n for out in minhash._features()(iter([pdf])) for n in out["n_shingles"]] == [1, 2]
