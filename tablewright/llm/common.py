@@ -41,6 +41,18 @@ def documents(spark, folder: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for working columns that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def in_groups(batches: Iterator[pd.DataFrame], columns: Sequence[str]) -> Iterator[pd.DataFrame]:
     """The groups of rows that agree in ``columns``, which arrive sorted by them.
 
