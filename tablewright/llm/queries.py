@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.llm import caps, chat, html, lexical, linededup, minhash, mixing, quality, sentencepieces, sharding, token_orc, warc
+from tablewright.llm import alignment, caps, chat, html, lexical, linededup, minhash, mixing, quality, sentencepieces, sharding, token_orc, warc
 from tablewright.llm.common import documents
 from tablewright.plans.registry import Registry
 
@@ -213,3 +213,9 @@ def op13_linededup(spark, folder):
     return kept.select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
     )
+
+
+@QUERIES.add("op11_alignment")
+def op11_alignment(spark, folder):
+    """Tokens of two vocabularies aligned in every document."""
+    return alignment.scored(documents(spark, folder))
