@@ -14,6 +14,12 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def number(name: str) -> Column:
+    """The column as double, NaN as null."""
+    x = ref(name).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 

@@ -6,22 +6,15 @@ Spark has no distribution functions, so the few statistics rows go through Arrow
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F
-
-_NORMAL = NormalDist()
-
+from pyspark.sql import types as T
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
-def normal_quantile(p: float) -> float:
-    return _NORMAL.inv_cdf(p)
-
-
 def gamma_upper(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function."""
     if x <= 0:
@@ -106,12 +99,16 @@ def chi2_upper(x: float, df: float) -> float:
 
 
 def kolmogorov_two_sided(d: float, n: float) -> float:
-    """Limit law of the Kolmogorov statistic with the usual small-sample shift."""
+    """Limit law of the Kolmogorov statistic, at a place corrected for the sample's size."""
     if d <= 0:
         return 1.0
-    root = math.sqrt(n)
-    y = (root + 0.12 + 0.11 / root) * d
-    total = sum((-1) ** (k - 1) * math.exp(-2 * (k * y) ** 2) for k in range(1, 101))
+    z = math.sqrt(n) * d
+    x = z + 1 / (6 * math.sqrt(n)) + (z - 1) / (4 * n)
+    if x < 1:
+        # the same law as a series that converges fast near zero
+        total = sum(math.exp(-((2 * k - 1) ** 2) * math.pi**2 / (8 * x * x)) for k in range(1, 20))
+        return min(1.0, max(0.0, 1 - math.sqrt(2 * math.pi) / x * total))
+    total = sum((-1) ** (k - 1) * math.exp(-2 * (k * x) ** 2) for k in range(1, 20))
     return min(1.0, max(0.0, 2 * total))
 
 
@@ -123,26 +120,31 @@ def _apply(fn, *series: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return _apply(normal_two_sided, z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _apply(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _apply(f_upper, f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return _apply(chi2_upper, x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def kolmogorov_p(d: pd.Series, n: pd.Series) -> pd.Series:
     return _apply(kolmogorov_two_sided, d, n)
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_cdf(z: pd.Series) -> pd.Series:
+    return _apply(lambda x: 0.5 * math.erfc(-x / math.sqrt(2.0)), z)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,12 +12,14 @@ from pyspark.sql import types as T
 from tablewright.functions.columns import (
     count_if,
     distinct_counts,
+    number,
     numeric_columns,
     per_column,
     ref,
     share,
     value_counts,
 )
+from tablewright.functions.gram import complete, correlation, covariance, gram
 from tablewright.functions.text import blank_to_null, guarded_double
 
 DOMINANT_SHARE = 0.40
@@ -42,12 +43,6 @@ def missingness_table(df: DataFrame) -> DataFrame:
     return stats.select("column", "nulls", share(F.col("nulls"), F.col("rows")).alias("null_share"))
 
 
-def number(c: str) -> Column:
-    """The column as double, NaN as null."""
-    x = ref(c).cast("double")
-    return F.when(~F.isnan(x), x)
-
-
 def strength(r: Column) -> Column:
     return (
         F.when(F.abs(r) > STRONG, "strong").when(F.abs(r) > MODERATE, "moderate").otherwise("weak")
@@ -62,20 +57,8 @@ def correlation_matrix(
     if len(columns) < 2:
         empty = "a string, b string, n long, r double, strength string"
         return df.sparkSession.createDataFrame([], empty)
-    pairs = []
-    for a, b in combinations(columns, 2):
-        x, y = number(a), number(b)
-        both = x.isNotNull() & y.isNotNull()
-        pairs.append(
-            F.struct(
-                F.lit(a).alias("a"),
-                F.lit(b).alias("b"),
-                count_if(both).alias("n"),
-                F.corr(F.when(both, x), F.when(both, y)).alias("r"),
-            )
-        )
-    out = df.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs"))
-    known = out.where((F.col("n") >= min_rows) & F.col("r").isNotNull() & ~F.isnan("r"))
+    pairs = gram(df, columns).where("a <> b").select("a", "b", "n", correlation().alias("r"))
+    known = pairs.where((F.col("n") >= min_rows) & F.col("r").isNotNull() & ~F.isnan("r"))
     return known.withColumn("strength", strength(F.col("r")))
 
 
@@ -84,16 +67,8 @@ def covariance_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     columns = list(columns or numeric_columns(df))
     if not columns:
         return df.sparkSession.createDataFrame([], "a string, b string, covariance double")
-    complete = df.select(*[number(c).alias(c) for c in columns]).dropna()
-    pairs = [
-        F.struct(
-            F.lit(a).alias("a"),
-            F.lit(b).alias("b"),
-            F.covar_samp(ref(a), ref(b)).alias("covariance"),
-        )
-        for a, b in combinations_with_replacement(columns, 2)
-    ]
-    return complete.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs"))
+    pairs = gram(complete(df, columns), columns)
+    return pairs.select("a", "b", F.try_divide(covariance(), F.col("n") - 1).alias("covariance"))
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:

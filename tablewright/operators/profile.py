@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import (
     count_if,
+    number,
     numeric_columns,
     per_column,
     ref,
@@ -28,12 +29,6 @@ Z_LIMIT = 2.5
 URL = r"^https?://\S+$"
 
 
-def number(c: str) -> Column:
-    """The column as double, NaN as null."""
-    x = ref(c).cast("double")
-    return F.when(~F.isnan(x), x)
-
-
 def _numbers(df: DataFrame, columns: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
     names = list(columns or numeric_columns(df))
     return df.select(*[number(c).alias(c) for c in names]), names

@@ -94,16 +94,17 @@ def welch_t(df: DataFrame, group: str, a: str, b: str, measure: str) -> DataFram
 def anova_f(df: DataFrame, group: str, measure: str) -> DataFrame:
     """(f, df_between, df_within) of all groups."""
     groups = group_moments(df, group, measure)
-    sums = groups.agg(
+    whole = groups.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))
+    off = with_scalar(groups, whole, "_o").withColumn("off", F.col("mean") - F.col("_o.mean"))
+    sums = off.agg(
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("n"),
-        (F.sum(F.col("n") * F.col("mean") ** 2) - F.sum(F.col("n") * F.col("mean")) ** 2 / F.sum("n")).alias("between"),
+        F.sum(F.col("n") * F.col("off") ** 2).alias("between"),
         F.sum((F.col("n") - 1) * F.col("variance")).alias("within"),
     )
     low, high = F.col("k") - 1, F.col("n") - F.col("k")
-    return sums.select(
-        ((F.col("between") / low) / (F.col("within") / high)).alias("f"), low.alias("df_between"), high.alias("df_within")
-    )
+    f = F.try_divide(F.try_divide(F.col("between"), low), F.try_divide(F.col("within"), high))
+    return sums.select(f.alias("f"), low.alias("df_between"), high.alias("df_within"))
 
 
 def kruskal_h(df: DataFrame, group: str, measure: str) -> DataFrame:

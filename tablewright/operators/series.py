@@ -49,7 +49,7 @@ def period_anomalies(buckets: DataFrame, keys: Sequence[str] = (), value: str =
     )
 
 
-def _numbered(buckets: DataFrame, keys: Sequence[str], name: str = "at") -> DataFrame:
+def numbered(buckets: DataFrame, keys: Sequence[str], name: str = "at") -> DataFrame:
     return buckets.withColumn(name, F.row_number().over(_by(keys).orderBy("period")).cast("double"))
 
 
@@ -59,7 +59,7 @@ def trend_class(buckets: DataFrame, keys: Sequence[str] = (), value: str = "tota
     volatile over a variation of 0.5; growing or declining when the slope exceeds 2 % of
     the mean; else flat.
     """
-    found = _numbered(buckets, keys).groupBy(*[ref(k) for k in keys]).agg(
+    found = numbered(buckets, keys).groupBy(*[ref(k) for k in keys]).agg(
         F.count(F.lit(1)).alias("periods"),
         F.regr_slope(F.col(value), F.col("at")).alias("slope"),
         F.avg(value).alias("mean"),
@@ -83,7 +83,7 @@ def trend_class(buckets: DataFrame, keys: Sequence[str] = (), value: str = "tota
 def change_point(buckets: DataFrame, keys: Sequence[str] = (), value: str = "mean") -> DataFrame:
     """(keys..., period, before, after): the middle, if the halves' means differ by over half a deviation."""
     count = F.count(F.lit(1)).over(_by(keys))
-    halves = _numbered(buckets, keys).withColumn("half", F.floor(count / 2))
+    halves = numbered(buckets, keys).withColumn("half", F.floor(count / 2))
     found = halves.groupBy(*[ref(k) for k in keys]).agg(
         F.avg(F.when(F.col("at") <= F.col("half"), F.col(value))).alias("before"),
         F.avg(F.when(F.col("at") > F.col("half"), F.col(value))).alias("after"),
@@ -149,7 +149,7 @@ def linear_forecast(buckets: DataFrame, steps: int, keys: Sequence[str] = (), va
     """
     groups = [ref(k) for k in keys]
     back = Window.partitionBy(*groups).orderBy(F.col("period").desc()) if keys else Window.partitionBy(F.lit(0)).orderBy(F.col("period").desc())
-    placed = _numbered(buckets, keys).withColumn("back", F.row_number().over(back))
+    placed = numbered(buckets, keys).withColumn("back", F.row_number().over(back))
     weights = F.when(F.col("back") == 1, 0.5).when(F.col("back") == 2, 0.3).when(F.col("back") == 3, 0.2)
     fitted = placed.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"),
