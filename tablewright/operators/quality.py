@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import count_if, ref, share, with_scalar
+from tablewright.functions.columns import count_if, ref, share, string_columns, with_scalar
 from tablewright.functions.quantiles import quantile_row
+from tablewright.functions.text import guarded_double
 from tablewright.operators.clean import outside_fences
 from tablewright.operators.profile import number
+from tablewright.operators.validate import duplicate_rows
 
 
 def rule_violations(df: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -163,3 +165,89 @@ def detect_drift(df: DataFrame, baseline: DataFrame, columns: Sequence[str]) ->
     limit = F.greatest(F.lit(5.0), 4 * F.col("base_std") / F.sqrt("n"))
     moved = (F.col("n") >= 10) & (F.abs(F.col("mean") - F.col("base_mean")) > limit)
     return known.select("column", "base_mean", "mean", limit.alias("limit"), moved.alias("drifted"))
+
+
+# Weights of the weighted score, and the limits of outlier classes.
+SCORE_WEIGHTS = {"completeness": 0.25, "uniqueness": 0.15, "consistency": 0.2, "validity": 0.2, "type_alignment": 0.2}
+POINTS_PER_VIOLATION = 10
+EXTREME_Z, BUSY_SHARE = 8.0, 1.5
+
+
+def quality_score_weighted(df: DataFrame, columns: Sequence[str], violations: DataFrame, measures: Sequence[str] = ()) -> DataFrame:
+    """(completeness, uniqueness, consistency, validity, type_alignment, score) in per cent.
+
+    Filled cells; rows that are no copies; values of the numeric ``columns`` within 1.5 IQR;
+    ten points off for each broken rule; columns without the ``measures`` that hold values
+    but no number. The score is their weighted mean, a whole number; all 0 for an empty table.
+    """
+    filled = sum((F.count(ref(c)) for c in df.columns[1:]), F.count(ref(df.columns[0])))
+    texts = [F.when((F.count(ref(m)) > 0) & (F.count(guarded_number(df, m)) == 0), 1).otherwise(0) for m in measures]
+    own = df.agg(
+        F.count(F.lit(1)).alias("rows"), filled.alias("filled"), sum(texts, F.lit(0)).alias("misfits")
+    )
+    outliers = outside_fences(df, columns).where("present >= 5").agg(F.coalesce(F.sum("affected"), F.lit(0)).alias("outliers")) if columns else None
+    known = with_scalar(with_scalar(own, duplicate_rows(df), "d"), violations.agg(count_if(F.col("broken") > 0).alias("broken")), "v")
+    known = with_scalar(known, outliers, "o") if outliers is not None else known.withColumn("o", F.struct(F.lit(0).alias("outliers")))
+    rows = F.col("rows")
+    parts = {
+        "completeness": share(F.col("filled"), rows * len(df.columns)) * 100,
+        "uniqueness": share(rows - F.col("d.surplus"), rows) * 100,
+        "consistency": F.greatest(F.lit(0.0), 1 - share(F.col("o.outliers"), rows * max(1, len(columns)))) * 100,
+        "validity": F.greatest(F.lit(0.0), 100.0 - F.col("v.broken") * POINTS_PER_VIOLATION),
+        "type_alignment": (len(df.columns) - F.col("misfits")) * F.lit(100.0 / len(df.columns)),
+    }
+    found = known.select(*[F.when(rows > 0, x).otherwise(0.0).alias(k) for k, x in parts.items()])
+    score = sum((F.col(k) * w for k, w in SCORE_WEIGHTS.items()), F.lit(0.0))
+    return found.withColumn("score", F.round(score).cast("long"))
+
+
+def guarded_number(df: DataFrame, column: str) -> Column:
+    """The column as a number; a text only if it is written as one."""
+    return guarded_double(ref(column)) if column in string_columns(df) else number(column)
+
+
+def outlier_classify(
+    df: DataFrame, columns: Sequence[str], sensors: Sequence[str] = (), amounts: Sequence[str] = (), quantity: str | None = None
+) -> DataFrame:
+    """(column, affected, low, high, extreme_z, kind, action, confidence) of columns with values beyond 1.5 IQR.
+
+    A value over 8 deviations off is a sensor or an entry error, and its rows may go. In a
+    column of amounts it is a promotion if the quantity of the outlying rows is more than
+    1.5 times the usual one, else a business event; otherwise it is legitimate. Means of the
+    quantity are taken beside the counts, in one pass.
+    """
+    bounds = outside_fences(df, columns).where("present >= 5 AND affected > 0")
+    limits = outside_fences(df, columns).agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("low", "high")))).alias("by"))
+    marked = with_scalar(df, limits, "_f")
+    q = number(quantity) if quantity else F.lit(None).cast("double")
+    rows = []
+    for c in columns:
+        x, fence = number(c), F.col("_f.by")[c]
+        out = (x < fence["low"]) | (x > fence["high"])
+        rows.append(
+            F.struct(
+                F.lit(c).alias("c"),
+                F.avg(x).alias("mean"),
+                F.stddev_samp(x).alias("std"),
+                F.max(F.when(out, x)).alias("top"),
+                F.min(F.when(out, x)).alias("bottom"),
+                F.avg(F.when(out, q)).alias("busy"),
+                F.avg(q).alias("usual"),
+            )
+        )
+    facts = marked.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    met = bounds.join(facts, F.col("column") == F.col("c"))
+    z = F.greatest(F.abs(F.col("top") - F.col("mean")), F.abs(F.col("bottom") - F.col("mean"))) / F.nullif("std", F.lit(0.0))
+    known = met.withColumn("extreme_z", F.coalesce(z, F.lit(0.0)))
+
+    def verdict(kind: str, action: str, confidence: float) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(action).alias("action"), F.lit(confidence).alias("confidence"))
+
+    extreme, amount = F.col("extreme_z") > EXTREME_Z, F.col("column").isin(list(amounts) or [""])
+    kind = F.when(extreme & F.col("column").isin(list(sensors) or [""]), verdict("sensor_error", "delete_rows", 0.90)).when(
+        extreme, verdict("entry_error", "delete_rows", 0.85)
+    )
+    if quantity:
+        kind = kind.when(amount & (F.col("busy") > F.col("usual") * BUSY_SHARE), verdict("promotion", "keep", 0.80))
+    kind = kind.when(amount, verdict("business_event", "keep", 0.70 if quantity else 0.75)).otherwise(verdict("legitimate", "keep", 0.70))
+    return known.withColumn("v", kind).select("column", "affected", "low", "high", "extreme_z", "v.*")

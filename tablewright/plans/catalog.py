@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tablewright.plans import analysis_queries, clean_queries, explore_queries, inference_queries, table_queries
+from tablewright.plans import analysis_queries, clean_queries, explore_queries, inference_queries, meaning_queries, table_queries
 from tablewright.plans.registry import Query
 
-MODULES = [table_queries, clean_queries, explore_queries, analysis_queries, inference_queries]
+MODULES = [table_queries, clean_queries, explore_queries, analysis_queries, inference_queries, meaning_queries]
 
 
 def all_queries() -> dict[str, Query]:
