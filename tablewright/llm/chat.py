@@ -1,11 +1,11 @@
 """Tool calls of conversations: linked to results, ordered, validated, serialised.
 
 Calls and results meet in a hash join on conversation and call identifier. Order comes
-from dependencies: a call's level is the longest chain of calls it waits for, found by
-peeling the calls whose dependencies are all done, round by round, over all
-conversations at once; (level, position) orders a conversation topologically. A round
-is a few joins over what is left, so no conversation, however long, is in one task; the
-number of rounds is the longest chain. Arguments are parsed and validated against the
+from dependencies: a call's level is the longest chain of calls it waits for, and (level,
+position) orders a conversation topologically. Conversations of bounded size are ordered
+inside tasks by peeling the calls whose dependencies are all done. Larger ones are ordered
+by rounds of joins over all of them, in which chains are contracted by doubling; so no
+conversation, however long, is in one task. Arguments are parsed and validated against the
 tool's schema, and each call is written as canonical JSON (sorted keys, no white space,
 shortest numbers).
 
@@ -26,12 +26,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import stored, word_count
+from tablewright.session import new_path
 
 KEYS = ["conv_id", "call_id"]
+#: Calls and dependencies of a conversation that one task may order.
+IN_ONE_TASK = 20_000
 KINDS = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None),
 }
@@ -176,35 +180,150 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, missing) of distinct calls with depends_on."""
-    ids = stored(calls.select(*KEYS), "calls")
-    waits = calls.select(*KEYS, F.explode(F.array_distinct("depends_on")).alias("dep"))
-    checked = stored(
-        waits.join(_keyed(ids.withColumn("here", F.lit(True)), "d_"), _match("d_", "dep"), "left").select(
-            *KEYS, "dep", F.coalesce("here", F.lit(False)).alias("exists")
-        ),
-        "waits",
-    )
-    missing = checked.where("NOT exists").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("missing"))
-    left, edges, done, level = ids, checked.where("exists").select(*KEYS, "dep"), None, 0
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv_id, call_id, level, missing) from rows sorted by conversation, one conversation at a time."""
+    held: list[tuple] = []
+
+    def done() -> pa.RecordBatch:
+        found = {call: deps for _, call, deps in held}
+        waits = {call: [d for d in set(deps or ()) if d in found] for call, deps in found.items()}
+        later: dict = {call: [] for call in found}
+        for call, deps in waits.items():
+            for d in deps:
+                later[d].append(call)
+        open_ = {call: len(deps) for call, deps in waits.items()}
+        level = {call: 0 for call, n in open_.items() if not n}
+        ready = list(level)
+        for call in ready:  # grows while it is walked
+            for other in later[call]:
+                open_[other] -= 1
+                level[other] = max(level.get(other, 0), level[call] + 1)
+                if not open_[other]:
+                    ready.append(other)
+        solved = set(ready)
+        missing = [len(set(deps or ())) - len(waits[call]) for _, call, deps in held]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([c for c, _, _ in held], pa.int64()),
+                pa.array([c for _, c, _ in held], pa.string()),
+                pa.array([level[c] if c in solved else None for _, c, _ in held], pa.int32()),
+                pa.array(missing, pa.int64()),
+            ],
+            names=["conv_id", "call_id", "level", "missing"],
+        )
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "call_id", "depends_on")), strict=True):
+            if held and row[0] != held[0][0]:
+                yield done()
+                held = []
+            held.append(row)
+    if held:
+        yield done()
+
+
+LEVELS = "conv_id long, call_id string, level int, missing long"
+
+
+def _contracted(calls: DataFrame) -> DataFrame:
+    """The levels of calls of large conversations, by rounds over all of them at once.
+
+    A call is the largest of its base and of level + length over its edges. In a round, an
+    edge to a call that is done goes into the base, and an edge to a call with a single edge
+    of its own is replaced by one to where that leads, with the lengths added. So a chain
+    halves in every round; the rounds grow with the logarithm of the longest run of calls
+    that wait for one other, and with the number of calls on a path that wait for several.
+    What is left when a round finishes nothing is on a cycle or waits for one.
+    """
+    spark = calls.sparkSession
+    node = F.to_json(F.struct(*KEYS))
+    ids = stored(calls.select(node.alias("node"), *KEYS), "calls")
+    waits = calls.select(node.alias("node"), F.explode(F.array_distinct("depends_on")).alias("call_id"), "conv_id")
+    waits = waits.select("node", node.alias("dep"))
+    here = ids.select(F.col("node").alias("here"))
+    checked = stored(waits.join(here, F.col("dep") == F.col("here"), "left"), "waits")
+    missing = checked.where("here IS NULL").groupBy("node").agg(F.count(F.lit(1)).alias("missing"))
+    left = ids.select("node", F.lit(0).cast("long").alias("base"))
+    edges = checked.where("here IS NOT NULL").select("node", "dep", F.lit(1).cast("long").alias("length"))
+    folder = new_path(spark, "levels")
     while True:
-        blocked = _keyed(edges.select(*KEYS).distinct(), "b_")
-        ready = stored(left.join(blocked, _match("b_"), "left_anti"), "ready")
+        waiting = edges.select(F.col("node").alias("w")).distinct()
+        ready = stored(left.join(waiting, F.col("node") == F.col("w"), "left_anti"), "ready")
         if ready.isEmpty():
             break
-        at = ready.withColumn("level", F.lit(level))
-        done = at if done is None else done.unionByName(at)
-        left = stored(left.join(blocked, _match("b_"), "left_semi"), "left")
+        ready.select("node", F.col("base").cast("int").alias("level")).write.mode("append").parquet(folder)
+        left = stored(left.join(waiting, F.col("node") == F.col("w"), "left_semi"), "left")
         if left.isEmpty():
             break
-        edges = stored(edges.join(_keyed(ready, "d_"), _match("d_", "dep"), "left_anti"), "edges")
-        level += 1
-    stuck = left.withColumn("level", F.lit(None).cast("int")) if done is None or not left.isEmpty() else None
-    every = stuck if done is None else done if stuck is None else done.unionByName(stuck)
-    return every.join(_keyed(missing, "m_"), _match("m_"), "left").select(
-        *KEYS, "level", F.coalesce("missing", F.lit(0)).alias("missing")
+        one = edges.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("far"), F.min("length").alias("more"))
+        known = ready.select(F.col("node").alias("r"), F.col("base").alias("level"))
+        # a call that waits for itself leads nowhere; one that waits for a call that is done has its level
+        one = (
+            one.where("n = 1 AND far <> node")
+            .join(left, "node")
+            .join(known.toDF("x", "far_level"), F.col("far") == F.col("x"), "left")
+            .select(
+                F.col("node").alias("via"),
+                F.when(F.col("x").isNull(), F.col("far")).alias("far"),
+                "more",
+                F.greatest("base", F.col("far_level") + F.col("more")).alias("low"),
+            )
+        )
+        met = edges.join(known, F.col("dep") == F.col("r"), "left").join(one, F.col("dep") == F.col("via"), "left")
+        # lengths on a cycle grow without end
+        total = F.least(F.col("length") + F.col("more"), F.lit(1 << 40))
+        met = stored(
+            met.select(
+                "node",
+                F.when(F.col("r").isNull(), F.when(F.col("via").isNull(), F.col("dep")).otherwise(F.col("far"))).alias("dep"),
+                F.when(F.col("via").isNull(), F.col("length")).otherwise(total).alias("length"),
+                F.when(F.col("r").isNotNull(), F.col("level") + F.col("length"))
+                .when(F.col("via").isNotNull(), F.col("low") + F.col("length"))
+                .alias("raised"),
+            ),
+            "met",
+        )
+        raised = met.where("raised IS NOT NULL").groupBy(F.col("node").alias("n")).agg(F.max("raised").alias("raised"))
+        left = stored(
+            left.join(raised, F.col("node") == F.col("n"), "left").select("node", F.greatest("base", "raised").alias("base")), "left"
+        )
+        edges = stored(met.where("dep IS NOT NULL").groupBy("node", "dep").agg(F.max("length").alias("length")), "edges")
+    schema = "node string, level int"
+    found = spark.createDataFrame([], schema) if ids.isEmpty() else _read_rounds(spark, folder, schema)
+    found = found.withColumnRenamed("node", "f")
+    counted = missing.withColumnRenamed("node", "m")
+    out = ids.join(found, F.col("node") == F.col("f"), "left").join(counted, F.col("node") == F.col("m"), "left")
+    return out.select(*KEYS, "level", F.coalesce("missing", F.lit(0)).alias("missing"))
+
+
+def _read_rounds(spark, folder: str, schema: str) -> DataFrame:
+    """What the rounds wrote; nothing if no round finished a call."""
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def levels(calls: DataFrame, most: int = IN_ONE_TASK) -> DataFrame:
+    """(conv_id, call_id, level, missing) of distinct calls with depends_on.
+
+    Conversations of at most ``most`` calls and dependencies are ordered one by one inside
+    tasks, larger ones by rounds over all tasks.
+    """
+    size = F.sum(1 + F.greatest(F.size("depends_on"), F.lit(0)))
+    # at most one row per ``most`` rows
+    large = stored(
+        calls.groupBy(F.col("conv_id").alias("l")).agg(size.alias("n")).where(F.col("n") > most).select("l"), "large-conversations"
     )
+    match = F.col("conv_id").eqNullSafe(F.col("l"))
+    small = calls.select(*KEYS, "depends_on").join(large, match, "left_anti")
+    parts = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    solved = small.repartition(parts, "conv_id").sortWithinPartitions("conv_id").mapInArrow(_solved, LEVELS)
+    if large.isEmpty():
+        return solved
+    return solved.unionByName(_contracted(stored(calls.select(*KEYS, "depends_on").join(large, match, "left_semi"), "large-calls")))
 
 
 def transcript(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

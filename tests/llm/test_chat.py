@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 
@@ -101,3 +102,53 @@ def test_empty(spark):
 def test_query_equals_sql(spark, small):
     q = queries.QUERIES["op2_tool_calls"]
     assert assert_same(q.run(spark, small), q.sql, small) > 0
+
+
+def plain_levels(deps):
+    """Longest chain of each call; None on a cycle or behind one."""
+    found = {}
+    while True:
+        ready = [c for c, ds in deps.items() if c not in found and all(d in found for d in ds if d in deps)]
+        if not ready:
+            return {c: found.get(c) for c in deps}
+        for c, level in [(c, max((found[d] + 1 for d in deps[c] if d in deps), default=0)) for c in ready]:
+            found[c] = level
+
+
+def shapes():
+    """Chains, trees, diamonds, ladders, cycles and calls behind them."""
+    rng = random.Random(2)
+    out = {
+        "chain": {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(300)},
+        "ladder": {f"c{i}": [f"c{i - 1}", f"c{i - 2}"] if i > 1 else [] for i in range(40)},
+        "ring": {f"c{i}": [f"c{(i + 1) % 7}"] for i in range(7)} | {"behind": ["c3"], "free": [], "mixed": ["c1", "free"]},
+        "self": {"a": ["a"], "b": ["a"], "c": []},
+        "gone": {"a": ["x", "y"], "b": ["a", "x"]},
+    }
+    for k in range(6):
+        n = 60
+        out[f"random{k}"] = {f"c{i}": rng.sample([f"c{j}" for j in range(i)], min(i, rng.choice([0, 1, 1, 1, 2, 3]))) for i in range(n)}
+    return out
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_levels_of_all_shapes(spark, most):
+    every = shapes()
+    rows = [(k, c, d) for k, deps in enumerate(every.values()) for c, d in deps.items()]
+    got = chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>").repartition(4), most).collect()
+    assert len(got) == len(rows)
+    have = {(r.conv_id, r.call_id): (r.level, r.missing) for r in got}
+    for k, deps in enumerate(every.values()):
+        want = plain_levels(deps)
+        for c, ds in deps.items():
+            assert have[k, c] == (want[c], len(set(ds) - deps.keys())), (k, c)
+
+
+def test_a_chain_of_5000_takes_few_rounds(spark, monkeypatch):
+    writes = []
+    monkeypatch.setattr(chat, "stored", lambda df, name, real=chat.stored: writes.append(name) or real(df, name))
+    rows = [(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(5000)]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>").repartition(4)
+    got = {r.call_id: r.level for r in chat.levels(calls, 100).collect()}
+    assert got == {f"c{i}": i for i in range(5000)}
+    assert writes.count("ready") <= 15
