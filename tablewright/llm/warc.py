@@ -7,29 +7,35 @@ transaction through that identifier to one nested row per capture, and a revisit
 the response it refers to.
 
 Archives are written by Spark's text writer, one row a record, with the record end as
-the line separator, and read by its text reader, which splits large files between
-tasks. Each archive has a boundary of its own, a random token in the first header
-field of each record, and a record ends where the next boundary starts; so a payload
-that looks like a record, or holds blank lines, does no harm. Lengths and digests of
-what was read are checked against the headers.
+the line separator, compressed by file, RECORDS_IN_FILE at most in each. They are read by
+its text reader, cut at the version line that starts a record; a task goes through its
+pieces in order and puts those together that Content-Length says belong to one record, so
+a payload that holds a version line, a record or blank lines does no harm. Any WARC file
+can be read so, also one of many gzip members. Lengths and digests are taken while reading;
+the joins work on the identifiers, and payloads are kept only where they are asked for.
 
-Texts are shuffled once, to meet their page's role. Which page is the response of a
-payload is found from digests alone.
+Which page is the response of a payload is found from digests alone. Only the texts of
+responses are shuffled, once; a revisit has no text.
 
 Defined cases: a null html is an empty payload; payloads under 100 bytes are always
 responses; rows that repeat a page_id with the same payload are numbered, the first
 one is the response and the others revisit it; a null url has no target field; a null
-page_id is kept and sorts first; an empty table gives an empty archive and an empty
-result; other columns are not written.
+page_id is kept and comes after all others; an empty table gives an empty archive and an
+empty result; other columns are not written. A record that ends before its length is there
+is read as not ``whole``. An uncompressed file may be split between tasks; there a record
+with a version line in its payload at the border of two tasks is not whole either.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablewright.llm.common import bloom_filtered_joins, stored
 from tablewright.session import new_path
 
 VERSION = "WARC/1.1"
@@ -37,7 +43,12 @@ END = "\r\n\r\n"
 LEAST_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string"
+RECORDS_IN_FILE = 100_000
+LAST_PAGE = (1 << 63) - 1
+RECORD = (
+    "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, stated_digest string,"
+    " block string, payload string, payload_bytes long, payload_digest string, whole boolean"
+)
 
 
 def _urn(*parts) -> Column:
@@ -52,7 +63,7 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
 
 
-def _record(boundary: str, kind: Column, record_id: Column, block: Column, content_type: Column, **fields) -> Column:
+def _record(kind: Column, record_id: Column, block: Column, content_type: Column, **fields) -> Column:
     names = {
         "concurrent": "WARC-Concurrent-To",
         "refers": "WARC-Refers-To",
@@ -61,7 +72,7 @@ def _record(boundary: str, kind: Column, record_id: Column, block: Column, conte
         "profile": "WARC-Profile",
     }
     return F.concat(
-        F.lit(f"{VERSION}\r\nWARC-Boundary: {boundary}\r\n"),
+        F.lit(f"{VERSION}\r\n"),
         _field("WARC-Type", kind),
         _field("WARC-Record-ID", record_id),
         _field("WARC-Date", F.lit(DATE)),
@@ -74,111 +85,168 @@ def _record(boundary: str, kind: Column, record_id: Column, block: Column, conte
 
 
 def roles(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """``pages``' page_id, url and html with digest, ordinal and first_page.
+    """One row per page without its text: digest, ordinal, first_page and is_first.
 
-    ``first_page`` is the smallest page_id with the same payload, null for a payload
-    that is too short to be revisited; ``ordinal`` numbers equal rows of a page.
+    ``first_page`` is the smallest page with the same payload, null for a payload that is
+    too short to be revisited; ``ordinal`` numbers equal rows of a page. ``page`` stands for
+    the page_id, the last one for null; ``short`` is the text of a short payload.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(
-        F.col("page_id").cast("long"),
-        F.col("url"),
-        html.alias("html"),
-        F.sha2(html.cast("binary"), 256).alias("digest"),
-        F.octet_length(html).cast("long").alias("payload_bytes"),
-    )
-    ids = rows.where(F.col("payload_bytes") >= least).select("page_id", "digest")
-    # one row per page and payload, without its text
-    firsts = ids.groupBy("digest").agg(F.min("page_id").alias("first_page"))
-    known = (
-        ids.distinct()
-        .join(firsts.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d"))
-        .select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first_page", F.lit(True).alias("long"))
+    size = F.octet_length(html).cast("long")
+    rows = stored(
+        pages.select(
+            F.col("page_id").cast("long"),
+            F.coalesce(F.col("page_id").cast("long"), F.lit(LAST_PAGE)).alias("page"),
+            F.col("url"),
+            F.sha2(html.cast("binary"), 256).alias("digest"),
+            F.xxhash64(html).alias("quick"),
+            size.alias("payload_bytes"),
+            F.when(size < least, html).alias("short"),
+        ),
+        "warc-pages",
     )
-    met = rows.join(known, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
-    copies = Window.partitionBy("page_id", "digest").orderBy("url")
-    return met.select(
-        "page_id", "url", "html", "digest", "payload_bytes", "first_page",
-        F.coalesce("long", F.lit(False)).alias("long"),
-        F.row_number().over(copies).alias("ordinal"),
-    )
-
-
-def write_archive(pages: DataFrame, path: str, least: int = LEAST_REVISIT, compression: str = "gzip") -> str:
-    """Write the pages' records to ``path``; the boundary is returned."""
-    boundary = uuid.uuid4().hex
-    rows = roles(pages, least)
-    is_first = ~F.col("long") | (F.col("page_id").eqNullSafe(F.col("first_page")) & (F.col("ordinal") == 1))
-    own = _urn(F.col("page_id"), F.col("digest"), F.col("ordinal"), F.lit("capture"))
-    first = _urn(F.col("first_page"), F.col("digest"), F.lit(1), F.lit("capture"))
+    spans = rows.where("short IS NULL").groupBy("digest").agg(F.min("page").alias("first_page"), F.count(F.lit(1)).alias("n"))
+    shared = stored(spans.where("n > 1").select(F.col("digest").alias("d"), "first_page"), "warc-shared")
+    copies = Window.partitionBy("page", "digest").orderBy("url")
+    placed = rows.join(shared, F.col("digest") == F.col("d"), "left").drop("d").withColumn("ordinal", F.row_number().over(copies))
+    first = F.col("short").isNotNull() | (F.coalesce("first_page", "page") == F.col("page")) & (F.col("ordinal") == 1)
+    return placed.withColumn("is_first", first)
+
+
+def write_archive(pages: DataFrame, path: str, least: int = LEAST_REVISIT, compression: str = "gzip") -> None:
+    """Write the pages' records to ``path``."""
+    rows = stored(roles(pages, least), "warc-roles")
+    page_id = F.col("page_id")
+    own = _urn(page_id, F.col("digest"), F.col("ordinal"), F.lit("capture"))
+    first_id = F.nullif(F.coalesce("first_page", "page"), F.lit(LAST_PAGE))
+    first = _urn(first_id, F.col("digest"), F.lit(1), F.lit("capture"))
     target = F.regexp_replace("url", r"[\x00-\x20\x7F]", "_")
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"),
         _field("Content-Length", F.col("payload_bytes")),
         F.lit("\r\n"),
     )
-    capture = F.when(
-        is_first,
-        _record(
-            boundary, F.lit("response"), own, F.concat(http, "html"),
-            F.lit("application/http;msgtype=response"), target=target,
-            digest=F.concat(F.lit("sha256:"), "digest"),
-        ),
-    ).otherwise(
-        _record(
-            boundary, F.lit("revisit"), own, http, F.lit("application/http;msgtype=response"),
-            refers=first, target=target, digest=F.concat(F.lit("sha256:"), "digest"), profile=F.lit(PROFILE),
+    digest = F.concat(F.lit("sha256:"), "digest")
+
+    def response(text: str) -> Column:
+        return _record(
+            F.lit("response"), own, F.concat(http, text), F.lit("application/http;msgtype=response"), target=target, digest=digest
         )
+
+    revisit = _record(
+        F.lit("revisit"), own, http, F.lit("application/http;msgtype=response"),
+        refers=first, target=target, digest=digest, profile=F.lit(PROFILE),
     )
     ask = F.concat(F.lit("GET "), F.coalesce(target, F.lit("/")), F.lit(" HTTP/1.1\r\nAccept: text/html\r\n\r\n"))
     about = F.concat(_field("page", F.to_json(F.struct("page_id", "url"))))
     request = _record(
-        boundary, F.lit("request"), _urn(own, F.lit("request")), ask,
-        F.lit("application/http;msgtype=request"), concurrent=own, target=target,
-    )
+        F.lit("request"), _urn(own, F.lit("request")), ask, F.lit("application/http;msgtype=request"), concurrent=own, target=target
+    )
     metadata = _record(
-        boundary, F.lit("metadata"), _urn(own, F.lit("metadata")), about,
-        F.lit("application/warc-fields"), concurrent=own, target=target,
-    )
-    (
-        rows.select(F.explode(F.array(capture, request, metadata)).alias("value"))
-        .write.option("lineSep", END)
-        .option("compression", compression)
-        .text(path)
+        F.lit("metadata"), _urn(own, F.lit("metadata")), about, F.lit("application/warc-fields"), concurrent=own, target=target
     )
-    return boundary
+    long = F.col("is_first") & (F.col("payload_bytes") >= least)
+    narrow = F.when(F.col("short").isNotNull(), response("short")).when(~F.col("is_first"), revisit)
+    others = rows.select(F.explode(F.array_compact(F.array(narrow, request, metadata))).alias("value"))
+    html = F.coalesce(F.col("html"), F.lit(""))
+    texts = pages.select(
+        F.coalesce(F.col("page_id").cast("long"), F.lit(LAST_PAGE)).alias("p"), F.xxhash64(html).alias("q"), html.alias("html")
+    ).where(F.octet_length("html") >= least)
+    # rows that repeat a page and its text meet the same response
+    met = rows.where(long).join(texts, (F.col("page") == F.col("p")) & (F.col("quick") == F.col("q"))).dropDuplicates(["page", "quick", "digest"])
+    with bloom_filtered_joins(pages.sparkSession):
+        (
+            met.select(response("html").alias("value"))
+            .unionByName(others)
+            .write.option("lineSep", END)
+            .option("compression", compression)
+            .option("maxRecordsPerFile", RECORDS_IN_FILE)
+            .text(path)
+        )
 
 
-def _header(name: str) -> Column:
-    found = F.regexp_extract("head", rf"(?i)(?:^|\r\n){name}: ?([^\r\n]*)", 1)
-    return F.when(found != "", found)
+def _parsed(record: bytes) -> tuple[dict[str, str], bytes, int] | None:
+    """(fields, block as far as it is there, its length) of what follows a version line."""
+    head, found, block = record.partition(b"\r\n\r\n")
+    if not found:
+        return None
+    fields: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").split("\r\n"):
+        name, colon, value = line.partition(":")
+        if colon:
+            fields.setdefault(name.strip().lower(), value.strip())
+    length = fields.get("content-length", "")
+    return (fields, block, int(length)) if length.isascii() and length.isdigit() else None
+
+
+def _row(fields: dict[str, str], block: bytes, length: int, payloads: bool) -> dict:
+    kind = fields.get("warc-type")
+    held = kind in ("response", "resource")
+    payload = None
+    if held:
+        # a response's block is an HTTP message, if it says so
+        is_http = kind == "response" and fields.get("content-type", "application/http").startswith("application/http")
+        payload = block[:length].partition(b"\r\n\r\n")[2] if is_http else block[:length]
+    return {
+        "record_id": fields.get("warc-record-id"),
+        "record_type": kind,
+        "concurrent_to": fields.get("warc-concurrent-to"),
+        "refers_to": fields.get("warc-refers-to"),
+        "target_uri": fields.get("warc-target-uri"),
+        "stated_digest": fields["warc-payload-digest"].removeprefix("sha256:") if "warc-payload-digest" in fields else None,
+        "block": None if held else block[:length].decode("utf-8", "replace"),
+        "payload": payload.decode("utf-8", "replace") if held and payloads else None,
+        "payload_bytes": len(payload) if held else None,
+        "payload_digest": hashlib.sha256(payload).hexdigest() if held else None,
+        "whole": len(block) >= length,
+    }
 
 
-def read_archive(spark: SparkSession, path: str, boundary: str) -> DataFrame:
-    """One row per record: its header fields, its block, and whether its length is right."""
-    start = f"{VERSION}\r\nWARC-Boundary: {boundary}\r\n"
-    texts = spark.read.schema("value string").option("lineSep", start).text(path)
-    # the record end belongs to no block
-    body = F.expr(f"substring(value, 1, length(value) - {len(END)})")
-    split = texts.where("value != ''").select(body.alias("value")).select(
-        F.substring_index("value", END, 1).alias("head"), "value"
-    )
-    block = F.expr(f"substring(value, length(head) + {len(END) + 1})")
-    return split.select(
-        _header("WARC-Record-ID").alias("record_id"),
-        _header("WARC-Type").alias("record_type"),
-        _header("WARC-Concurrent-To").alias("concurrent_to"),
-        _header("WARC-Refers-To").alias("refers_to"),
-        _header("WARC-Target-URI").alias("target_uri"),
-        F.regexp_replace(_header("WARC-Payload-Digest"), "^sha256:", "").alias("stated_digest"),
-        block.alias("block"),
-        (F.octet_length(block) == _header("Content-Length").cast("long")).alias("whole"),
+def _framed(version: bytes, payloads: bool):
+    """Records from pieces between version lines, in the order of their file."""
+    kinds = pa.schema(
+        [(name, {"long": pa.int64(), "boolean": pa.bool_()}.get(kind, pa.string())) for name, kind in (x.split() for x in RECORD.split(", "))]
     )
 
-
-def payload(block: Column) -> Column:
-    """What follows the HTTP header."""
-    return F.substring(block, F.instr(block, F.lit(END)) + len(END), F.length(block))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: bytes | None = None  # a record that its length says goes on
+        source = None
+        for batch in batches:
+            rows = []
+            for piece, file in zip(batch.column("value"), batch.column("file"), strict=True):
+                piece, file = piece.as_py(), file.as_py()
+                if open_ is not None and file != source:
+                    rows.append(_row(*_parsed(open_), payloads))
+                    open_ = None
+                source = file
+                record = piece if open_ is None else open_ + version + piece
+                found = _parsed(record)
+                if found is None:
+                    continue  # what stands before the first version line
+                if len(found[1]) < found[2]:
+                    open_ = record
+                    continue
+                open_ = None
+                rows.append(_row(*found, payloads))
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+        if open_ is not None:
+            yield pa.RecordBatch.from_pylist([_row(*_parsed(open_), payloads)], schema=kinds)
+
+    return read
+
+
+def read_archive(spark: SparkSession, path: str, payloads: bool = True, version: str = VERSION) -> DataFrame:
+    """One row per record of WARC files of one version: fields, block, payload, length and digest.
+
+    The payload is that of a response or resource, its block of any other kind is ``block``.
+    ``payload`` is text, with a mark for bytes that are no UTF-8; length and digest are
+    those of the bytes. Without ``payloads`` it stays null.
+    """
+    start = f"{version}\r\n"
+    pieces = spark.read.schema("value string").option("lineSep", start).text(path)
+    raw = pieces.select(F.col("value").cast("binary").alias("value"), F.input_file_name().alias("file"))
+    return raw.mapInArrow(_framed(start.encode("ascii"), payloads), RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -187,19 +255,9 @@ def assemble(records: DataFrame) -> DataFrame:
     ``referred`` has the id, payload length and digest of the response a revisit names;
     a part that is missing is null.
     """
-    http_body = F.when(F.col("record_type").isin("response", "resource"), payload(F.col("block")))
+    parts = ["record_type", "target_uri", "refers_to", "stated_digest", "whole", "payload", "payload_bytes", "payload_digest"]
     own = records.where(F.col("record_type").isin("response", "resource", "revisit")).select(
-        "record_id",
-        F.struct(
-            "record_type",
-            "target_uri",
-            "refers_to",
-            "stated_digest",
-            "whole",
-            http_body.alias("payload"),
-            F.octet_length(http_body).cast("long").alias("payload_bytes"),
-            F.sha2(http_body.cast("binary"), 256).alias("payload_digest"),
-        ).alias("capture"),
+        "record_id", F.struct(*parts).alias("capture")
     )
 
     def of(kind: str) -> DataFrame:
@@ -228,8 +286,8 @@ def captures(pages: DataFrame) -> DataFrame:
     """Write the pages' archive, read it back and give one row per page."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    boundary = write_archive(pages, path)
-    nested = assemble(read_archive(spark, path, boundary))
+    write_archive(pages, path)
+    nested = assemble(stored(read_archive(spark, path, payloads=False), "warc-records"))
     about = F.from_json(F.regexp_extract("metadata.block", r"page: (\{.*\})", 1), "page_id long, url string")
     rows = nested.select(
         "record_id",

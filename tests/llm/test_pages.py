@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import time
 
 import pytest
 
@@ -101,8 +103,8 @@ def test_archive_round_trip(spark):
 
 def test_transactions_are_whole(spark, tmp_path):
     path = str(tmp_path / "a")
-    boundary = warc.write_archive(pages(spark), path)
-    records = warc.read_archive(spark, path, boundary)
+    warc.write_archive(pages(spark), path)
+    records = warc.read_archive(spark, path)
     assert records.count() == 36
     assert records.where("NOT whole").count() == 0
     nested = warc.assemble(records)
@@ -114,6 +116,45 @@ def test_transactions_are_whole(spark, tmp_path):
     assert warc.assemble(lone).where("request IS NULL").count() == 12
 
 
+def other_archive(version="WARC/1.0"):
+    """Records of another writer: gzip members, lower-case names, payloads that look like records."""
+    inner = f"{version}\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n".encode()
+    payloads = [b"<p>one</p>", inner + b"tail", b"", bytes(range(256)) * 3, inner * 3]
+    out, members = [], []
+    for i, p in enumerate(payloads):
+        block = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + p
+        head = f"{version}\r\nwarc-type: response\r\nWARC-Record-ID: <urn:{i}>\r\ncontent-length:{len(block)}\r\n\r\n".encode()
+        members.append(gzip.compress(head + block + b"\r\n\r\n"))
+        out.append(p)
+    info = f"{version}\r\nWARC-Type: warcinfo\r\nContent-Length: 8\r\n\r\nsoftware\r\n\r\n".encode()
+    return gzip.compress(info) + b"".join(members), out
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    data, payloads = other_archive()
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+    rows = warc.read_archive(spark, str(tmp_path), version="WARC/1.0").collect()
+    assert len(rows) == 2 * (len(payloads) + 1) and all(r.whole for r in rows)
+    for i, p in enumerate(payloads):
+        own = [r for r in rows if r.record_id == f"<urn:{i}>"]
+        assert len(own) == 2
+        assert {(r.payload_bytes, r.payload_digest) for r in own} == {(len(p), hashlib.sha256(p).hexdigest())}
+        assert {r.payload for r in own} == {p.decode("utf-8", "replace")}
+    assert {r.block for r in rows if r.record_type == "warcinfo"} == {"software"}
+    narrow = warc.read_archive(spark, str(tmp_path), payloads=False, version="WARC/1.0")
+    assert narrow.where("payload IS NOT NULL").count() == 0 and narrow.where("payload_digest IS NOT NULL").count() == 10
+
+
+def test_records_cut_short(spark, tmp_path):
+    whole = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <a>\r\nContent-Length: 4\r\n\r\nfour\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(whole + whole.replace(b"Length: 4", b"Length: 400").replace(b"<a>", b"<b>")))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(whole.replace(b"<a>", b"<c>")))
+    rows = {r.record_id: r for r in warc.read_archive(spark, str(tmp_path)).coalesce(1).collect()}
+    assert {k: (r.whole, r.payload) for k, r in rows.items() if k != "<b>"} == {"<a>": (True, "four"), "<c>": (True, "four")}
+    assert not rows["<b>"].whole and rows["<b>"].payload.startswith("four")
+
+
 def test_warc_query_equals_sql(spark, small):
     q = queries.QUERIES["op5_warc"]
     assert assert_same(q.run(spark, small), q.sql, small) > 0
@@ -147,3 +188,28 @@ def test_a_headline_in_an_entry_header_stays():
 def test_long_comments_beside_an_article_go():
     comment = "<p>A comment, as long as it can be, and on and on, with words.</p>" * 6
     assert html.main_text(f"<article>{ARTICLE}</article><div class='comments'>{comment}</div>") == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<b>x", "<div>", "</div>", "<p>", "<div><p>x", "<td>", "<a href='", "<li><b>", "<!--", "<b></a>"])
+def test_a_megabyte_of_open_tags_takes_linear_time(piece):
+    page = "<div>" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><div class='wrap'><header class='entry-header'><h1>Headline</h1></header><div class='entry-content'>{}</div></div></body>", "Headline\n{}"),
+        ("<body><article><div class='promo-lead'>The lead, of one sentence.</div>{}</article></body>", "The lead, of one sentence.\n{}"),
+        ("<body><article>{}</article><div id='discussion'><p>I, a reader, say this, at length.</p><p>And I, another, say that.</p></div></body>", "{}"),
+    ],
+)
+def test_parts_of_the_article_and_what_is_beside_it(page, text):
+    assert html.main_text(page.format(ARTICLE)) == text.format(ARTICLE_TEXT)
+
+
+def test_blocks_keep_their_paths_at_any_depth():
+    deep = "<div>" * 300 + ARTICLE + "</div>" * 300 + "<p class='x'>no</p>"
+    assert html.main_text(deep) == ARTICLE_TEXT
