@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import number
 
-PARTIAL = "i int, j int, n long, si double, sj double, qi double, qj double, p double"
+PARTIAL = "a string, b string, n long, sa double, sb double, qa double, qb double, p double"
 
 
-def _multiplied(shift: list[float]):
+def _multiplied(names: list[str], shift: list[float], whole: bool):
     """Per task the sums over rows where both columns of a pair are known."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,6 +31,8 @@ def _multiplied(shift: list[float]):
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - np.array(shift)
             known = ~np.isnan(x)
+            if whole:
+                x, known = x[known.all(axis=1)], known[known.all(axis=1)]
             x = np.where(known, x, 0.0)
             mask = known.astype(float)
             n += mask.T @ mask
@@ -42,22 +44,23 @@ def _multiplied(shift: list[float]):
             i, j = np.triu_indices(k)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(i.astype(np.int32)),
-                    pa.array(j.astype(np.int32)),
+                    pa.array([names[x] for x in i], pa.string()),
+                    pa.array([names[x] for x in j], pa.string()),
                     pa.array(n[i, j].astype(np.int64)),
                     *[pa.array(v) for v in (s[i, j], s[j, i], q[i, j], q[j, i], p[i, j])],
                 ],
-                names=["i", "j", "n", "si", "sj", "qi", "qj", "p"],
+                names=["a", "b", "n", "sa", "sb", "qa", "qb", "p"],
             )
 
     return multiply
 
 
-def gram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def gram(df: DataFrame, columns: Sequence[str], whole: bool = False) -> DataFrame:
     """(a, b, n, sa, sb, qa, qb, p): per pair of columns in their order, itself included.
 
     ``n`` counts the rows where both are known; over these are the sums of each column, of
-    its squares, and of the products, after the column's mean is taken off.
+    its squares, and of the products, after the column's mean is taken off. With ``whole``
+    only rows count where all columns are known.
     """
     columns = list(columns)
     numbers = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(columns)])
@@ -65,19 +68,8 @@ def gram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ends = numbers.agg(*[F.struct(F.avg(c).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high")) for c in numbers.columns]).first()
     means = [e["low"] if e["low"] == e["high"] else e["mean"] for e in ends]
     shift = [float(m) if m is not None and np.isfinite(m) else 0.0 for m in means]
-    partial = numbers.mapInArrow(_multiplied(shift), PARTIAL)
-    sums = partial.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "qi", "qj", "p")])
-    names = F.array(*[F.lit(c) for c in columns])
-    return sums.select(
-        names[F.col("i")].alias("a"),
-        names[F.col("j")].alias("b"),
-        "n",
-        F.col("si").alias("sa"),
-        F.col("sj").alias("sb"),
-        F.col("qi").alias("qa"),
-        F.col("qj").alias("qb"),
-        "p",
-    )
+    partial = numbers.mapInArrow(_multiplied(columns, shift, whole), PARTIAL)
+    return partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")])
 
 
 def covariance(of: str = "p", a: str = "sa", b: str = "sb") -> Column:
@@ -92,11 +84,6 @@ def correlation() -> Column:
     return F.when(spread > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
-def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The rows where every column is known, as doubles."""
-    return df.select(*[number(c).alias(c) for c in columns]).dropna()
-
-
 def _inflation(cap: float):
     def invert(pdf: pd.DataFrame) -> pd.DataFrame:
         names = list(dict.fromkeys([*pdf["a"], *pdf["b"]]))

@@ -22,7 +22,7 @@ from tablewright.functions.columns import (
 )
 from tablewright.functions.ordered import carry
 from tablewright.functions.quantiles import quantile_row
-from tablewright.operators.validate import duplicate_rows
+from tablewright.operators.validate import digest, duplicate_rows
 
 
 def audit(df: DataFrame, action: str, changes: dict[str, Column]) -> DataFrame:
@@ -94,21 +94,19 @@ def _match_shares(df: DataFrame, columns: Sequence[str], match: Callable[[Column
 
 
 def infer_cast_datetime(df: DataFrame, min_share: float = 0.5) -> DataFrame:
-    """Text columns that look like dates become timestamps; what does not parse is null."""
+    """Text columns that look like dates become timestamps; what does not parse is kept in ``<column>_unparsed``."""
     shares = _match_shares(df, string_columns(df), lambda c: c.rlike(text.ISO_OR_DAY_FIRST))
-    casts = {c: text.as_timestamp(ref(c)) for c, s in shares.items() if s > min_share}
-    return df.withColumns(casts) if casts else df
+    return _parsed(df, [c for c, s in shares.items() if s > min_share], text.as_timestamp)
 
 
 def infer_cast_numeric(df: DataFrame, min_share: float = 0.75) -> DataFrame:
-    """Text columns of numbers with $, % or commas become doubles."""
+    """Text columns of numbers with $, % or commas become doubles; other text is kept in ``<column>_unparsed``."""
 
     def bare(c: Column) -> Column:
         return text.tidy_spaces(F.regexp_replace(c, "[$%,]", ""))
 
     shares = _match_shares(df, string_columns(df), lambda c: bare(c).rlike(text.SIGNED_NUMBER))
-    casts = {c: text.guarded_double(bare(ref(c))) for c, s in shares.items() if s > min_share}
-    return df.withColumns(casts) if casts else df
+    return _parsed(df, [c for c, s in shares.items() if s > min_share], lambda c: text.guarded_double(bare(c)))
 
 
 def _known(c: str) -> Column:
@@ -188,7 +186,7 @@ def _parsed(df: DataFrame, columns: Sequence[str], parse: Callable[[Column], Col
         value = parse(ref(c))
         out[c] = value
         out[f"{c}_unparsed"] = F.when(value.isNull(), ref(c))
-    return df.withColumns(out)
+    return df.withColumns(out) if out else df
 
 
 def normalize_boolean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -325,11 +323,17 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _case_variants(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, affected): texts that another text equals but for case and outer blanks."""
-    filled = long_values(df, columns).where(text.tidy_spaces(F.col("value")) != "")
-    key = F.lower(text.tidy_spaces(F.col("value")))
-    folded = filled.groupBy("column", key.alias("key")).agg((F.min("value") != F.max("value")).alias("varied"))
-    return folded.groupBy("column").agg(count_if(F.col("varied")).alias("affected"))
+    """(column, affected): texts that another text equals but for case and outer blanks. Digests stand for the texts."""
+    folded = [text.blank_to_null(ref(c)) for c in columns]
+    sides = [
+        F.struct(
+            F.lit(c).alias("column"), digest(F.lower(text.tidy_spaces(there))).alias("key"), digest(there).alias("value")
+        )
+        for c, there in zip(columns, folded, strict=True)
+    ]
+    long = df.select(F.inline(F.array(*sides))).where("key IS NOT NULL")
+    varied = long.groupBy("column", "key").agg((F.min("value") != F.max("value")).alias("varied"))
+    return varied.groupBy("column").agg(count_if(F.col("varied")).alias("affected"))
 
 
 def detect_cleaning_issues(df: DataFrame) -> DataFrame:
@@ -340,31 +344,38 @@ def detect_cleaning_issues(df: DataFrame) -> DataFrame:
     """
     texts, numbers = string_columns(df), numeric_columns(df)
     none = F.lit(0).cast("long")
+    at = {c: i for i, c in enumerate(df.columns)}
+    # each reading of a value is a column below the counts, so that no count writes it out again
+    there = {c: text.blank_to_null(ref(c)) if c in texts else ref(c) for c in df.columns}
+    first = df.select(
+        *[there[c].alias(f"there{i}") for c, i in at.items()],
+        *[ref(c).alias(f"own{at[c]}") for c in texts],
+        *[text.tidy_spaces(ref(c)).alias(f"tidy{at[c]}") for c in texts],
+    )
+    read = first.select("*", *[conversion_kind(F.col(f"there{at[c]}")).alias(f"kind{at[c]}") for c in texts])
 
     def of(c: str) -> Column:
-        x = ref(c)
-        is_text = c in texts
-        there = text.blank_to_null(x) if is_text else x
-        kind = conversion_kind(there) if is_text else None
+        value, is_text = F.col(f"there{at[c]}"), c in texts
+        own, tidy, kind = (F.col(f"{k}{at[c]}") if is_text else None for k in ("own", "tidy", "kind"))
         phone = (
-            there.rlike(r"^[\s+()\d.-]+$")
-            & F.length(F.regexp_replace(there, "[^0-9]", "")).between(7, 15)
-            & (text.as_phone(there) != there)
+            value.rlike(r"^[\s+()\d.-]+$")
+            & F.length(F.regexp_replace(value, "[^0-9]", "")).between(7, 15)
+            & (text.as_phone(value) != value)
             & kind.isNull()
         ) if is_text else None
         return F.struct(
             F.lit(c).alias("column"),
             F.count(F.lit(1)).alias("rows"),
-            count_if(there.isNull()).alias("missing"),
-            (F.count(there) if is_text else none).alias("present"),
-            (count_if(x != text.tidy_spaces(x)) if is_text else none).alias("padded"),
-            (count_if(x.isNotNull() & there.isNull()) if is_text else none).alias("empty"),
+            count_if(value.isNull()).alias("missing"),
+            (F.count(value) if is_text else none).alias("present"),
+            (count_if(own != tidy) if is_text else none).alias("padded"),
+            (count_if(own.isNotNull() & value.isNull()) if is_text else none).alias("empty"),
             (count_if(kind.isNotNull()) if is_text else none).alias("fit"),
-            (count_if(there.contains("@") & text.as_email(there).isNull()) if is_text else none).alias("bad_mail"),
+            (count_if(value.contains("@") & text.as_email(value).isNull()) if is_text else none).alias("bad_mail"),
             (count_if(phone) if is_text else none).alias("phone"),
         )
 
-    counts = df.agg(F.array(*[of(c) for c in df.columns]).alias("rows")).select(F.inline("rows"))
+    counts = read.agg(F.array(*[of(c) for c in df.columns]).alias("rows")).select(F.inline("rows"))
     found = F.array(
         F.struct(
             F.lit("nulls").alias("kind"), F.lit("warning").alias("severity"), F.lit("missingness_indicator").alias("action"),

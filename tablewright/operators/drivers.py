@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.columns import distinct_counts, number, numeric_columns, ref, share, with_scalar
+from tablewright.functions.columns import number, numeric_columns, ref, share, with_scalar
 from tablewright.functions.gram import correlation, gram
 from tablewright.functions.quantiles import quantile_row
+from tablewright.operators.keys import column_facts
 from tablewright.operators.segments import segment_breakdown
 from tablewright.session import stored
 
@@ -44,8 +45,8 @@ def _text(c: str) -> Column:
 
 def _fitting(df: DataFrame, dimensions: Sequence[str], low: int, high: int) -> list[str]:
     """The dimensions whose distinct values are within the bounds, in their order."""
-    counts = {r["column"]: r["distinct"] for r in distinct_counts(df, list(dimensions)).collect()}  # one row each
-    return [d for d in dimensions if low <= counts.get(d, 0) <= high]
+    facts = column_facts(df, list(dimensions))
+    return [d for d in dimensions if low <= facts[d][0] <= high]
 
 
 def root_cause_drilldown(df: DataFrame, measure: str, dimensions: Sequence[str], observed: float) -> DataFrame:
@@ -63,9 +64,9 @@ def root_cause_drilldown(df: DataFrame, measure: str, dimensions: Sequence[str],
         " contribution double, rank int, top boolean"
     )
     wide = [d for d in dimensions if d != measure]
-    counts = {r["column"]: r["distinct"] for r in distinct_counts(df, wide).collect()} if wide else {}  # one row each
-    first = [d for d in wide if DIMENSION_VALUES[0] <= counts.get(d, 0) <= DIMENSION_VALUES[1]][:DIMENSIONS]
-    small = [d for d in wide if CHILD_VALUES[0] <= counts.get(d, 0) <= CHILD_VALUES[1]]
+    counts = {c: n for c, (n, _) in column_facts(df, wide).items()} if wide else {}
+    first = [d for d in wide if DIMENSION_VALUES[0] <= counts[d] <= DIMENSION_VALUES[1]][:DIMENSIONS]
+    small = [d for d in wide if CHILD_VALUES[0] <= counts[d] <= CHILD_VALUES[1]]
     if not first:
         return df.sparkSession.createDataFrame([], schema)
     stats = df.agg(F.avg(number(measure)).alias("mean"), F.count(number(measure)).alias("known"))
@@ -331,7 +332,7 @@ def feature_importance(df: DataFrame, target: str, features: Sequence[str]) -> D
         return spark.createDataFrame([], "feature string, importance double, rank int")
     numeric = [f for f in features if f in set(numeric_columns(df))]
     texts = [f for f in features if f not in numeric]
-    counts = {r["column"]: r["distinct"] for r in distinct_counts(rows, texts).collect()} if texts else {}  # one row each
+    counts = {c: n for c, (n, _) in column_facts(rows, texts).items()} if texts else {}
     means = rows.agg(F.lit(0).alias("none"), *[F.avg(number(f)).alias(f) for f in numeric]).first()
     columns = [F.coalesce(number(f), F.lit(float(means[f] or 0.0))).alias(f"x{features.index(f)}") for f in numeric]
     for f in texts:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import ref, share, string_columns, value_counts
 from tablewright.functions.components import components
-from tablewright.operators.validate import digest
+from tablewright.operators.validate import row_keys
 from tablewright.session import stored
 
 # How alike spellings are, and the columns that are searched.
@@ -90,10 +90,9 @@ def duplicate_report(df: DataFrame, keys: Sequence[str] = (), dimensions: Sequen
     with all their rows. Kinds without a find have no row.
     """
     total = df.agg(F.count(F.lit(1))).scalar()
-    texts = set(string_columns(df))
 
     def repeated(kind: str, columns: Sequence[str], risk: str) -> DataFrame:
-        parts = [(digest(ref(c)) if c in texts else ref(c)).alias(f"_{i}") for i, c in enumerate(columns)]
+        parts = row_keys(df, columns)
         same = df.select(*parts).groupBy(*[f"_{i}" for i in range(len(parts))]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         found = same.agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("n") - 1).alias("affected")).where("affected > 0")
         name = F.lit(columns[0] if kind == "keys" and len(columns) == 1 else None).cast("string")

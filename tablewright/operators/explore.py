@@ -12,26 +12,45 @@ from pyspark.sql import types as T
 from tablewright.functions.columns import (
     count_if,
     distinct_counts,
+    long_values,
     number,
     numeric_columns,
     per_column,
     ref,
     share,
+    string_columns,
     value_counts,
 )
-from tablewright.functions.gram import complete, correlation, covariance, gram
+from tablewright.functions.gram import correlation, covariance, gram
 from tablewright.functions.text import blank_to_null, guarded_double
+from tablewright.operators.validate import digest
+from tablewright.session import stored
 
 DOMINANT_SHARE = 0.40
 STRONG, MODERATE = 0.7, 0.4
 
 
 def frequency_table(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
-    """The ``k`` most frequent values per column with their share of all rows."""
-    counts = value_counts(df, columns)
+    """The ``k`` most frequent values per column with their share of all rows.
+
+    Texts are counted by digest; only those that can be shown are looked up.
+    """
+    texts = [c for c in columns if c in set(string_columns(df))]
+    keyed = df.select(*[(digest(ref(c)) if c in texts else ref(c).cast("string")).alias(c) for c in columns])
+    counts = value_counts(keyed, columns)
+    # values as frequent as the k-th one are still among them
+    frequent = counts.withColumn("place", F.rank().over(Window.partitionBy("column").orderBy(F.col("n").desc())))
+    lead = stored(frequent.where(F.col("place") <= k).drop("place"), "frequent-values")
+    if texts:
+        spelled = long_values(df, texts).select(F.col("column").alias("c"), digest(F.col("value")).alias("d"), F.col("value").alias("text"))
+        shown = lead.select("column", "value").join(spelled, (F.col("column") == F.col("c")) & (F.col("value") == F.col("d")))
+        words = shown.groupBy("c", "d").agg(F.min("text").alias("text"))
+        lead = lead.join(words, (F.col("column") == F.col("c")) & (F.col("value") == F.col("d")), "left").select(
+            "column", F.coalesce("text", "value").alias("value"), "n"
+        )
     best = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc())
     rows = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
-    top = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    top = lead.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     shares = top.withColumn("share", share(F.col("n"), rows))
     return shares.withColumn("dominant", (F.col("rank") == 1) & (F.col("share") > DOMINANT_SHARE))
 
@@ -67,7 +86,7 @@ def covariance_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     columns = list(columns or numeric_columns(df))
     if not columns:
         return df.sparkSession.createDataFrame([], "a string, b string, covariance double")
-    pairs = gram(complete(df, columns), columns)
+    pairs = gram(df, columns, whole=True)
     return pairs.select("a", "b", F.try_divide(covariance(), F.col("n") - 1).alias("covariance"))
 
 
@@ -210,7 +229,9 @@ def kpi_aggregate(df: DataFrame, catalog: Sequence[dict]) -> DataFrame:
     out = df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
     if ids:
         columns = sorted({e["column"] for e in ids})
-        filled = df.select(*[_filled(df, c).alias(c) for c in columns])
+        # digests stand for texts where only their number counts
+        texts = set(string_columns(df))
+        filled = df.select(*[(digest(_filled(df, c)) if c in texts else _filled(df, c)).alias(c) for c in columns])
         counts = {
             e["name"]: distinct_counts(filled, [e["column"]]).agg(F.coalesce(F.max("distinct"), F.lit(0)).cast("double")).scalar()
             for e in ids

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import distributions as dist
 from tablewright.functions.columns import number, ref, with_scalar
-from tablewright.functions.gram import complete, correlation, gram, inflation
+from tablewright.functions.gram import correlation, gram, inflation
 from tablewright.functions.ordered import average_ranks, cumulative_counts
 from tablewright.operators.explore import strength
 from tablewright.operators.segments import anova_f, group_moments, kruskal_h, welch_t
@@ -37,7 +37,7 @@ def vif(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     if len(columns) < 2:
         return names.withColumn("vif", F.lit(1.0))
-    pairs = gram(complete(df, columns), columns).where("a <> b AND n >= 5")
+    pairs = gram(df, columns, whole=True).where("a <> b AND n >= 5")
     known = pairs.select("a", "b", correlation().alias("r")).where("r IS NOT NULL AND NOT isnan(r)")
     found = inflation(known, VIF_CAP).withColumnRenamed("column", "c")
     return names.join(F.broadcast(found), F.col("column") == F.col("c"), "left").select(
@@ -118,8 +118,14 @@ def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return df.select(F.inline(F.array(*rows))).where("x IS NOT NULL AND y IS NOT NULL")
 
 
+def coefficient(x: Column, y: Column) -> Column:
+    """Pearson's coefficient of a group, null without spread; a perfect one is 1 or -1 exactly."""
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(F.abs(r) >= 1 - 1e-14, F.signum(r)).otherwise(r)
+
+
 def _pearson(long: DataFrame) -> DataFrame:
-    return long.groupBy("pair").agg(F.corr("x", "y").alias("pearson"))
+    return long.groupBy("pair").agg(coefficient(F.col("x"), F.col("y")).alias("pearson"))
 
 
 def _spearman(long: DataFrame) -> DataFrame:
@@ -268,7 +274,7 @@ def linear_trend_test(buckets: DataFrame, keys: Sequence[str] = (), value: str =
         F.count(F.lit(1)).alias("n"),
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),
-        F.corr(x, y).alias("r"),
+        coefficient(x, y).alias("r"),
         (F.min(y) < F.max(y)).alias("varies"),
     )
     fit = F.col("n") >= least

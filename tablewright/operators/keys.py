@@ -40,23 +40,40 @@ def primary_key(df: DataFrame) -> DataFrame:
     return candidates.agg(F.min_by("column", F.struct("p", "at")).alias("column")).where("column IS NOT NULL")
 
 
+def column_facts(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int]]:
+    """column -> (distinct, present): a row per column."""
+    counts = value_counts(_keyed(df.select(*[ref(c) for c in columns])), columns).groupBy("column").agg(
+        F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("present")
+    )
+    found = {r["column"]: (r["distinct"], r["present"]) for r in counts.collect()}
+    return {c: found.get(c, (0, 0)) for c in columns}
+
+
 def composite_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b): pairs of the named columns that are unique together and hold no nulls.
 
-    All pairs are counted in one pass over the rows, each row sending one digest per pair.
+    A pair can only be unique if its columns have enough distinct values for all rows, and
+    is if one of them is unique by itself; only the others are counted, in one pass over the
+    rows, each row sending one digest per such pair.
     """
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    pairs = list(combinations(columns, 2))
+    spark = df.sparkSession
+    facts, rows = column_facts(df, columns), df.count()
+    whole = [c for c in columns if facts[c][1] == rows and rows]
+    pairs = [(a, b) for a, b in combinations(whole, 2) if facts[a][0] * facts[b][0] >= rows]
+    known = [p for p in pairs if rows in (facts[p[0]][0], facts[p[1]][0])]
+    out = spark.createDataFrame(known, "a string, b string")
+    open_ = [p for p in pairs if p not in set(known)]
+    if not open_:
+        return out
 
     def key(a: str, b: str) -> Column:
-        both = ref(a).isNotNull() & ref(b).isNotNull()
-        return F.when(both, F.sha2(F.to_json(F.struct(ref(a).alias("a"), ref(b).alias("b"))).cast("binary"), 256))
+        return F.sha2(F.to_json(F.struct(ref(a).alias("a"), ref(b).alias("b"))).cast("binary"), 256)
 
-    entries = F.array(*[F.struct(F.lit(i).alias("pair"), key(a, b).alias("k")) for i, (a, b) in enumerate(pairs)])
-    sent = df.select(F.inline(entries)).where("k IS NOT NULL")
-    distinct = sent.groupBy("pair", "k").agg(F.lit(1)).groupBy("pair").agg(F.count(F.lit(1)).alias("distinct"))
-    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    return distinct.where(F.col("distinct") == rows).select(names[F.col("pair")]["a"].alias("a"), names[F.col("pair")]["b"].alias("b"))
+    entries = F.array(*[F.struct(F.lit(i).alias("pair"), key(a, b).alias("k")) for i, (a, b) in enumerate(open_)])
+    distinct = df.select(F.inline(entries)).groupBy("pair", "k").agg(F.lit(1)).groupBy("pair").agg(F.count(F.lit(1)).alias("distinct"))
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in open_])
+    counted = distinct.where(F.col("distinct") == rows)
+    return out.unionByName(counted.select(names[F.col("pair")]["a"].alias("a"), names[F.col("pair")]["b"].alias("b")))
 
 
 def foreign_key_candidates(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
@@ -77,34 +94,39 @@ def functional_dependencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(determinant, dependent): every value of the first goes with one value of the second.
 
     Determinants are neither constant nor unique, dependents not constant; null
-    determinants are left out and null dependents ignored. One grouping per determinant.
+    determinants are left out and null dependents ignored. One grouping per determinant, of
+    the dependents that have no more values than it; a determinant with nulls is held
+    against all.
     """
-    keyed = _keyed(df.select(*[ref(c) for c in columns]))
-    facts = value_counts(keyed, columns).groupBy("column").agg(
-        F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("present")
-    )
+    return _dependencies(df, columns, column_facts(df, columns))
+
+
+def _dependencies(df: DataFrame, columns: Sequence[str], facts: dict[str, tuple[int, int]]) -> DataFrame:
+    schema = "determinant string, dependent string"
+    keyed, rows = _keyed(df.select(*[ref(c) for c in columns])), df.count()
     parts = []
     for a in columns:
-        others = [b for b in columns if b != a]
+        distinct, present = facts[a]
+        others = [b for b in columns if b != a and facts[b][0] > 1 and (present < rows or facts[b][0] <= distinct)]
+        if not 1 < distinct < present or not others:
+            continue
         groups = keyed.where(ref(a).isNotNull()).groupBy(ref(a)).agg(
             *[(F.min(ref(b)) != F.max(ref(b))).alias(b) for b in others]
         )
         broken = groups.agg(*[F.count_if(ref(b)).alias(b) for b in others])
         parts.append(broken.unpivot([], [ref(b) for b in others], "dependent", "broken").withColumn("determinant", F.lit(a)))
-    tested = reduce(lambda x, y: x.unionByName(y), parts).where("broken = 0")
-    left = facts.where("distinct > 1 AND distinct < present").select(F.col("column").alias("determinant"))
-    right = facts.where("distinct > 1").select(F.col("column").alias("dependent"))
-    return tested.join(left, "determinant").join(right, "dependent").select("determinant", "dependent")
+    if not parts:
+        return df.sparkSession.createDataFrame([], schema)
+    return reduce(lambda x, y: x.unionByName(y), parts).where("broken = 0").select("determinant", "dependent")
 
 
 def hierarchies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(child, parent): dependencies whose determinant has more distinct values."""
-    facts = value_counts(_keyed(df.select(*[ref(c) for c in columns])), columns).groupBy("column").agg(
-        F.count(F.lit(1)).alias("distinct")
-    )
-    a = facts.select(F.col("column").alias("determinant"), F.col("distinct").alias("da"))
-    b = facts.select(F.col("column").alias("dependent"), F.col("distinct").alias("db"))
-    found = functional_dependencies(df, columns).join(a, "determinant").join(b, "dependent").where("da > db")
+    facts = column_facts(df, columns)
+    sizes = df.sparkSession.createDataFrame([(c, n) for c, (n, _) in facts.items()], "column string, n long")
+    a = F.broadcast(sizes.toDF("determinant", "da"))  # a row per column
+    b = F.broadcast(sizes.toDF("dependent", "db"))
+    found = _dependencies(df, columns, facts).join(a, "determinant").join(b, "dependent").where("da > db")
     return found.select(F.col("determinant").alias("child"), F.col("dependent").alias("parent"))
 
 

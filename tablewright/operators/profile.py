@@ -21,6 +21,7 @@ from tablewright.functions.columns import (
 from tablewright.functions.quantiles import exact_quantiles
 from tablewright.functions.text import as_boolean, as_email, as_timestamp, guarded_double, tidy_spaces
 from tablewright.operators.validate import digest
+from tablewright.session import stored
 
 # Limits that decide roles and labels.
 FEW_SHARE, FEW_VALUES = 0.05, 15
@@ -98,7 +99,8 @@ def extended_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         (F.col("mean") - z * F.col("std") / F.sqrt("n")).alias("ci_low"),
         (F.col("mean") + z * F.col("std") / F.sqrt("n")).alias("ci_high"),
     ).withColumn("shape", distribution_shape())
-    # the second pass counts values beyond limits that the first one gave
+    # a row per column, written so that the second pass, which counts values beyond its limits, does not compute it anew
+    shaped = stored(shaped, "shapes")
     limits = shaped.agg(
         F.map_from_entries(F.collect_list(F.struct("column", F.struct("mean", "std", "p25", "p75")))).alias("m")
     ).scalar()

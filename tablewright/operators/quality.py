@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import count_if, ref, share, string_columns, with_scalar
+from tablewright.functions.gram import correlation, gram
 from tablewright.functions.quantiles import quantile_row
 from tablewright.functions.text import guarded_double
 from tablewright.operators.clean import outside_fences
@@ -69,27 +70,30 @@ def missing_mechanism(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, null_share, strongest, mechanism): none, MNAR over half missing, MAR if the gaps go with another column, MCAR.
 
     ``strongest`` is the largest absolute correlation of the gap flag with another numeric
-    column, whose own gaps are filled by its median.
+    column, whose own gaps are filled by its median. All correlations come from the sums of
+    one pass over gap flags and filled columns.
     """
-    marked = with_scalar(df.select(*[number(c).alias(c) for c in columns]), quantile_row(df, columns, [0.5]), "_m")
-
-    def strongest(c: str) -> Column:
-        gap = ref(c).isNull().cast("double")
-        rs = [F.abs(F.corr(gap, F.coalesce(ref(o), F.col("_m.q")[o][0]))) for o in columns if o != c]
-        known = [F.when(~F.isnan(r), r) for r in rs]
-        return F.greatest(*known, F.lit(0.0)) if known else F.lit(0.0)
-
+    columns = list(columns)
+    numbers = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    marked = with_scalar(numbers, quantile_row(numbers, numbers.columns, [0.5]), "_m")
+    at = range(len(columns))
+    sides = marked.select(
+        *[F.col(f"c{i}").isNull().cast("double").alias(f"gap{i}") for i in at],
+        *[F.coalesce(F.col(f"c{i}"), F.col("_m.q")[f"c{i}"][0]).alias(f"full{i}") for i in at],
+    )
+    pairs = gram(sides, sides.columns).where("a LIKE 'gap%' AND b LIKE 'full%' AND substr(a, 4) <> substr(b, 5)")
+    r = F.abs(correlation())
+    best = pairs.groupBy(F.substr("a", F.lit(4)).cast("int").alias("i")).agg(F.max(F.when(~F.isnan(r), r)).alias("r"))
     rows = [
-        F.struct(
-            F.lit(c).alias("column"),
-            share(count_if(ref(c).isNull()), F.count(F.lit(1))).alias("null_share"),
-            strongest(c).alias("strongest"),
-        )
-        for c in columns
+        F.struct(F.lit(i).alias("at"), F.lit(c).alias("column"), share(count_if(F.col(f"c{i}").isNull()), F.count(F.lit(1))).alias("null_share"))
+        for i, c in enumerate(columns)
     ]
-    found = marked.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
-    gaps = F.col("null_share")
-    kind = F.when(gaps == 0, "none").when(gaps > 0.5, "MNAR").when(F.col("strongest") > 0.25, "MAR").otherwise("MCAR")
+    gaps = numbers.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    found = gaps.join(F.broadcast(best), F.col("at") == F.col("i"), "left").select(
+        "column", "null_share", F.coalesce("r", F.lit(0.0)).alias("strongest")
+    )
+    empty = F.col("null_share")
+    kind = F.when(empty == 0, "none").when(empty > 0.5, "MNAR").when(F.col("strongest") > 0.25, "MAR").otherwise("MCAR")
     return found.withColumn("mechanism", kind)
 
 

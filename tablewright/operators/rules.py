@@ -13,7 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import count_if, distinct_counts, number, ref
+from tablewright.functions.columns import count_if, number, ref
+from tablewright.operators.keys import column_facts
 from tablewright.operators.quality import in_order, non_negative, positive, quoted, rule_violations
 
 STORE = "dataset string, version int, rule string, assertion string, saved_at timestamp"
@@ -44,7 +45,7 @@ def learn_rules(df: DataFrame, columns: Sequence[str], orders: Sequence[tuple[st
             out[f"{c}_known"] = f"{quoted(c)} IS NOT NULL"
     texts = [c for c in columns if kinds[c] == "string"]
     if texts:
-        few = [r["column"] for r in distinct_counts(df, texts).where("distinct <= 10").collect()]
+        few = [c for c, (n, _) in column_facts(df, texts).items() if 0 < n <= 10]
         for c in few:
             values = sorted(r[0] for r in df.select(ref(c)).where(ref(c).isNotNull()).distinct().collect())  # ten at most
             listed = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tablewright.functions.columns import count_if, ref, share, value_counts
 from tablewright.functions.quantiles import exact_quantiles
 from tablewright.functions.text import as_timestamp, guarded_double
+from tablewright.operators.validate import digest
 from tablewright.session import stored
 
 # Tokens and patterns in values.
@@ -101,7 +102,12 @@ def column_evidence(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         )
     counted = read.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
     names = {f"s{i}": c for i, c in enumerate(columns)} | {f"x{i}": c for i, c in enumerate(columns)}
-    values = value_counts(read, list(names)).groupBy("column").agg(F.count(F.lit(1)).alias("k"))
+    # digests stand for texts
+    keyed = read.select(
+        *[(digest(F.col(f"s{i}")) if kinds[c] == "text" else F.col(f"s{i}")).alias(f"s{i}") for i, c in enumerate(columns)],
+        *[f"x{i}" for i in range(len(columns))],
+    )
+    values = value_counts(keyed, list(names)).groupBy("column").agg(F.count(F.lit(1)).alias("k"))
     place = F.create_map(*[F.lit(v) for k, c in names.items() for v in (k, c)])
     distinct = values.select(place[F.col("column")].alias("c"), F.col("column").startswith("s").alias("own"), "k")
     sizes = distinct.groupBy("c").agg(

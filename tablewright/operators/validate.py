@@ -4,10 +4,12 @@ share, description, action); a clean table returns none."""
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.columns import (
     count_if,
@@ -102,10 +104,35 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _spelled(df: DataFrame, name: str) -> Column | None:
+    """The column as text that differs where values differ; null for kinds that have no such text."""
+    kind, c = df.schema[name].dataType, ref(name)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("string")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (c + F.lit(0.0).cast(kind)).cast("string")  # both zeros are equal
+    if isinstance(kind, T.BinaryType):
+        return F.hex(c)
+    return None if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) else c.cast("string")
+
+
+def row_keys(df: DataFrame, columns: Sequence[str] | None = None) -> list[Column]:
+    """Keys that are equal where rows are equal in ``columns``, nulls included: one digest of 32 bytes if it can be.
+
+    Each value is written with its length before it, so no two rows are written alike.
+    """
+    names = list(df.columns if columns is None else columns)
+    texts = [_spelled(df, c) for c in names]
+    if any(t is None for t in texts):
+        own = set(string_columns(df))
+        return [(digest(ref(c)) if c in own else ref(c)).alias(f"_{i}") for i, c in enumerate(names)]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return [F.unhex(digest(F.concat(*parts))).alias("_0")]
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(rows, surplus): surplus is the number of exact copies beyond the first."""
-    texts = set(string_columns(df))
-    keys = [digest(ref(c)).alias(f"_{i}") if c in texts else ref(c).alias(f"_{i}") for i, c in enumerate(df.columns)]
+    keys = row_keys(df)
     groups = df.select(*keys).groupBy(*[f"_{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),

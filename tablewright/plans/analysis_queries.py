@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.functions.text import FALSE_TOKENS, TRUE_TOKENS
 from tablewright.operators import keys, profile, quality, segments, series, validate
 from tablewright.plans.registry import Registry, derived, derived_sql, rounded, table, union_all
 
@@ -104,10 +105,29 @@ def profile_columns(spark, folder):
     return found.select("column", "kind", "rows", "nulls", F.col("distinct").alias("distinct_"), "role")
 
 
+def type_sql(c: str, value: str) -> str:
+    dates = " OR ".join(f"try_strptime(v, '{f}') IS NOT NULL" for f in ("%m/%d/%Y", "%d/%m/%Y", "%Y/%m/%d", "%Y-%m-%d"))
+    tokens = ", ".join(f"'{t}'" for t in (*TRUE_TOKENS, *FALSE_TOKENS))
+    return (
+        f"SELECT '{c}' AS \"column\", CASE WHEN count(*) FILTER (regexp_matches(lower(trim(v)), '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')) > 0.7 * count(*) THEN 'email'"
+        " WHEN count(*) FILTER (regexp_matches(trim(v), '^https?://\\S+$')) > 0.7 * count(*) THEN 'url'"
+        f" WHEN count(*) FILTER (lower(trim(v)) IN ({tokens})) > 0.7 * count(*) THEN 'boolean' WHEN count(*) FILTER ({dates}) > 0.7 * count(*) THEN 'date'"
+        " WHEN count(TRY_CAST(v AS DOUBLE)) > 0.85 * count(*) THEN 'number' WHEN count(*) > 1 AND count(DISTINCT v) = count(*) THEN 'id' ELSE 'categorical' END AS type"
+        f" FROM (SELECT {value} AS v FROM {UNTIDY}) WHERE trim(v) <> ''"
+    )
+
+
 @QUERIES.add(
     "infer_technical_type",
-    "SELECT * FROM (VALUES ('is_active', 'boolean'), ('order_date', 'date'), ('email', 'categorical'), ('o_orderstatus', 'categorical'),"
-    " ('o_key', 'number')) t(\"column\", type) WHERE (SELECT count(*) FROM orders) > 0",
+    union_all(
+        [
+            type_sql("is_active", "CASE WHEN o_orderkey % 8 = 6 THEN 'yes' ELSE is_active END"),
+            type_sql("order_date", "CASE WHEN order_date = 'invalid' THEN '2024-01-05' ELSE order_date END"),
+            type_sql("email", "email"),
+            type_sql("o_orderstatus", "o_orderstatus"),
+            type_sql("o_key", "CAST(o_orderkey AS VARCHAR)"),
+        ]
+    ),
 )
 def infer_technical_type(spark, folder):
     rows = derived(spark, folder, "untidy_orders").selectExpr(
@@ -172,7 +192,15 @@ def unique_columns(spark, folder):
 
 @QUERIES.add(
     "primary_key",
-    "SELECT 'o_orderkey' AS \"column\" FROM orders HAVING count(*) = count(DISTINCT o_orderkey)",
+    "SELECT arg_min(c, (p, spot)) AS \"column\" FROM (SELECT *, CASE WHEN c IN ('id', 'key') THEN 0 WHEN regexp_matches(c, '(_id|_key|key)$') THEN 1 ELSE 2 END AS p,"
+    " CASE WHEN regexp_matches(c, '(_id|_key|key)$') THEN -i ELSE i END AS spot FROM ("
+    + union_all(
+        [
+            f"SELECT '{c}' AS c, {i} AS i, count(*) = count(DISTINCT {c}) AND count(*) = count({c}) AND count(*) > 0 AS fits FROM orders"
+            for i, c in enumerate(["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"])
+        ]
+    )
+    + ") WHERE fits) HAVING count(*) > 0",
 )
 def primary_key(spark, folder):
     return keys.primary_key(table(spark, folder, "orders").drop("o_totalprice"))
@@ -303,7 +331,18 @@ for _name, (_sql, _rule) in RULES.items():
     "quality_score",
     "WITH f AS (SELECT (count(l_orderkey) + count(l_linenumber) + count(l_quantity) + count(l_returnflag) + count(sparse_discount) + count(currency)"
     f" + count(price) + count(part_code) + count(order_ref)) / (9 * count(*)) AS completeness, 1 - 1.0 * (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {MESSY})))"
-    f" / count(*) - 0.16 AS integrity, 0.85::DOUBLE AS schema, count(*) FILTER (l_quantity > 49) > 0 AS broken FROM {MESSY})"
+    " / count(*) - least(0.4, 0.08 * ("
+    + " + ".join(
+        f"CAST(count({c}) < {1 - validate.NULL_SHARE} * count(*) AS INT)"
+        for c in ("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "sparse_discount", "currency", "price", "part_code", "order_ref")
+    )
+    + " + CAST(count(*) FILTER (isinf(price)) > 0 AS INT))) AS integrity,"
+    " greatest(0, 1 - 0.15 * ("
+    + " + ".join(
+        f"CAST(count(TRY_CAST({c} AS DOUBLE)) > 0 AND count(TRY_CAST({c} AS DOUBLE)) < count({c}) AS INT)"
+        for c in ("l_returnflag", "currency", "part_code", "order_ref")
+    )
+    + f"))::DOUBLE AS schema, count(*) FILTER (l_quantity > 49) > 0 AS broken FROM {MESSY})"
     " SELECT round(completeness, 6) AS completeness, round(integrity, 6) AS integrity, round(schema, 6) AS schema,"
     " round((completeness + integrity + schema) / 3 * 100, 4) AS score,"
     " round(greatest(40, (completeness + integrity + schema) / 3 * 100 - 4.5 * CAST(broken AS INT)), 4) AS trust FROM f",

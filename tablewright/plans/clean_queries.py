@@ -50,9 +50,9 @@ def normalize_headers(spark, folder):
 
 @QUERIES.add(
     "infer_cast_datetime",
-    "SELECT o_orderkey, CAST(coalesce(try_strptime(order_date, '%m/%d/%Y'), try_strptime(order_date, '%d/%m/%Y'),"
-    " try_strptime(order_date, '%Y/%m/%d'), try_strptime(order_date, '%Y-%m-%d')) AS TIMESTAMP) AS order_date,"
-    f" email FROM {ORDERS}",
+    "SELECT o_orderkey, d AS order_date, email, CASE WHEN d IS NULL THEN order_date END AS order_date_unparsed FROM (SELECT *,"
+    " CAST(coalesce(try_strptime(order_date, '%m/%d/%Y'), try_strptime(order_date, '%d/%m/%Y'),"
+    f" try_strptime(order_date, '%Y/%m/%d'), try_strptime(order_date, '%Y-%m-%d')) AS TIMESTAMP) AS d FROM {ORDERS})",
 )
 def infer_cast_datetime(spark, folder):
     return clean.infer_cast_datetime(orders(spark, folder, "order_date", "email"))
@@ -60,7 +60,7 @@ def infer_cast_datetime(spark, folder):
 
 @QUERIES.add(
     "infer_cast_numeric",
-    "SELECT o_orderkey, TRY_CAST(replace(replace(part, '$', ''), ',', '') AS DOUBLE) AS part, code FROM (SELECT o_orderkey,"
+    "SELECT o_orderkey, TRY_CAST(replace(replace(part, '$', ''), ',', '') AS DOUBLE) AS part, CASE WHEN part = 'n/a' THEN part END AS part_unparsed, code FROM (SELECT o_orderkey,"
     " CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE '$' || o_custkey || ',000' END AS part, 'K' || o_custkey AS code FROM orders)",
 )
 def infer_cast_numeric(spark, folder):
