@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
 and read again as the next stage's documents. All but the last keep the columns of
-documents.
+documents, whatever they are called beside doc_id, text, lang and source; an empty table
+gives empty results.
 """
 
 from __future__ import annotations
@@ -11,29 +12,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import minhash, mixing, quality, sentencepieces
-from tablewright.llm.common import stored
+from tablewright.session import stored
 
 #: Words of a shingle; the query op8_minhash has its own number.
 SHINGLE = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
+    """Documents that pass the base rules and are no outliers of their language and source.
+
+    A null or empty text fails the base rules; a null language or source is a group of its
+    own; repeated rows get the same verdict and stay as often as they stand.
+    """
     return quality.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id.
+
+    Rows that share that id stay, as do rows without an id and texts without a word.
+    """
     return minhash.distinct_documents(docs, SHINGLE)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of sources takes them, up to twice."""
+    """Documents as often as the mixture of sources takes them, up to twice.
+
+    A null source is a source; rows of one id are taken or left together.
+    """
     return mixing.mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_ids, ids) of every document of the mix."""
+    """(doc_id, n_ids, ids) of every row of the mix; a text of any length is encoded whole."""
     ids = sentencepieces.encoded(docs)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
 
