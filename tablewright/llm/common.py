@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.session import new_path
+from tablewright.session import stored
+
+__all__ = ["WORD", "bloom_filtered_joins", "documents", "free_names", "in_groups", "released", "same", "stored", "word_count"]
 
 #: A word is a run of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again.
-
-    This cuts the lineage, so that a lost executor costs the files' readers nothing,
-    and a table that several later steps read is computed once.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     """Number of words as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -73,6 +66,22 @@ def in_groups(batches: Iterator[pd.DataFrame], columns: Sequence[str]) -> Iterat
         yield held
 
 
+def released(run):
+    """``run``, a function of record batches, giving unused memory back when its task is over.
+
+    A worker serves many tasks, and what one of them took for its batches would stay with it.
+    """
+
+    def with_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    return with_release
+
+
 BLOOM = "spark.sql.optimizer.runtime.bloomFilter"
 
 

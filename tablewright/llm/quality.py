@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.llm import textstats
-from tablewright.llm.common import stored
+from tablewright.llm.common import free_names, stored
 
 LEAST_WORDS, MOST_REPEATED = 10, 20
 STATISTICS = ["t0", "t1", "t2", "t3"]
@@ -128,12 +128,15 @@ def widening(n: float, varying: int) -> float:
     return min(max(1.0, wider), 1e9)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [textstats.counts(t.as_py()) for t in batch.column("text")]
-        sides = zip(*found, strict=True) if found else [[] for _ in COUNTS]
-        columns = [*batch.columns, *[pa.array(x, pa.int64()) for x in sides]]
-        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *COUNTS])
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def _counts(texts: pa.Array) -> pa.Array:
+    """Counts of each text, one text at a time; the rows themselves stay where they are."""
+    sides = zip(*[textstats.counts(t.as_py()) for t in texts], strict=True) if len(texts) else [[] for _ in COUNTS]
+    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in sides], names=COUNTS)
+
+
+#: Spark would count anew in every filter on a count.
+_counts = _counts.asNondeterministic()
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
@@ -143,13 +146,15 @@ def text_counts(docs: DataFrame) -> DataFrame:
     return counted_rows(rows).select("*", digest.alias("digest")).drop("text")
 
 
-def counted_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` (with lang, source, text and no column named like a count) with its counts."""
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTS]])
+def counted_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` (no column named like a count) with the counts of its column ``text``."""
+    (found,) = free_names(docs, "counts")
+    counted = docs.withColumn(found, _counts(F.col(text)))
+    rows = counted.select(*docs.columns, *[F.col(found)[c].alias(c) for c in COUNTS])
     failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
     )
-    return docs.mapInArrow(_counted, schema).withColumn("base_failed", failed)
+    return rows.withColumn("base_failed", failed)
 
 
 def _with(rows: DataFrame, side: DataFrame) -> DataFrame:
@@ -350,6 +355,6 @@ def kept_documents(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     texts = stored(distinct_texts(vectors(counted, means)), "quality-texts")
     found = stored(estimates(texts), "quality-estimates")
     names = {c: f"_doc_{i}" for i, c in enumerate(docs.columns)}
-    here = docs.select(*[F.col(c).alias(n) for c, n in names.items()], *KEYS, "text")
-    good = _with(vectors(counted_rows(here), means), found).where(squared_distance() <= cutoff)
+    here = docs.select(*[F.col(c).alias(n) for c, n in names.items()], *KEYS)
+    good = _with(vectors(counted_rows(here, names["text"]), means), found).where(squared_distance() <= cutoff)
     return good.select(*[F.col(n).alias(c) for c, n in names.items()])
