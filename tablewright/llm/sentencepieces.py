@@ -2,17 +2,17 @@
 
 The pieces and scores come from a public model file; nothing is trained. A text's
 segmentation is the one with the highest sum of scores. The search runs over the text
-once. It keeps the best score of the positions that pieces begun so far can reach,
-at most the longest piece ahead, and the back pointers of what is not committed. When
-only one such position is left, or the back pointers of all of them meet in one
-boundary, the ids up to there are final: they are committed and forgotten. Scores
-start at zero again after a commit, so long texts lose no precision.
+once, in windows bounded by the longest piece. It keeps the best score of the positions
+that pieces begun so far can reach, at most the longest piece ahead, and the paths that
+lead to them as a tree. When all of them go back to one boundary, the ids up to there are
+final: they are committed and forgotten. Scores start at zero again where a single
+position is left, so long texts lose no precision.
 
 A boundary that no piece of the vocabulary can cross is such a meeting point whatever
 stands around it. In the usual vocabularies that holds before a white space mark and
 around characters that are in no piece (a line break); the segments between them are
 independent, and each Python worker keeps the ids of segments it has met, in two
-generations of bounded size. A vocabulary without that property is searched as a whole.
+generations of CACHED_BYTES together. A vocabulary without that property is searched as a whole.
 
 Rules: a mark is put before the text; blanks are marks; a character that is no piece by
 itself can stand alone at a cost of ten more than the worst score and is written as its
@@ -20,8 +20,10 @@ UTF-8 bytes; among equal scores the later start of the last piece wins, which ma
 paths meet sooner. Decoding joins the pieces, turns marks into blanks and drops the first.
 
 Defined cases: null and empty texts have no ids and decode to an empty text; a text
-that holds the mark itself (U+2581) decodes to one with blanks; repeated rows are
-encoded each; an empty table gives an empty result.
+that holds the mark itself (U+2581) decodes to one with blanks; very long texts take time
+in proportion, also a run of one character, whose paths may never meet before its end;
+repeated rows are encoded each; an empty table gives an empty result; other columns, of
+any name, are not read.
 """
 
 from __future__ import annotations
@@ -36,12 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.llm.common import released
+
 MARK = "▁"
 END = 0
 UNKNOWN_PENALTY = 10.0
-CACHED_SEGMENTS = 300_000
-#: A segment of at most so many characters is searched in one window.
-SHORT = 64
+#: Bytes of kept segments in both generations, with what an entry costs beside its texts.
+CACHED_BYTES, ENTRY_BYTES = 140 << 20, 200
+#: Longer segments are not kept.
+LONGEST_KEPT = 200
+#: Characters that the search is fed at a time.
+FED = 4096
 
 
 class Pieces:
@@ -88,101 +95,57 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-class Viterbi:
-    """Streaming search: ``feed`` takes text as it comes and returns ids that are final."""
+class Boundary:
+    """A live boundary, or one that live ones go back to: the ids since its parent, and its children."""
 
-    def __init__(self, pieces: Pieces):
-        self.pieces = pieces
-        self.text, self.at = "", 0  # uncommitted text, next start in it
-        self.best: dict[int, float] = {0: 0.0}  # positions from ``at`` on
-        self.back: dict[int, tuple[int, int]] = {}
+    __slots__ = ("parent", "ids", "kids")
 
-    def feed(self, text: str) -> list[int]:
-        """Ids that became final. A start is searched once the longest piece fits behind it."""
-        self.text += text
-        return self._run(len(self.text) - self.pieces.longest)
+    def __init__(self, parent: Boundary | None, ids: list[int]):
+        self.parent, self.ids, self.kids = parent, ids, set()
 
-    def finish(self) -> list[int]:
-        out = self._run(len(self.text) - 1)
-        out += self._commit(self.at)
-        return out
 
-    def _run(self, last: int) -> list[int]:
-        trie, unknown, out = self.pieces.trie, self.pieces.unknown, []
-        text, end = self.text, len(self.text)
-        best, back, s = self.best, self.back, self.at
-        due = s + self.pieces.longest
-        while s <= last:
-            here = best.pop(s, None)
-            if here is not None:
-                single, node, e = False, trie, s
-                while e < end:
-                    node = node.get(text[e])
-                    if node is None:
-                        break
-                    e += 1
-                    found = node.get(END)
-                    if found is not None:
-                        single = single or e == s + 1
-                        score = here + found[0]
-                        if e not in best or score >= best[e]:
-                            best[e], back[e] = score, (s, found[1])
-                if not single and (s + 1 not in best or here + unknown > best[s + 1]):
-                    best[s + 1], back[s + 1] = here + unknown, (s, -1)
-            s += 1
-            self.at = s
-            if len(best) == 1 and s in best or s >= due:
-                if out_ids := self._commit(self._meeting()):
-                    out += out_ids
-                    cut = s - self.at
-                    text, end, s, last = self.text, end - cut, self.at, last - cut
-                    best, back = self.best, self.back
-                due = s + self.pieces.longest
-        self.at = s
-        return out
-
-    def _meeting(self) -> int:
-        """The last boundary that the best paths to all live positions share."""
-        live = set(self.best)
-        while len(live) > 1:
-            live.add(self.back[top := max(live)][0])
-            live.remove(top)
-        return live.pop()
-
-    def _commit(self, to: int) -> list[int]:
-        out, e = [], to
-        while e > 0:
-            s, piece = self.back[e]
-            out += [piece] if piece >= 0 else self.pieces.fallback(self.text[s])[::-1]
-            e = s
-        if to:
-            base = self.best.get(to, max(self.best.values(), default=0.0))
-            self.text, self.at = self.text[to:], self.at - to
-            self.best = {p - to: v - base for p, v in self.best.items()}
-            self.back = {p - to: (s - to, i) for p, (s, i) in self.back.items() if p > to}
-        return out[::-1]
+class Viterbi:
+    """Streaming search: ``feed`` takes text as it comes and returns ids that are final.
 
+    The search goes over the text in windows of as many starts as the longest piece has
+    characters. What a window hands on are the boundaries behind it that pieces begun so far
+    reach, as many at most, each with its score and the ids of its best path through the
+    window. These boundaries form a tree: one that no later boundary goes back to is cut
+    off, and while the root has a single child, all surviving paths go through it, so its
+    ids are committed and it becomes the root. Every boundary is made and cut once, and of
+    the text only the window and the longest piece behind it are held.
+    """
 
-class Encoder:
-    """Texts to ids; keeps the ids of segments between boundaries that no piece crosses."""
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.text = ""
+        self.root = Boundary(None, [])
+        # offset in the text, score, boundary
+        self.live: list[tuple[int, float, Boundary]] = [(0, 0.0, self.root)]
 
-    def __init__(self, pieces: Pieces, size: int = CACHED_SEGMENTS):
-        self.pieces, self.size = pieces, size
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def feed(self, text: str, last: bool = False) -> list[int]:
+        """Ids that became final. A window is searched once the longest piece fits behind it, or at the end."""
+        self.text += text
+        width, out, at = self.pieces.longest, [], 0
+        while len(self.text) - at >= 2 * width or last and at < len(self.text):
+            window = self.text[at : at + 2 * width]
+            out += self._window(window, min(width, len(window)))
+            at += width
+        self.text = self.text[at:]
+        return out
 
-    def search(self, text: str) -> list[int]:
-        if len(text) > SHORT:
-            run = Viterbi(self.pieces)
-            return run.feed(text) + run.finish()
-        return self._short(text)
+    def finish(self) -> list[int]:
+        return self.feed("", last=True)
 
-    def _short(self, text: str) -> list[int]:
-        """The same search over a text that fits one window: nothing to commit before its end."""
+    def _window(self, text: str, width: int) -> list[int]:
+        """Search from the first ``width`` starts of ``text``."""
         trie, unknown, n = self.pieces.trie, self.pieces.unknown, len(text)
-        best: list[float | None] = [0.0] + [None] * n
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-        for s in range(n):
+        best: list[float | None] = [None] * (n + 1)
+        # the start and the piece that lead to a boundary; those handed on have themselves
+        back: list = [None] * (n + 1)
+        for at, score, boundary in self.live:
+            best[at], back[at] = score, (-1, boundary)
+        for s in range(width):
             here = best[s]
             if here is None:
                 continue
@@ -200,20 +163,72 @@ class Encoder:
                         best[e], back[e] = score, (s, found[1])
             if not single and (best[s + 1] is None or here + unknown > best[s + 1]):
                 best[s + 1], back[s + 1] = here + unknown, (s, -1)
-        out, e = [], n
-        while e:
-            s, piece = back[e]
-            out += [piece] if piece >= 0 else self.pieces.fallback(text[s])[::-1]
-            e = s
-        return out[::-1]
+        before, self.live = self.live, []
+        for e in range(width, n + 1):
+            if best[e] is not None:
+                ids, at = [], e
+                start, piece = back[at]
+                while start >= 0:
+                    ids += [piece] if piece >= 0 else self.pieces.fallback(text[start])[::-1]
+                    at = start
+                    start, piece = back[at]
+                boundary = Boundary(piece, ids[::-1])
+                piece.kids.add(boundary)
+                self.live.append((e - width, best[e], boundary))
+        for _, _, boundary in before:
+            self._cut(boundary)
+        return self._committed()
+
+    def _cut(self, boundary: Boundary) -> None:
+        """Take off a boundary that nothing goes back to, and what only led to it."""
+        while not boundary.kids and boundary.parent is not None:
+            parent, boundary.parent = boundary.parent, None
+            parent.kids.discard(boundary)
+            boundary = parent
+
+    def _committed(self) -> list[int]:
+        out: list[int] = []
+        while len(self.root.kids) == 1:
+            (self.root,) = self.root.kids
+            self.root.parent = None
+            out += self.root.ids
+            self.root.ids = []
+        if len(self.live) == 1:
+            # scores start at zero again
+            self.live = [(self.live[0][0], 0.0, self.live[0][2])]
+        return out
+
+
+class Encoder:
+    """Texts to ids: the stream of a text's segments, each searched once as long as it is kept.
+
+    A segment lies between boundaries that no piece crosses, where all paths meet and the
+    search has committed everything; so its ids can be kept and used again there.
+    """
+
+    def __init__(self, pieces: Pieces, size: int = CACHED_BYTES):
+        self.pieces, self.size, self.bytes = pieces, size, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def search(self, text: str) -> list[int]:
+        run, out = Viterbi(self.pieces), []
+        if len(text) <= FED:
+            return run.feed(text, last=True)
+        for i in range(0, len(text), FED):
+            out += run.feed(text[i : i + FED])
+        return out + run.finish()
 
     def _known(self, segment: str) -> bytes:
         ids = self.old.get(segment)
         if ids is None:
             ids = np.array(self.search(segment), np.uint32).tobytes()
-        if len(self.young) >= self.size:
-            self.young, self.old = {}, self.young
+        if len(segment) > LONGEST_KEPT:
+            return ids
+        if self.bytes >= self.size // 2:
+            self.young, self.old, self.bytes = {}, self.young, 0
         self.young[segment] = ids
+        self.bytes += ENTRY_BYTES + len(segment) + len(ids)
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -265,7 +280,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
 
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    return texts.mapInArrow(encode, "doc_id long, ids array<int>")
+    return texts.mapInArrow(released(encode), "doc_id long, ids array<int>")
 
 
 def decoded(ids: DataFrame, path: str | None = None) -> DataFrame:
@@ -296,4 +311,4 @@ def decoded(ids: DataFrame, path: str | None = None) -> DataFrame:
             T.StructField("text", T.StringType()),
         ]
     )
-    return ids.select("doc_id", "ids").mapInArrow(decode, schema)
+    return ids.select("doc_id", "ids").mapInArrow(released(decode), schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -100,7 +101,22 @@ def test_the_window_stays_small():
     for _ in range(300):
         run.feed("".join(rng.choice("aehinrst") for _ in range(50)))
         assert len(run.text) < 400
-        assert len(run.best) <= PIECES.longest + 1
+        assert len(run.live) <= PIECES.longest + 1
+
+
+@pytest.mark.parametrize("text", ["x" * 400_000, "xy" * 200_000, "é" * 200_000])
+def test_one_run_without_blanks_takes_linear_time(text):
+    began = time.process_time()
+    assert PIECES.decode(ENCODER.encode(text).tolist()) == text
+    assert time.process_time() - began < 20
+
+
+def test_ids_are_committed_on_the_way():
+    rng = random.Random(3)
+    run, seen = sentencepieces.Viterbi(PIECES), 0
+    for k in range(1, 200):
+        seen += len(run.feed("".join(rng.choice("aehinrst") for _ in range(50))))
+        assert seen > (k - 3) * 50 / PIECES.longest
 
 
 def test_documents_decode_to_themselves(spark):
