@@ -12,8 +12,8 @@ one after the other. Each Python worker keeps the ids of words it has met, in tw
 generations of bounded size.
 
 Defined cases: a null text is an empty one and has only the end id; null doc_ids come
-first; rows that repeat a doc_id follow each other, in the order of their ids' crc;
-an empty table gives an empty file set and an empty result; other columns are not read.
+first; rows that repeat a doc_id follow each other, and a range holds them in the order
+of a hash of their ids; an empty table gives an empty file set and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import stored
+from tablewright.llm.common import released, stored
 from tablewright.session import new_path
 
 END_ID = 2
@@ -36,7 +36,7 @@ STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1_000
 ROWS_IN_FILE = 100_000
 CACHED_WORDS = 700_000
-WORDS_AT_ONCE = 100
+WORDS_AT_ONCE = 500
 #: Words that are one run of letters whatever the tokenizer's rules do to them first.
 LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+").fullmatch
 WORD_END = "</w>"
@@ -165,18 +165,20 @@ def encoder(vocabulary_path: str, end_id: int = END_ID):
 def encoded(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids) of every row."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    return texts.mapInArrow(encoder(vocabulary_path, end_id), "doc_id long, ids array<int>")
+    return texts.mapInArrow(released(encoder(vocabulary_path, end_id)), "doc_id long, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID) -> None:
     """Encode ``docs`` and write ORC files of ascending document ids to ``path``.
 
     Texts, which are shorter than their ids, go to their range before they are encoded.
-    ``part`` names the range; it ascends with the ids.
+    ``part`` names the range; it ascends with the ids. A row's number splits the rows of one
+    doc_id; the ranges are found without reading a text.
     """
     rows = docs.count()
     parts = max(rows // ROWS_IN_FILE + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id", F.octet_length("text"))
+    numbered = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
+    ranged = numbered.repartitionByRange(parts, "doc_id", "row").drop("row")
     tokens = encoded(ranged, vocabulary_path, end_id).withColumn("part", F.spark_partition_id())
     (
         tokens.sortWithinPartitions("doc_id", F.xxhash64("ids"))
@@ -202,16 +204,16 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = lists.offsets.to_numpy()
         crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("part"), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())],
-            names=["doc_id", "part", "n_tokens", "ids_crc32"],
+            [*(batch.column(c) for c in ("doc_id", "part", "turn")), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())],
+            names=["doc_id", "part", "turn", "n_tokens", "ids_crc32"],
         )
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of what ``read_tokens`` gives."""
     rows = stored(
-        tokens.select("doc_id", "ids", "part").mapInArrow(
-            _summed, "doc_id long, part int, n_tokens long, ids_crc32 long"
+        tokens.select("doc_id", "ids", "part", F.xxhash64("ids").alias("turn")).mapInArrow(
+            _summed, "doc_id long, part int, turn long, n_tokens long, ids_crc32 long"
         ),
         "token-digests",
     )
@@ -221,7 +223,7 @@ def token_digests(tokens: DataFrame) -> DataFrame:
     offsets = sums.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = (
         Window.partitionBy("part")
-        .orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens")
+        .orderBy(F.col("doc_id").asc_nulls_first(), "turn")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
