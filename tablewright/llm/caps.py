@@ -32,6 +32,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,15 +121,19 @@ def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
 
 
 def _raw(kind: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [None if v is None else np.asarray(v, dtype=np.float64) for v in pdf["embedding"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [None if v is None else np.asarray(v, dtype=np.float64) for v in batch.column("embedding").to_pylist()]
             fit = [usable(x) for x in rows]
-            yield pd.DataFrame({
-                "vec_id": pdf["vec_id"],
-                "dimension": pd.array([len(x) if ok else None for x, ok in zip(rows, fit, strict=True)], "Int32"),
-                "raw": [(x + 0.0).astype(kind).tobytes() if ok else None for x, ok in zip(rows, fit, strict=True)],
-            })
+            # ids stay in Arrow: pandas would turn a column with a null into doubles
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("vec_id"),
+                    pa.array([len(x) if ok else None for x, ok in zip(rows, fit, strict=True)], pa.int32()),
+                    pa.array([(x + 0.0).astype(kind).tobytes() if ok else None for x, ok in zip(rows, fit, strict=True)], pa.binary()),
+                ],
+                names=["vec_id", "dimension", "raw"],
+            )
 
     return run
 
@@ -250,7 +255,7 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFram
     element = vectors.schema["embedding"].dataType.elementType
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
     rows = stored(
-        vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInPandas(
+        vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(
             _raw(kind), "vec_id long, dimension int, raw binary"
         ),
         "vectors",

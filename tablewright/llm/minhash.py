@@ -29,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import bloom_filtered_joins, in_groups, stored
+from tablewright.llm.common import bloom_filtered_joins, free_names, in_groups, released, stored
 from tablewright.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -107,37 +108,45 @@ def _chunks(pdf: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
 
 
 def _features(k: int = SHINGLE):
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in _chunks(pdf, "text"):
-                rows = []
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # ids stay in Arrow: pandas would turn a column with a null into doubles
+            ids, at = batch.column("doc_id"), 0
+            for part in _chunks(pd.DataFrame({"text": batch.column("text").to_pylist()}), "text"):
+                sizes, digests, keys, signatures = [], [], [], []
                 for shingles in shingle_sets(part["text"].tolist(), k):
+                    sizes.append(len(shingles))
                     if not len(shingles):
-                        rows.append((0, None, None, None))
+                        digests.append(None)
+                        keys.append(None)
+                        signatures.append(None)
                         continue
                     low = minima(shingles)
-                    keys = np.zeros(BANDS, np.uint64)
+                    key = np.zeros(BANDS, np.uint64)
                     for r in range(ROWS):
-                        keys = _mixed(keys + low.reshape(BANDS, ROWS)[:, r] * PLACES[r] + np.arange(BANDS, dtype=np.uint64))
-                    rows.append(
-                        (
-                            len(shingles),
-                            hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(),
-                            keys.view(np.int64),
-                            (low & np.uint64(0xFFFF)).astype("<u2").tobytes(),
-                        )
-                    )
-                out = pd.DataFrame(rows, columns=["n_shingles", "digest", "keys", "signature"], index=part.index)
-                out.insert(0, "doc_id", part["doc_id"])
-                yield out
+                        key = _mixed(key + low.reshape(BANDS, ROWS)[:, r] * PLACES[r] + np.arange(BANDS, dtype=np.uint64))
+                    digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+                    keys.append(key.view(np.int64))
+                    signatures.append((low & np.uint64(0xFFFF)).astype("<u2").tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.slice(at, len(part)),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(digests, pa.binary()),
+                        pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(signatures, pa.binary()),
+                    ],
+                    names=["doc_id", "n_shingles", "digest", "keys", "signature"],
+                )
+                at += len(part)
 
     return extract
 
 
 def features(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, digest, keys, signature) of every row."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        _features(k), "doc_id long, n_shingles long, digest binary, keys array<long>, signature binary"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        released(_features(k)), "doc_id long, n_shingles long, digest binary, keys array<long>, signature binary"
     )
 
 
@@ -334,6 +343,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component")
     )
+    # both sides lie in files, so that Spark can split the copies of one text between tasks
+    named = stored(named, "named-classes")
     placed = seen.select("doc_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return placed.select(
@@ -350,6 +361,7 @@ def distinct_documents(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     Rows without a doc_id stay, since nothing tells them apart. The ids that go are few,
     so they are what the texts are joined with.
     """
-    gone = near_duplicates(docs, k).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
+    (name,) = free_names(docs, "gone")
+    gone = near_duplicates(docs, k).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name))
     gone = stored(gone.distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")

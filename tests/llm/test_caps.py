@@ -82,3 +82,11 @@ def test_recall_at_the_limit(cosine, least):
     assert len(shared) >= least * 500
     lists = np.bincount(code.decode(a)[0])
     assert lists.min() >= caps.LIST
+
+
+def test_ids_beyond_doubles_beside_a_null(spark):
+    big = 1 << 53
+    rows = [(big + 1, [1.0, 0.0, 0.0]), (None, [0.0, 1.0, 0.0]), (big + 3, [1.0, 0.001, 0.0]), (big + 5, [0.0, 0.0, 1.0]), (None, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = {(r.vec_id, r.n_links, r.component_id) for r in caps.near_vectors(vectors).collect()}
+    assert {(big + 1, 1, big + 1), (big + 3, 1, big + 1), (big + 5, 0, big + 5)} <= got

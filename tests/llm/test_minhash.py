@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from tablewright.llm import minhash
 from tablewright.llm.components import components
 from tests.llm.fixtures import documents, empty, words
@@ -103,3 +105,14 @@ def test_two_words_in_all():
     assert minhash.shingle_sets(["one two", "a b c d e"])[0] == minhash.shingle_sets(["one two"])[0]
     pdf = pd.DataFrame({"doc_id": [1, 2], "text": ["one two", "some words " * 120_000]})
     assert [n for out in minhash._features()(iter([pdf])) for n in out["n_shingles"]] == [1, 2]
+
+
+def test_ids_beyond_doubles_beside_a_null(spark):
+    big = 1 << 53
+    rows = [(big + 1, "one two three four five six"), (None, "seven eight nine ten eleven"), (big + 3, "one two three four five six"), (big + 5, "w x y z a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert {(big + 1, big + 1, True), (big + 3, big + 1, False), (big + 5, big + 5, True)} <= got
+    clash = docs.withColumnsRenamed({}).withColumn("_gone", F.lit(1))
+    kept = minhash.distinct_documents(clash)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {big + 1, big + 5, None}
