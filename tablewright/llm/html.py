@@ -34,9 +34,10 @@ result; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
@@ -64,9 +65,13 @@ FURNITURE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments"
     r"|consent|cookie|cookies|disqus|dropdown|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice"
     r"|pager|pagination|popup|promo|promoted|promotion|related|reply|replies|respond|share|sharing|sidebar|sidebars|sitenav"
-    r"|skip|social|sponsor|sponsored|subscribe|toolbar|topbar|widget|widgets|header|site-header|page-header|alert)(?:$|[\s_-])",
+    r"|skip|social|sponsor|sponsored|subscribe|toolbar|topbar|widget|widgets|header|site-header|page-header|alert"
+    r"|discussion|reactions)(?:$|[\s_-])",
     re.I,
 )
+#: Names that hold such a word but belong to an article: its own header, and its opening.
+ARTICLE_HEADER = re.compile(r"(?:^|[\s_-])(?:entry|post|article|story)[_-](?:header|heading|title|head)(?:$|\s)", re.I)
+OPENING = re.compile(r"[^\s]*(?:^|[\s_-])(?:lead|intro|standfirst|summary|abstract)(?:$|\s)", re.I)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -77,8 +82,6 @@ STOPS_AT = {"ul", "ol", "dl", "table", "select", "menu"}
 MAIN = {"article", "main"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 SPACE = re.compile(r"\s+")
-#: Blocks nested deeper belong to the path of their ancestor at this depth.
-DEEPEST = 64
 KEEPS_MOST = 0.6
 #: A named subtree with this share of the page's text or more is a wrapper.
 WRAPS = 0.5
@@ -92,7 +95,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _is_furniture(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
-    if tag in FURNITURE or tag == "header" and not inside_main:
+    if tag in FURNITURE or tag == "header" and not inside_main and not _is_article_header(tag, attrs):
         return True
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return True
@@ -101,13 +104,21 @@ def _is_furniture(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
     return False
 
 
+def _is_article_header(tag: str, attrs: dict[str, str]) -> bool:
+    return tag in ("header", "div", "hgroup") and any(ARTICLE_HEADER.search(attrs.get(k, "")) for k in ("class", "id"))
+
+
 def _is_named(tag: str, attrs: dict[str, str]) -> bool:
     """Whether the element calls itself furniture, which a wrapper of the article may do too."""
     if tag in ("html", "body") or tag in MAIN:
         return tag == "article" and bool(re.search(r"\bcomments?\b", attrs.get("class", ""), re.I))
     if tag in LIKELY_FURNITURE or attrs.get("role", "").lower() == "form":
         return True
-    return any(FURNITURE_WORDS.search(attrs.get(k, "")) for k in ("class", "id"))
+    if _is_article_header(tag, attrs):
+        return False
+    # a name is one word of a class; the opening of an article may be called after what it is like
+    names = [name for k in ("class", "id") for name in attrs.get(k, "").split()]
+    return any(FURNITURE_WORDS.search(name) and not OPENING.search(name) for name in names)
 
 
 def _left_out(nodes: list[tuple[int, bool, bool, bool]], own: list[int]) -> list[bool]:
@@ -144,67 +155,116 @@ def _left_out(nodes: list[tuple[int, bool, bool, bool]], own: list[int]) -> list
     return out
 
 
-class Block:
-    __slots__ = ("path", "parts", "linked")
+@dataclass
+class Paths:
+    """The page's tag paths as a tree: a path is its parent and the label of its last element."""
+
+    parent: list[int] = field(default_factory=lambda: [-1])
+    label: list[str] = field(default_factory=lambda: [""])
+    #: Whether the last element is the header of an article.
+    heading: list[bool] = field(default_factory=lambda: [False])
+    known: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def below(self, parent: int, label: str, heading: bool) -> int:
+        found = self.known.get((parent, label))
+        if found is None:
+            found = self.known[parent, label] = len(self.parent)
+            self.parent.append(parent)
+            self.label.append(label)
+            self.heading.append(heading)
+        return found
+
 
-    def __init__(self, path: tuple[str, ...]):
-        self.path, self.parts, self.linked = path, [], 0
+@dataclass
+class Page:
+    """What is open while a page is read. Each open element has (tag, dropped, node, path).
 
+    ``node`` is the nearest one that may be furniture, ``path`` that of the nearest block
+    element. Counts of what is open save going through it: ``open`` of all tags, ``runs`` of
+    the inline ones inside each open block.
+    """
+
+    stack: list[tuple[str, bool, int, int]] = field(default_factory=list)
+    open: Counter = field(default_factory=Counter)
+    runs: list[Counter] = field(default_factory=lambda: [Counter()])
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of the candidate blocks, in page order."""
-    stack: list[tuple[str, str, bool, int]] = []  # tag, path label, whether its text is dropped, node
-    out: list[tuple[tuple[str, ...], str, int]] = []
+    def push(self, tag: str, dropped: bool, node: int, path: int) -> None:
+        self.stack.append((tag, dropped, node, path))
+        self.open[tag] += 1
+        if tag in INLINE:
+            self.runs[-1][tag] += 1
+        else:
+            self.runs.append(Counter())
+
+    def pop_to(self, i: int) -> None:
+        for tag, *_ in reversed(self.stack[i:]):
+            self.open[tag] -= 1
+            if tag in INLINE:
+                self.runs[-1][tag] -= 1
+            else:
+                self.runs.pop()
+        del self.stack[i:]
+
+    def find(self, tag: str) -> int | None:
+        """Place of the element that an end tag closes; an inline one only inside its block."""
+        if not (self.runs[-1][tag] if tag in INLINE else self.open[tag]):
+            return None
+        i = len(self.stack) - 1
+        while self.stack[i][0] != tag:
+            i -= 1
+        return i
+
+
+Found = list[tuple[int, str, int]]
+
+
+def blocks(html: str) -> tuple[Found, Paths]:
+    """(path, text, characters in links) of the candidate blocks, in page order, and the paths."""
+    page, paths = Page(), Paths()
+    stack = page.stack
+    out: Found = []
     nodes: list[tuple[int, bool, bool, bool]] = []
     places: list[int] = []
     parts: list[str] = []
     linked = 0
 
-    def path() -> tuple[str, ...]:
-        return tuple(islice((label for tag, label, _, _ in stack if tag not in INLINE), DEEPEST))
-
     def close_block() -> None:
         nonlocal parts, linked
         text = SPACE.sub(" ", unescape("".join(parts))).strip()
         if text:
-            out.append((path(), text, min(linked, len(text))))
-            places.append(next((node for tag, _, _, node in reversed(stack) if tag not in INLINE), -1))
+            path, node = (stack[-1][3], stack[-1][2]) if stack else (0, -1)
+            out.append((path, text, min(linked, len(text))))
+            places.append(node)
         parts, linked = [], 0
 
     def pop_to(i: int) -> None:
-        if any(tag not in INLINE for tag, _, _, _ in stack[i:]):
+        if any(entry[0] not in INLINE for entry in stack[i:]):
             close_block()
-        del stack[i:]
+        page.pop_to(i)
 
     def text(raw: str) -> None:
         nonlocal linked
-        if raw and not (stack and stack[-1][2]):
+        if raw and not (stack and stack[-1][1]):
             parts.append(raw)
-            if any(tag == "a" for tag, _, _, _ in stack):
+            if page.open["a"]:
                 linked += len(raw)
 
-    at, n = 0, len(html)
+    at, n, last = 0, len(html), html.rfind(">")
     while at < n:
-        found = TOKEN.search(html, at)
+        # behind the last > only a comment can start
+        found = TOKEN.search(html, at) if at <= last else None
+        start_at = found.start() if found else html.find("<!--", at)
+        text(html[at : start_at if start_at >= 0 else n])
         if not found:
-            text(html[at:])
             break
-        text(html[at : found.start()])
         at = found.end()
         end, start, rest = found.group(1), found.group(2), found.group(3)
         if end:
             tag = end.lower()
-            if tag == "br":
-                close_block()
-            elif tag == "p" and not any(t == "p" for t, _, _, _ in stack):
+            if tag == "br" or tag == "p" and not page.open["p"]:
                 close_block()
-            else:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        pop_to(i)
-                        break
-                    if tag in INLINE and stack[i][0] not in INLINE:
-                        break
+            elif (i := page.find(tag)) is not None:
+                pop_to(i)
         elif start:
             tag = start.lower()
             attrs = _attributes(rest or "")
@@ -216,44 +276,46 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             if tag not in INLINE:
                 close_block()
                 # elements that the new one ends: an open p, and its own kind in lists and tables
-                for i in range(len(stack) - 1, -1, -1):
-                    t = stack[i][0]
-                    if t == "p" or t in CLOSED_BY.get(tag, ()):
-                        pop_to(i)
-                        if t != "p":
+                if page.open["p"] or any(page.open[t] for t in CLOSED_BY.get(tag, ())):
+                    for i in range(len(stack) - 1, -1, -1):
+                        t = stack[i][0]
+                        if t == "p" or t in CLOSED_BY.get(tag, ()):
+                            pop_to(i)
+                            if t != "p":
+                                break
+                        elif t in STOPS_AT or t not in INLINE and t not in ("tr", "td", "th", "tbody", "thead"):
                             break
-                    elif t in STOPS_AT or t not in INLINE and t not in ("tr", "td", "th", "tbody", "thead"):
-                        break
-            dropped = bool(stack and stack[-1][2])
             if tag in RAW:
                 closing = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
                 at = closing.start() if closing else n
                 if closing:
                     at = html.find(">", at) + 1 or n
                 continue
-            inside_main = any(t in MAIN for t, _, _, _ in stack)
+            _, dropped, node, path = stack[-1] if stack else ("", False, -1, 0)
+            inside_main = any(page.open[t] for t in MAIN)
             dropped = dropped or tag in UNSEEN or _is_furniture(tag, attrs, inside_main)
-            label = tag + ("." + ".".join(sorted(attrs["class"].lower().split())) if attrs.get("class") else "")
             if tag not in ("svg", "math") or not (rest or "").endswith("/"):
-                node = stack[-1][3] if stack else -1
-                named, head = _is_named(tag, attrs), tag in MAIN or tag == "h1"
-                if not dropped and (named or head):
-                    nodes.append((node, named, head and not named, tag in MAIN and not named))
-                    node = len(nodes) - 1
-                stack.append((tag, label, dropped, node))
+                if tag not in INLINE:
+                    named, head = _is_named(tag, attrs), tag in MAIN or tag == "h1"
+                    if not dropped and (named or head):
+                        nodes.append((node, named, head and not named, tag in MAIN and not named))
+                        node = len(nodes) - 1
+                    label = tag + ("." + ".".join(sorted(attrs["class"].lower().split())) if attrs.get("class") else "")
+                    path = paths.below(path, label, _is_article_header(tag, attrs))
+                page.push(tag, dropped, node, path)
     close_block()
     own = [0] * (len(nodes) + 1)
     for (_, text_, _), node in zip(out, places, strict=True):
         own[node] += len(text_)
     left_out = _left_out(nodes, own)
-    return [block for block, node in zip(out, places, strict=True) if not left_out[node]]
+    return [block for block, node in zip(out, places, strict=True) if not left_out[node]], paths
 
 
-def content(found: list[tuple[tuple[str, ...], str, int]]) -> list[bool]:
+def content(found: Found, tree: Paths) -> list[bool]:
     """Which blocks are content."""
     if not found:
         return []
-    stats: dict[tuple[str, ...], list[float]] = {}
+    stats: dict[int, list[float]] = {}
     for path, text, linked in found:
         s = stats.setdefault(path, [0, 0, 0, 0])
         s[0] += len(text)
@@ -266,37 +328,52 @@ def content(found: list[tuple[tuple[str, ...], str, int]]) -> list[bool]:
     for i, path in enumerate(paths):
         near = [(2, ratio[path])] + [(1, ratio[paths[j]]) for j in (i - 1, i + 1) if 0 <= j < len(paths)]
         smooth[path] = sum(w * r for w, r in near) / sum(w for w, _ in near)
-    strength: dict[tuple[str, ...], float] = {}
-    inner: dict[tuple[str, ...], set] = {}
+    # a container's strength is that of all paths in it; parents come before their children
+    size = len(tree.parent)
+    strength, used = [0.0] * size, [False] * size
     for path in paths:
-        own = min(ratio[path], smooth[path]) * stats[path][0]
-        for depth in range(len(path) + 1):
-            strength[path[:depth]] = strength.get(path[:depth], 0.0) + own
-            if depth:
-                inner.setdefault(path[: depth - 1], set()).add(path[:depth])
-    root: tuple[str, ...] = ()
-    while root in inner:
-        best = max(inner[root], key=lambda p: (strength[p], p))
+        strength[path] += min(ratio[path], smooth[path]) * stats[path][0]
+        used[path] = True
+    inner: list[list[int]] = [[] for _ in range(size)]
+    for path in range(size - 1, 0, -1):
+        if used[path]:
+            up = tree.parent[path]
+            strength[up] += strength[path]
+            used[up] = True
+            inner[up].append(path)
+    root = 0
+    while inner[root]:
+        best = max(inner[root], key=lambda p: (strength[p], tree.label[p]))
         # a run of paragraphs is not narrowed to one kind of them
-        if strength[best] < KEEPS_MOST * strength[root] or best not in inner:
+        if strength[best] < KEEPS_MOST * strength[root] or not inner[best]:
             break
         root = best
-    inside = [p for p in paths if p[: len(root)] == root]
-    mean = sum(smooth[p] * stats[p][0] for p in inside) / sum(stats[p][0] for p in inside)
-
-    def like_content(p: tuple[str, ...]) -> bool:
+    inside, above = [False] * size, [False] * size
+    up = root
+    while up >= 0:
+        above[up], up = True, tree.parent[up]
+    # the header of an article beside the container, or beside what holds it, belongs to it
+    titled = [False] * size
+    for path in range(size):
+        up = tree.parent[path]
+        inside[path] = path == root or up >= 0 and inside[up]
+        titled[path] = up >= 0 and (titled[up] or tree.heading[path] and above[up])
+    own = [p for p in paths if inside[p]]
+    mean = sum(smooth[p] * stats[p][0] for p in own) / sum(stats[p][0] for p in own)
+
+    def like_content(p: int) -> bool:
         n, marks, k, linked = stats[p]
         return smooth[p] >= NEAR_RATIO * mean and ratio[p] >= NEAR_RATIO * mean and linked < 0.3 * n
 
-    keep = {p: p[: len(root)] == root or like_content(p) for p in paths}
+    keep = {p: inside[p] or titled[p] or like_content(p) for p in paths}
     return [keep[path] for path, _, _ in found]
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    found = blocks(html)
-    return "\n".join(text for (_, text, _), kept in zip(found, content(found), strict=True) if kept)
+    found, paths = blocks(html)
+    return "\n".join(text for (_, text, _), kept in zip(found, content(found, paths), strict=True) if kept)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import random
 import time
 
 import pytest
@@ -213,3 +214,62 @@ def test_parts_of_the_article_and_what_is_beside_it(page, text):
 def test_blocks_keep_their_paths_at_any_depth():
     deep = "<div>" * 300 + ARTICLE + "</div>" * 300 + "<p class='x'>no</p>"
     assert html.main_text(deep) == ARTICLE_TEXT
+
+
+def plain_content(found, names):
+    """The ratios on paths as tuples of labels: path statistics, smoothing, fusion, threshold."""
+    stats, order = {}, []
+    for path, text, linked in found:
+        q = names(path)
+        if q not in stats:
+            stats[q] = [0, 0, 0, 0]
+            order.append(q)
+        for i, x in enumerate((len(text), len(html.PUNCTUATION.findall(text)), 1, linked)):
+            stats[q][i] += x
+    ratio = {q: n / k * (1 + p / k) * (1 - a / n) for q, (n, p, k, a) in stats.items()}
+    smooth = {}
+    for i, q in enumerate(order):
+        weights = [(2, ratio[q])] + [(1, ratio[order[j]]) for j in (i - 1, i + 1) if 0 <= j < len(order)]
+        smooth[q] = sum(w * r for w, r in weights) / sum(w for w, _ in weights)
+    every = {q[:d] for q in order for d in range(len(q) + 1)}
+    strength = {c: sum(min(ratio[q], smooth[q]) * stats[q][0] for q in order if q[: len(c)] == c) for c in every}
+    root = ()
+    while True:
+        below = [c for c in every if len(c) == len(root) + 1 and c[: len(root)] == root]
+        if not below:
+            break
+        best = max(below, key=lambda c: (round(strength[c], 6), c))
+        if strength[best] < html.KEEPS_MOST * strength[root] or not any(len(c) == len(best) + 1 and c[: len(best)] == best for c in every):
+            break
+        root = best
+    own = [q for q in order if q[: len(root)] == root]
+    mean = sum(smooth[q] * stats[q][0] for q in own) / sum(stats[q][0] for q in own)
+    keep = {
+        q: q in own or smooth[q] >= html.NEAR_RATIO * mean and ratio[q] >= html.NEAR_RATIO * mean and stats[q][3] < 0.3 * stats[q][0]
+        for q in order
+    }
+    return [keep[names(path)] for path, _, _ in found]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_ratios_equal_a_plain_version(seed):
+    rng = random.Random(seed)
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            words = " ".join("word" * rng.randint(1, 2) for _ in range(rng.randint(1, 30)))
+            return rng.choice(["<p>{}.</p>", "<p>{}, so. And more!</p>", "<li><a href='x'>{}</a></li>", "<h2>{}</h2>"]).format(words)
+        inner = "".join(part(depth - 1) for _ in range(rng.randint(1, 4)))
+        return "<div class='{}'>{}</div>".format(rng.choice(["x", "y", "z"]), inner)
+
+    page = "<body>" + "".join(part(4) for _ in range(3)) + "</body>"
+    found, paths = html.blocks(page)
+
+    def names(path):
+        out = []
+        while path > 0:
+            out.append(paths.label[path])
+            path = paths.parent[path]
+        return tuple(reversed(out))
+
+    assert html.content(found, paths) == plain_content(found, names)
