@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import stored, word_count
+from tablewright.llm.common import free_names, stored, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET_SHARE = 1.5
@@ -192,12 +192,13 @@ def mixed_documents(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
         "mix-rows",
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    of, passes, below, copy = free_names(docs, "of", "passes", "below", "copy")
     cuts = thresholds(rows, stored(source_targets(sizes, **options), "mix-targets")).select(
-        F.col("source").alias("_of"), F.col("passes").alias("_passes"), F.col("below").alias("_below")
+        F.col("source").alias(of), F.col("passes").alias(passes), F.col("below").alias(below)
     )
-    low = F.shiftright(position(F.col("doc_id"), seed), POSITION_BITS - LEVEL_BITS * LEVELS) < F.col("_below")
-    copies = (F.col("_passes") + F.when(low, 1).otherwise(0)).cast("int")
-    repeated = docs.join(cuts, docs["source"].eqNullSafe(F.col("_of"))).where(copies > 0)
-    return repeated.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(
+    low = F.shiftright(position(F.col("doc_id"), seed), POSITION_BITS - LEVEL_BITS * LEVELS) < F.col(below)
+    copies = (F.col(passes) + F.when(low, 1).otherwise(0)).cast("int")
+    repeated = docs.join(cuts, docs["source"].eqNullSafe(F.col(of))).where(copies > 0)
+    return repeated.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(
         *[docs[c] for c in docs.columns]
     )

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.llm import mixing, queries, sharding
 from tests.llm.fixtures import documents, empty
@@ -92,3 +93,34 @@ def test_mixed_documents_repeat_whole_rows(spark):
 def test_mix_query_equals_sql(spark, small):
     q = queries.QUERIES["op9_mixing"]
     assert assert_same(q.run(spark, small), q.sql, small) == 200
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    docs = documents(spark).withColumnsRenamed({"rank": "_of", "key": "_passes", "before": "_below", "n_chars": "_copy"})
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    taken = {r.doc_id for r in out.select("doc_id").collect()}
+    assert taken <= {r.doc_id for r in docs.select("doc_id").collect()} and taken
+
+
+@pytest.mark.parametrize("shards", [3, 40])
+def test_shards_and_slots_equal_a_plain_sort(spark, shards):
+    docs = documents(spark)
+    keyed = docs.select("*", F.xxhash64(F.lit(sharding.SEED), "doc_id").alias("h")).collect()
+    rows = []
+    for r in keyed:
+        data = (r.text or "").encode()
+        rows.append((r.h, r.doc_id, len(data) + 16, zlib.crc32(data), r.source))
+    bits = sharding.range_bits(len(rows))
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r[4]].append(r)
+    ranked = []
+    for source, own in by_source.items():
+        own.sort(key=lambda r: ((r[0] & (1 << 64) - 1) >> 64 - bits, r[0], r[1] is not None, r[1] or 0, r[2], r[3]))
+        ranked += [((2 * p - 1) / (2 * len(own)), source is None, source or "", p, r) for p, r in enumerate(own, 1)]
+    ranked.sort(key=lambda x: x[:4])
+    n = len(ranked)
+    want = Counter((r[1], r[2], r[3], at * shards // n, at - -(-(at * shards // n) * n // shards)) for at, (*_, r) in enumerate(ranked))
+    got = Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.shard(docs, shards).collect())
+    assert got == want
