@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -9,12 +10,16 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.session import stored
 
-__all__ = ["WORD", "bloom_filtered_joins", "documents", "free_names", "in_groups", "released", "same", "stored", "word_count"]
+__all__ = [
+    "WORD", "bloom_filtered_joins", "documents", "free_names", "give_back", "in_groups", "in_parts", "released", "same", "split_at_blanks", "stored", "strung",
+    "text_sizes", "word_count",
+]
 
 #: A word is a run of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,6 +71,17 @@ def in_groups(batches: Iterator[pd.DataFrame], columns: Sequence[str]) -> Iterat
         yield held
 
 
+def give_back() -> None:
+    """Give memory that the worker no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        # what numpy and Python have freed stays with the C library otherwise
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def released(run):
     """``run``, a function of record batches, giving unused memory back when its task is over.
 
@@ -76,12 +92,49 @@ def released(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return with_release
 
 
+#: Bytes of text, or of ids, that a task works on at a time.
+PART_BYTES = 4 << 20
+
+
+def in_parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Row ranges of about ``most`` bytes; ``sizes``: those of the rows. A larger row is a range by itself or ends one."""
+    at = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), batch.num_rows]
+    for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
+def text_sizes(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text; 0 for null."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def split_at_blanks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """What stands between the blanks of ``texts``: ends of each text, numbers of the strings, the distinct strings."""
+    split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = split.values.dictionary_encode()
+    return split.offsets.to_numpy(), coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+def strung(own: list[bytes], numbers: np.ndarray, ends: np.ndarray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after the other, and where each text's begin and end.
+
+    ``own``: the ids of the distinct strings; ``numbers``, ``ends``: as ``split_at_blanks`` gives them.
+    """
+    width = np.dtype(dtype).itemsize
+    at = np.zeros(len(own) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) // width, out=at[1:])
+    table = pa.LargeListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(own), dtype)))
+    taken = table.take(pa.array(numbers))
+    return taken.values.to_numpy(), taken.offsets.to_numpy()[ends]
+
+
 BLOOM = "spark.sql.optimizer.runtime.bloomFilter"
 
 

@@ -18,6 +18,7 @@ of a hash of their ids; an empty table gives an empty file set and an empty resu
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import released, stored
+from tablewright.llm.common import in_parts, released, split_at_blanks, stored, strung, text_sizes
 from tablewright.session import new_path
 
 END_ID = 2
@@ -39,6 +40,9 @@ CACHED_WORDS = 700_000
 WORDS_AT_ONCE = 500
 #: Words that are one run of letters whatever the tokenizer's rules do to them first.
 LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Letters between signs, of which the tokenizer's rules make words of their own.
+SIGNED = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+SPECIAL = "<|"
 WORD_END = "</w>"
 #: A word of its own in the joined texts; it has one id, which no other word has.
 MARK = "\x00"
@@ -52,6 +56,11 @@ class WordCache:
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.mark = self._ids(MARK)[0]
+        # for runs of lower-case letters, which no rule but the division at blanks changes
+        rules = json.loads(tokenizer.to_str())
+        division = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        rules |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": division}}
+        self.plain = type(tokenizer).from_str(json.dumps(rules))
         # the last id of a run of letters is one that ends a word
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -59,8 +68,8 @@ class WordCache:
         if tokenizer.get_vocab_size() > 1 << 16 or len(self._ids(MARK)) != 1:
             raise ValueError("the vocabulary does not fit this encoder")
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def _ids(self, text: str, tokenizer=None) -> list[int]:
+        return (tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, words: list[str]) -> None:
         runs, plain = [], []
@@ -71,7 +80,7 @@ class WordCache:
                 plain.append(word)
         for i in range(0, len(runs), WORDS_AT_ONCE):
             part = runs[i : i + WORDS_AT_ONCE]
-            ids = np.array(self._ids(" ".join(part)), np.uint16)
+            ids = np.array(self._ids(" ".join(part).lower(), self.plain), np.uint16)
             data, last = ids.tobytes(), 0
             for word, end in zip(part, ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist(), strict=True):
                 self.young[word] = data[last:end]
@@ -86,34 +95,43 @@ class WordCache:
             if MARK in word:
                 self.young[word] = np.array(self._ids(word), np.uint16).tobytes()
 
-    def _fetch(self, words: set[str]) -> None:
-        unknown, cores = [], {}
+    def _fetch(self, words: list[str]) -> None:
+        unknown, signed, wanted = [], [], set()
+        old, young = self.old, self.young
         for word in words:
-            known = self.old.get(word)
+            known = old.get(word)
             if known is not None:
-                self.young[word] = known
-            elif word[-1] in ".," and LETTERS(word[:-1]):
-                cores[word] = word[:-1]
-            else:
+                young[word] = known
+                continue
+            parts = SIGNED(word)
+            if parts is None or SPECIAL in word or len(parts[2]) == len(word):
                 unknown.append(word)
-        unknown += {c for c in cores.values() if c not in self.young and c not in self.old} - set(unknown)
-        self._learn(unknown)
-        for sign in {w[-1] for w in cores}:
-            if sign not in self.young:
-                self._learn([sign])
-        for word, core in cores.items():
-            own = self.young.get(core)
-            self.young[word] = (self.old[core] if own is None else own) + self.young[word[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+            else:
+                signed.append(parts)
+                wanted.update(parts.groups())
+        wanted -= young.keys()
+        for part in wanted & old.keys():
+            young[part] = old[part]
+        self._learn([*{*unknown, *(wanted - young.keys())}])
+        for parts in signed:
+            young[parts[0]] = young[parts[1]] + young[parts[2]] + young[parts[3]]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin and end."""
         if len(self.young) > self.size:
             self.young, self.old = {"": b""}, self.young
-        split = [_folded(t).replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split) - self.young.keys()
+        ends, numbers, words = split_at_blanks([_folded(t).replace("\n", " ") for t in texts])
+        # a word is looked up once, however often it stands in the texts
+        own = list(map(self.young.get, words))
+        missing = [w for w, ids in zip(words, own, strict=True) if ids is None]
         if missing:
             self._fetch(missing)
-        known = self.young.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+            own = [self.young[w] if ids is None else ids for w, ids in zip(words, own, strict=True)]
+        return strung(own, numbers, ends, np.uint16)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        flat, at = self.encode_all(texts)
+        return [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _folded(text: str) -> str:
@@ -148,15 +166,12 @@ def encoder(vocabulary_path: str, end_id: int = END_ID):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(vocabulary_path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
+            for part in in_parts(batch, text_sizes(batch.column("text"))):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = [np.frombuffer(b, np.uint16) for b in cache.encode(texts)]
-                ends = np.cumsum([0] + [len(x) + 1 for x in ids])
-                flat = np.full(ends[-1], end_id, np.int32)
-                for x, at in zip(ids, ends, strict=False):
-                    flat[at : at + len(x)] = x
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                flat, at = cache.encode_all(texts)
+                ids = np.insert(flat.astype(np.int32), at[1:], end_id)
+                ends = at + np.arange(len(at))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
 
     return encode

@@ -138,3 +138,21 @@ def test_letters_that_normalise_to_marks(core, sign):
     text = f"word {core}{sign} {core} {core}{sign}"
     want = LIBRARY.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(CACHE.encode([text])[0], np.uint16).tolist() == want
+
+
+def test_signs_around_letters_and_special_tokens():
+    """Words are put together from letters and signs only where the library divides them there."""
+    cache = token_orc.WordCache(LIBRARY)
+    texts = ["(word) \"Word\", word%%% ###word&&& snake_case a'b 'tis it's, don't. x/y <b>é</b> Ünd!", "<|endoftext|> x<|endoftext|>y <|ENDOFTEXT|> <|x|>", "КАД Word, ÀÉ."]
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, np.uint16).tolist() for b in cache.encode(texts)] == want
+
+
+def test_words_are_looked_up_once(monkeypatch):
+    """Frequent words cost one look-up a batch, and signs beside a known word reach no tokenizer."""
+    cache = token_orc.WordCache(LIBRARY)
+    cache.encode(["some words , %%% ("])
+    monkeypatch.setattr(cache, "_ids", lambda *a: pytest.fail("known words were encoded again"))
+    flat, at = cache.encode_all(["some words, (some words%%% " * 50, "", "words"])
+    assert len(at) == 4 and at[1] == at[2] and len(flat) == at[3]
+    assert flat[at[0] : at[1]].tolist() == LIBRARY.encode("some words, (some words%%% " * 50, add_special_tokens=False).ids
