@@ -31,14 +31,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import released
+from tablewright.llm.common import in_parts, released, split_at_blanks, strung, text_sizes
 
 MARK = "▁"
 END = 0
@@ -79,6 +81,7 @@ class Pieces:
                 for char in piece:
                     node = node.setdefault(char, {})
                 node[END] = self.scores[piece]
+        self.spelled = pa.array(self.bytes_of, pa.large_binary())
         self.longest = max(map(len, normal))
         self.unknown = worst - UNKNOWN_PENALTY
         self.unknown_id = model.unk_id()
@@ -94,6 +97,15 @@ class Pieces:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
         return text[1:] if text.startswith(" ") else text
 
+    def decode_all(self, flat: np.ndarray, at: np.ndarray) -> list[str]:
+        """Texts of the ids that stand in ``flat`` between the places ``at``."""
+        pieces = self.spelled.take(pa.array(flat))
+        ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset + at].tolist()
+        data = pieces.buffers()[2]
+        whole = memoryview(data) if data is not None else memoryview(b"")
+        texts = [str(whole[a:b], "utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
+
 
 class Boundary:
     """A live boundary, or one that live ones go back to: the ids since its parent, and its children."""
@@ -125,6 +137,8 @@ class Viterbi:
 
     def feed(self, text: str, last: bool = False) -> list[int]:
         """Ids that became final. A window is searched once the longest piece fits behind it, or at the end."""
+        if last and not self.text and len(text) <= self.pieces.longest and len(self.live) == 1 and not self.live[0][0]:
+            return self._short(text)
         self.text += text
         width, out, at = self.pieces.longest, [], 0
         while len(self.text) - at >= 2 * width or last and at < len(self.text):
@@ -137,6 +151,36 @@ class Viterbi:
     def finish(self) -> list[int]:
         return self.feed("", last=True)
 
+    def _short(self, text: str) -> list[int]:
+        """The rest of a text that is no longer than a window: its search hands nothing on."""
+        trie, unknown, n = self.pieces.trie, self.pieces.unknown, len(text)
+        best: list[float | None] = [None] * (n + 1)
+        back: list = [None] * (n + 1)
+        best[0] = 0.0
+        for s in range(n):
+            here = best[s]
+            if here is None:
+                continue
+            node, e = trie, s
+            for char in text[s:]:
+                node = node.get(char)
+                if node is None:
+                    break
+                e += 1
+                found = node.get(END)
+                if found is not None:
+                    score, other = here + found[0], best[e]
+                    if other is None or score >= other:
+                        best[e], back[e] = score, (s, found[1])
+            if (best[s + 1] is None or here + unknown > best[s + 1]) and END not in trie.get(text[s], ()):
+                best[s + 1], back[s + 1] = here + unknown, (s, -1)
+        ids, e = [], n
+        while e:
+            start, piece = back[e]
+            ids += [piece] if piece >= 0 else self.pieces.fallback(text[start])[::-1]
+            e = start
+        return ids[::-1]
+
     def _window(self, text: str, width: int) -> list[int]:
         """Search from the first ``width`` starts of ``text``."""
         trie, unknown, n = self.pieces.trie, self.pieces.unknown, len(text)
@@ -219,33 +263,65 @@ class Encoder:
             out += run.feed(text[i : i + FED])
         return out + run.finish()
 
-    def _known(self, segment: str) -> bytes:
-        ids = self.old.get(segment)
+    def _segment(self, segment: str) -> bytes:
+        return np.array(self.search(segment), np.uint32).tobytes()
+
+    def _known(self, unit: str) -> bytes:
+        """Ids of what stands between two blanks, which is a segment unless it holds line breaks."""
+        ids = self.old.get(unit)
         if ids is None:
-            ids = np.array(self.search(segment), np.uint32).tobytes()
-        if len(segment) > LONGEST_KEPT:
-            return ids
+            segments = self.pieces.segment.findall(MARK + unit)
+            if len(segments) > 1:
+                # its segments are kept instead, the first as the unit that it would be alone
+                first = segments[0].removeprefix(MARK)
+                return b"".join([self.young.get(first) or self._known(first), *map(self._inner, segments[1:])])
+            ids = self._segment(segments[0])
+        self._keep(unit, ids)
+        return ids
+
+    def _inner(self, segment: str) -> bytes:
+        """Ids of a segment that does not follow a blank. It is kept after one, since no unit holds a blank."""
+        key = " " + segment
+        ids = self.young.get(key)
+        if ids is None:
+            ids = self.old.get(key) or self._segment(segment)
+            self._keep(key, ids)
+        return ids
+
+    def _keep(self, key: str, ids: bytes) -> None:
+        if len(key) > LONGEST_KEPT:
+            return
         if self.bytes >= self.size // 2:
             self.young, self.old, self.bytes = {}, self.young, 0
-        self.young[segment] = ids
-        self.bytes += ENTRY_BYTES + len(segment) + len(ids)
-        return ids
+        self.young[key] = ids
+        self.bytes += ENTRY_BYTES + len(key) + len(ids)
 
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        marked = MARK + text.replace(" ", MARK)
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin and end."""
         if self.pieces.segment is None:
-            return np.array(self.search(marked), np.uint32)
-        get, known = self.young.get, self._known
-        parts = []
-        for segment in self.pieces.segment.findall(marked):
-            ids = get(segment)
-            if ids is None:
-                ids = known(segment)
-                get = self.young.get
-            parts.append(ids)
-        return np.frombuffer(b"".join(parts), np.uint32)
+            found = [np.array(self.search(MARK + t.replace(" ", MARK)) if t else [], np.uint32) for t in texts]
+            at = np.cumsum([0, *map(len, found)])
+            return np.concatenate([np.empty(0, np.uint32), *found]), at
+        ends, numbers, units = split_at_blanks([_units(t) for t in texts if t])
+        # a unit is looked up once, however often it stands in the texts
+        own = list(map(self.young.get, units))
+        own = [self._known(u) if ids is None else ids for u, ids in zip(units, own, strict=True)]
+        flat, at = strung(own, numbers, ends, np.uint32)
+        # a null or empty text has no ids
+        return flat, at[np.cumsum([0, *(bool(t) for t in texts)])]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+
+_AFTER_BLANK = re.compile("(?<= ) ")
+
+
+def _units(text: str) -> str:
+    """``text`` such that each blank is the first mark of a run and starts a unit; further marks belong to the unit."""
+    if MARK in text:
+        text = text.replace(MARK, " ")
+    return _AFTER_BLANK.sub(MARK, " " + text)[1:] if "  " in text or text.startswith(" ") else text
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -264,45 +340,46 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def _encode_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = encoder(path)
+    for batch in batches:
+        for part in in_parts(batch, text_sizes(batch.column("text"))):
+            flat, at = own.encode_all(part.column("text").to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
+
+
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids) of every row."""
     path = path or model_path()
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                ids = [own.encode(t.as_py()).astype(np.int32) for t in part.column("text")]
-                ends = np.cumsum([0] + [len(x) for x in ids])
-                flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
-
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    return texts.mapInArrow(released(encode), "doc_id long, ids array<int>")
+    return texts.mapInArrow(released(partial(_encode_batches, path)), "doc_id long, ids array<int>")
+
+
+def _decode_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pieces = encoder(path).pieces
+    for batch in batches:
+        counts = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
+        for part in in_parts(batch, counts.astype(np.int64) * 4):
+            lists = part.column("ids")
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            # flatten leaves out what stands under a null
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    pa.array(lengths, pa.int64()),
+                    pa.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64()),
+                    pa.array(pieces.decode_all(flat, at), pa.string()),
+                ],
+                names=["doc_id", "n_ids", "ids_crc32", "text"],
+            )
 
 
 def decoded(ids: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, text) of rows with doc_id and ids."""
     path = path or model_path()
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = encoder(path).pieces
-        for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                rows = [x.as_py() or [] for x in part.column("ids")]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(x) for x in rows], pa.int64()),
-                        pa.array([zlib.crc32(np.array(x, "<u4").tobytes()) for x in rows], pa.int64()),
-                        pa.array([pieces.decode(x) for x in rows], pa.string()),
-                    ],
-                    names=["doc_id", "n_ids", "ids_crc32", "text"],
-                )
-
     schema = T.StructType(
         [
             T.StructField("doc_id", T.LongType()),
@@ -311,4 +388,4 @@ def decoded(ids: DataFrame, path: str | None = None) -> DataFrame:
             T.StructField("text", T.StringType()),
         ]
     )
-    return ids.select("doc_id", "ids").mapInArrow(released(decode), schema)
+    return ids.select("doc_id", "ids").mapInArrow(released(partial(_decode_batches, path)), schema)

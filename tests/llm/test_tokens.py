@@ -156,3 +156,13 @@ def test_words_are_looked_up_once(monkeypatch):
     flat, at = cache.encode_all(["some words, (some words%%% " * 50, "", "words"])
     assert len(at) == 4 and at[1] == at[2] and len(flat) == at[3]
     assert flat[at[0] : at[1]].tolist() == LIBRARY.encode("some words, (some words%%% " * 50, add_special_tokens=False).ids
+
+
+def test_units_between_blanks():
+    """A unit is searched once, whatever stands around it; runs of marks, line breaks and empty texts as one by one."""
+    own = sentencepieces.Encoder(PIECES)
+    texts = ["the the  the", None, " a", "", "a \nb\n\nb a\nb", "\nb", "b", "a▁ b▁▁c ▁d", "  ", "▁", "é😀 the " * 40]
+    flat, at = own.encode_all(texts * 2)
+    assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [brute(t) for t in texts] * 2
+    assert PIECES.decode_all(flat, at) == [(t or "").replace("▁", " ") for t in texts] * 2
+    assert PIECES.decode_all(flat[at[4] :], at[4:] - at[4]) == PIECES.decode_all(flat, at)[4:]
