@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.llm import textstats
-from tablewright.llm.common import free_names, stored
+from tablewright.llm.common import free_names, give_back, stored
 
 LEAST_WORDS, MOST_REPEATED = 10, 20
 STATISTICS = ["t0", "t1", "t2", "t3"]
@@ -132,7 +132,9 @@ def widening(n: float, varying: int) -> float:
 def _counts(texts: pa.Array) -> pa.Array:
     """Counts of each text, one text at a time; the rows themselves stay where they are."""
     sides = zip(*[textstats.counts(t.as_py()) for t in texts], strict=True) if len(texts) else [[] for _ in COUNTS]
-    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in sides], names=COUNTS)
+    counted = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in sides], names=COUNTS)
+    give_back()
+    return counted
 
 
 #: Spark would count anew in every filter on a count.

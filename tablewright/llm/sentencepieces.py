@@ -46,7 +46,9 @@ MARK = "▁"
 END = 0
 UNKNOWN_PENALTY = 10.0
 #: Bytes of kept segments in both generations, with what an entry costs beside its texts.
-CACHED_BYTES, ENTRY_BYTES = 140 << 20, 200
+CACHED_BYTES, ENTRY_BYTES = 32 << 20, 200
+#: Bytes of text, or of ids, that a task works on at a time.
+PART_BYTES = 2 << 20
 #: Longer segments are not kept.
 LONGEST_KEPT = 200
 #: Characters that the search is fed at a time.
@@ -343,7 +345,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 def _encode_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = encoder(path)
     for batch in batches:
-        for part in in_parts(batch, text_sizes(batch.column("text"))):
+        for part in in_parts(batch, text_sizes(batch.column("text")), PART_BYTES):
             flat, at = own.encode_all(part.column("text").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
@@ -360,7 +362,7 @@ def _decode_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     pieces = encoder(path).pieces
     for batch in batches:
         counts = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
-        for part in in_parts(batch, counts.astype(np.int64) * 4):
+        for part in in_parts(batch, counts.astype(np.int64) * 4, PART_BYTES):
             lists = part.column("ids")
             lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])

@@ -166,3 +166,16 @@ def test_units_between_blanks():
     assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [brute(t) for t in texts] * 2
     assert PIECES.decode_all(flat, at) == [(t or "").replace("▁", " ") for t in texts] * 2
     assert PIECES.decode_all(flat[at[4] :], at[4:] - at[4]) == PIECES.decode_all(flat, at)[4:]
+
+
+def test_kept_segments_stay_within_their_bound():
+    """Two workers of an executor keep what they have met beside Spark's heap."""
+    import sys
+
+    rng = random.Random(6)
+    own = sentencepieces.Encoder(PIECES)
+    own.search = lambda text: [1, 2, 3, 4]
+    for _ in range(40):
+        own.encode_all([" ".join("".join(rng.choice("aehinrst") for _ in range(12)) for _ in range(20_000))])
+    kept = sum(sys.getsizeof(d) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in d.items()) for d in (own.young, own.old))
+    assert kept < 40 << 20
