@@ -108,11 +108,9 @@ def _chunks(pdf: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
 
 
 def _features(k: int = SHINGLE):
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # ids stay in Arrow: pandas would turn a column with a null into doubles
-            ids, at = batch.column("doc_id"), 0
-            for part in _chunks(pd.DataFrame({"text": batch.column("text").to_pylist()}), "text"):
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part in _chunks(pdf, "text"):
                 sizes, digests, keys, signatures = [], [], [], []
                 for shingles in shingle_sets(part["text"].tolist(), k):
                     sizes.append(len(shingles))
@@ -128,25 +126,37 @@ def _features(k: int = SHINGLE):
                     digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
                     keys.append(key.view(np.int64))
                     signatures.append((low & np.uint64(0xFFFF)).astype("<u2").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(at, len(part)),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(digests, pa.binary()),
-                        pa.array(keys, pa.list_(pa.int64())),
-                        pa.array(signatures, pa.binary()),
-                    ],
-                    names=["doc_id", "n_shingles", "digest", "keys", "signature"],
+                yield pd.DataFrame(
+                    {"doc_id": part["doc_id"].array, "n_shingles": sizes, "digest": digests, "keys": keys, "signature": signatures}
                 )
-                at += len(part)
 
     return extract
 
 
+_FEATURES = pa.schema(
+    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("signature", pa.binary())]
+)
+
+
+def _with_whole_ids(run):
+    """``run``, a function of frames, on record batches: a null among the ids does not make them doubles."""
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+            yield pd.DataFrame({"doc_id": ids, "text": batch.column("text").to_pylist()})
+
+    def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(frames(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _FEATURES], schema=_FEATURES)
+
+    return on_batches
+
+
 def features(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, digest, keys, signature) of every row."""
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        released(_features(k)), "doc_id long, n_shingles long, digest binary, keys array<long>, signature binary"
+        released(_with_whole_ids(_features(k))), "doc_id long, n_shingles long, digest binary, keys array<long>, signature binary"
     )
 
 
