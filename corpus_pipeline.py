@@ -16,6 +16,8 @@ from tablewright.session import stored
 
 #: Words of a shingle; the query op8_minhash has its own number.
 SHINGLE = 5
+#: Segments that token_ids keeps in each worker; the executors' memory also holds what earlier stages left.
+KEPT_BYTES = 32 << 20
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_ids, ids) of every row of the mix; a text of any length is encoded whole."""
-    ids = sentencepieces.encoded(docs)
+    ids = sentencepieces.encoded(docs, kept=KEPT_BYTES)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 

@@ -40,15 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import in_parts, released, split_at_blanks, strung, text_sizes
+from tablewright.llm.common import PART_BYTES, in_parts, released, split_at_blanks, strung, text_sizes
 
 MARK = "▁"
 END = 0
 UNKNOWN_PENALTY = 10.0
 #: Bytes of kept segments in both generations, with what an entry costs beside its texts.
-CACHED_BYTES, ENTRY_BYTES = 32 << 20, 200
-#: Bytes of text, or of ids, that a task works on at a time.
-PART_BYTES = 2 << 20
+CACHED_BYTES, ENTRY_BYTES = 140 << 20, 200
 #: Longer segments are not kept.
 LONGEST_KEPT = 200
 #: Characters that the search is fed at a time.
@@ -326,14 +324,14 @@ def _units(text: str) -> str:
     return _AFTER_BLANK.sub(MARK, " " + text)[1:] if "  " in text or text.startswith(" ") else text
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for one model file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(Pieces(path))
-    return _ENCODERS[path]
+def encoder(path: str, kept: int = CACHED_BYTES) -> Encoder:
+    """The worker's encoder for one model file, which keeps ``kept`` bytes of segments."""
+    if (path, kept) not in _ENCODERS:
+        _ENCODERS[path, kept] = Encoder(Pieces(path), kept)
+    return _ENCODERS[path, kept]
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -342,27 +340,27 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def _encode_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own = encoder(path)
+def _encode_batches(path: str, kept: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own, most = encoder(path, kept), min(PART_BYTES, kept // 16)
     for batch in batches:
-        for part in in_parts(batch, text_sizes(batch.column("text")), PART_BYTES):
+        for part in in_parts(batch, text_sizes(batch.column("text")), most):
             flat, at = own.encode_all(part.column("text").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
 
 
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids) of every row."""
+def encoded(docs: DataFrame, path: str | None = None, kept: int = CACHED_BYTES) -> DataFrame:
+    """(doc_id, ids) of every row. ``kept``: bytes of segments that a worker keeps; fewer take more time."""
     path = path or model_path()
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    return texts.mapInArrow(released(partial(_encode_batches, path)), "doc_id long, ids array<int>")
+    return texts.mapInArrow(released(partial(_encode_batches, path, kept)), "doc_id long, ids array<int>")
 
 
 def _decode_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pieces = encoder(path).pieces
     for batch in batches:
         counts = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
-        for part in in_parts(batch, counts.astype(np.int64) * 4, PART_BYTES):
+        for part in in_parts(batch, counts.astype(np.int64) * 4):
             lists = part.column("ids")
             lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])

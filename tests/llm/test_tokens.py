@@ -172,8 +172,10 @@ def test_kept_segments_stay_within_their_bound():
     """Two workers of an executor keep what they have met beside Spark's heap."""
     import sys
 
+    import corpus_pipeline
+
     rng = random.Random(6)
-    own = sentencepieces.Encoder(PIECES)
+    own = sentencepieces.Encoder(PIECES, corpus_pipeline.KEPT_BYTES)
     own.search = lambda text: [1, 2, 3, 4]
     for _ in range(40):
         own.encode_all([" ".join("".join(rng.choice("aehinrst") for _ in range(12)) for _ in range(20_000))])
